@@ -1,22 +1,8 @@
-"""The registered queries of the code-graph operators and their SQL."""
+"""All registered queries of the code-graph operators and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from graphloam.plans import graph, joins, rows, rules, scalars, text  # noqa: F401  each registers its queries
+from graphloam.plans.registry import ORACLES, QUERIES
 
-from graphloam import bindings
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def edge_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs, up = bindings.refs(spark, sf_dir), bindings.sources(spark, sf_dir).select("src", "nation")
-    brands = bindings.table(spark, sf_dir, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("dst"), F.col("p_brand").alias("brand"))
-    joined = refs.join(up, "src").join(brands, "dst")
-    best = F.when(F.min("resolution") == F.max("resolution"), F.min("resolution")).otherwise("mixed")
-    return joined.groupBy("kind", "nation", "brand").agg(F.count("*").alias("n"), best.alias("resolution"))
-
-
-QUERIES["edge_agg"] = edge_agg
+__all__ = ["ORACLES", "QUERIES"]
