@@ -54,4 +54,66 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_decontamination, op5_line_dedup, op6_nearest, op7_surrogates, op8_language, op9_language_model, op10_secrets)}
 
-ORACLES: dict[str, str] = {}
+# CRC-32 by half bytes; fixed values of the reflected polynomial 0xEDB88320.
+_CRC_TABLE = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+
+
+def _crc(text: str) -> str:
+    """DuckDB expression: CRC-32 of the UTF-8 bytes of a text expression."""
+    half = "xor(t.c[(xor({c}, {b}) & 15)::INT + 1], {c} >> 4)"
+    low = half.format(c="acc", b="b")
+    both = half.format(c=f"({low})", b="(b >> 4)")
+    return f"(SELECT xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT), lambda acc, b: {both}), 4294967295) FROM (SELECT {_CRC_TABLE}::BIGINT[] AS c) t)"
+
+
+_OP1 = f"""
+WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, (coalesce(strlen(text), 0) + 16)::BIGINT AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents),
+s AS (SELECT *, list_transform(range({SHARDS + 1}), lambda i: ('0x' || substr(md5(k || ':' || i), 1, 13))::BIGINT) AS draws FROM d),
+p AS (SELECT *, list_max(list_transform(range({SHARDS}), lambda i: {{'v': draws[i + 1], 'i': i}})).i AS shard, list_max(list_transform(range({SHARDS + 1}), lambda i: {{'v': draws[i + 1], 'i': i}})).i AS grown FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY md5(k), size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard
+FROM p"""
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {_crc("coalesce(text, '')")} AS crc FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM src),
+w AS (SELECT *, [5.0, 2.0, 1.0][(rank % 3)::INT + 1]::DOUBLE AS weight, source_size * 3 AS cap FROM r),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+c AS (SELECT *, cap <= level * weight AS capped FROM l),
+t AS (SELECT source, rank, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (SELECT arg_min(level, (cap / weight, rank)) FROM c WHERE NOT capped) * weight END AS target FROM c),
+n AS (SELECT round(sum(source_size) / 16)::BIGINT AS blocks FROM t),
+seats AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, rank, seat) AS place
+          FROM (SELECT rank, target, unnest(range((target / 16)::BIGINT + 100)) AS seat FROM t WHERE target > 0)),
+q AS (SELECT rank, count(*) AS blocks FROM seats, n WHERE place <= n.blocks GROUP BY rank),
+p AS (SELECT t.*, least(coalesce(q.blocks, 0) * 16, source_size * 3) AS take, greatest(source_size, 1) AS size1 FROM t LEFT JOIN q USING (rank)),
+o AS (SELECT *, take // size1 AS rounds, take % size1 AS rest, {_crc("'start:20:' || coalesce(source, 'null')")} % ceil(size1 / 16)::BIGINT * 16 AS start FROM p),
+a AS (SELECT d.doc_id, d.source, d.size, o.* EXCLUDE (source), coalesce(sum(d.size) OVER (PARTITION BY o.rank ORDER BY md5('20:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.crc), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+      FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source)
+SELECT doc_id, source, size, source_size, target, (rounds * size + greatest(least(start + rest, pos + size) - greatest(start, pos), 0) + least(greatest(start + rest - source_size - pos, 0), size))::BIGINT AS taken
+FROM a"""
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, width, array_to_string(w[i:i + width - 1], ' ') AS gram FROM (SELECT item, w, least(len(w), 10) AS width, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM bw),
+dw AS (SELECT r, width, i, array_to_string(w[i:i + width - 1], ' ') AS gram FROM (SELECT r, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, widths)),
+hits AS (SELECT r, item, width, i FROM dw JOIN bw USING (width, gram)),
+hit AS (SELECT r, count(DISTINCT word) AS n FROM (SELECT r, unnest(range(i, i + width)) AS word FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
+_OP5 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+bad AS (SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM l WHERE length(key) >= 40) GROUP BY key HAVING count(*) >= 5),
+m AS (SELECT l.*, bad.key IS NOT NULL AND l.doc_id IS DISTINCT FROM bad.keeper AS dropped FROM l LEFT JOIN bad ON l.key = bad.key)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY r"""
+
+ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_mixing": _OP3, "op4_decontamination": _OP4, "op5_line_dedup": _OP5}
