@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,22 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def shield(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(docs, restore): all columns but the ``used`` ones under names that nothing else has, and the way back.
+
+    An operator joins and adds columns freely in between, whatever the caller's columns are called.
+    ``restore(out, *added)`` gives the caller's columns in their order and then the added ones,
+    which replace columns of the same names.
+    """
+    names = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    inner = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+
+    def restore(out: DataFrame, *added: str) -> DataFrame:
+        return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in added], *added)
+
+    return inner, restore
+
+
 def same(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality of two lists of columns."""
     out = left[0].eqNullSafe(right[0])
@@ -42,6 +60,20 @@ def same(left: list[Column], right: list[Column]) -> Column:
     return out
 
 
+def join_salted(rows: DataFrame, unique: DataFrame, key: str, unique_key: str, spread: Column, salts: int = 32) -> DataFrame:
+    """``rows`` joined with a settled table that has each key once, however many rows share a key.
+
+    A small table is broadcast. A larger one is repeated under each of ``salts`` numbers, and a
+    row looks under the number that ``spread`` gives it, so a hot key is dealt to that many tasks.
+    """
+    few = unique.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        return rows.join(F.broadcast(unique), F.col(key) == F.col(unique_key))
+    each = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    mine = rows.withColumn("_salted", F.pmod(spread, F.lit(salts)).cast("int"))
+    return mine.join(each, (F.col(key) == F.col(unique_key)) & (F.col("_salted") == F.col("_salt"))).drop("_salt", "_salted")
+
+
 def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that come before.
 
@@ -57,4 +89,4 @@ def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str]
     return placed.join(offsets, keys).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
 
 
-__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "id_text", "running_start", "same", "settle", "small", "table"]
+__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "id_text", "join_salted", "running_start", "same", "settle", "shield", "small", "table"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import ascii_lower, settle
+from graphloam.llm.common import ascii_lower, settle, shield
 
 WIDTH = 10
 #: Windows that may be broadcast: about 200 bytes each in a task.
@@ -120,18 +120,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     no hits. Items with a null id are left out; equal ids count as one item. Columns of the
     same names as the added ones are replaced. An empty benchmark marks nothing.
     """
-    docs = docs.drop("n_words", "hits", "items", "contaminated")
+    inner, restore = shield(docs, ("text",))
     windows = settle(benchmark_windows(benchmark, width))
     rows = windows.limit(most_windows + 1).collect()
     if len(rows) <= most_windows:
         held = docs.sparkSession.sparkContext.broadcast(_lookup(rows))
-        others = [c for c in docs.columns if c != "text"]
-        given = docs.select(*others, F.col("text").alias("_text"), F.col("text"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-        out = given.mapInArrow(_scan(held, len(others) + 1), f"{schema}, {_HITS}").withColumnRenamed("_text", "text")
+        given = inner.select(*inner.columns, F.col("text").alias("_scanned"))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
+        out = given.mapInArrow(_scan(held, len(inner.columns)), f"{schema}, {_HITS}")
     else:
-        out = _joined(docs, windows, width)
-    return out.select(*docs.columns, "n_words", "hits", "items", (F.size("hits") > 0).alias("contaminated"))
+        out = _joined(inner, windows, width)
+    return restore(out.withColumn("contaminated", F.size("hits") > 0), "n_words", "hits", "items", "contaminated")
 
 
 def _joined(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:

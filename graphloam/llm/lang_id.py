@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import id_text
+from graphloam.llm.common import id_text, shield
 
 SIZES = (2, 3, 4)
 #: Labelled documents of each language that filters are fitted on: those with the least hashes.
@@ -152,18 +152,17 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     with letters but without a known n-gram gets the most usual language and score 0. Ties go
     to the first language by name. Columns of the same names as the added ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    inner, restore = shield(docs, ("text",))
     held = docs.sparkSession.sparkContext.broadcast(filters)
-    others = [c for c in docs.columns if c != "text"]
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(*others, F.col("text").alias("_text"), F.when(letter, F.col("text")).alias("text"))
-    names = [*others, "_text", "lang_pred", "score"]
+    given = inner.select(*inner.columns, F.when(letter, F.col("text")).alias("_lettered"))
+    names = [*inner.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = held.value
         for batch in batches:
             langs, scores = [], []
-            for _, part in wb.batched(batch.column(len(names) - 2)):
+            for _, part in wb.batched(batch.column(batch.num_columns - 1)):
                 counts, total = filters.counts(part) if filters.languages else (None, None)
                 for i, data in enumerate(part):
                     if data is None or counts is None:
@@ -173,10 +172,10 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                     best = int(np.argmax(counts[i])) if counts[i].max() > 0 else filters.usual
                     langs.append(filters.languages[best])
                     scores.append(float(min(1.0, counts[i, best] / max(total[i], 1.0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(run, f"{schema}, lang_pred string, score double").withColumnRenamed("_text", "text").select(*docs.columns, "lang_pred", "score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
+    return restore(given.mapInArrow(run, f"{schema}, lang_pred string, score double"), "lang_pred", "score")
 
 
 def held_out(folds: int = 5) -> Column:
@@ -194,6 +193,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text some learned language claims; the others are rejected."""
     filters = train(docs.select("doc_id", "text", "lang"), ~held_out())
-    given = docs.select(*[F.col(c).alias(c if c == "text" else f"_in_{c}") for c in docs.columns])
-    out = predict(given, filters).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
-    return out.select(*[F.col("text" if c == "text" else f"_in_{c}").alias(c) for c in docs.columns])
+    inner, restore = shield(docs, ("text",))
+    return restore(predict(inner, filters).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import BLANK_WORD, id_text, running_start, same, settle, small
+from graphloam.llm.common import BLANK_WORD, id_text, running_start, same, settle, shield, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -106,9 +106,10 @@ def mixed_documents(docs: DataFrame, seed: int = 20, **how) -> DataFrame:
     ``n_chars``, where it is there, is counted anew for pieces.
     """
     columns = docs.columns
+    inner, restore = shield(docs, ("doc_id", "source", "text", "n_chars"))
     keys = ["doc_id", "source", "crc"]
     plan = settle(mix(docs, seed, **how).filter("taken > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("size", "rounds", "piece_from", "piece_to", "piece_wrap").alias("_p")))
-    given = docs.withColumn("_c", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+    given = inner.withColumn("_c", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
     match = same([F.col("doc_id"), F.col("source"), F.col("_c")], [F.col("_doc_id"), F.col("_source"), F.col("_crc")])
     if plan.groupBy("_doc_id", "_source", "_crc").count().filter("count > 1").limit(1).count():
         plan = plan.withColumn("_j", F.row_number().over(Window.partitionBy("_doc_id", "_source", "_crc").orderBy("_p")))
@@ -124,4 +125,4 @@ def mixed_documents(docs: DataFrame, seed: int = 20, **how) -> DataFrame:
     each = each.withColumn("text", F.when(whole, F.col("text")).otherwise(words_between("text", "_a", "_b")))
     if "n_chars" in columns:
         each = each.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return each.select(*columns)
+    return restore(each)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import LOWER, UPPER, settle
+from graphloam.llm.common import LOWER, UPPER, settle, shield
 
 # Given names by gender and script, in natural order.
 FEMALE = "Alice Amelia Anna Clara Elena Emma Greta Hannah Ines Julia Laura Lea Lucia Maria Marie Nina Nora Olivia Paula Rosa Sara Sofia Sophie Teresa".split()
@@ -166,8 +166,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     equal results. Columns of the same names as the added ones are replaced. An entity that
     is spelled in several ways has one surrogate, spelled each time as the entity was.
     """
-    docs = docs.drop("clean_text", "entities")
-    given = docs.withColumn("_h", F.unhex(F.md5("text")))
+    inner, restore = shield(docs, ("text",))
+    given = inner.withColumn("_h", F.unhex(F.md5("text")))
     found = given.select("_h", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("_e")).filter(F.size("_e") > 0)
     found = settle(found.groupBy("_h").agg(F.first("_e").alias("_e")))
     each = found.select("_h", F.posexplode("_e").alias("at", "entity"))
@@ -180,7 +180,8 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     made_text = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.transform("_xs", lambda x: x["surrogate"]), F.slice(between, 2, F.size("_xs")), lambda s, t: F.concat(s, t)), ""))
     kinds = F.transform("_xs", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), x["surrogate"].alias("surrogate")))
     empty = F.array().cast("array<struct<kind:string,entity:string,surrogate:string>>")
-    return joined.select(*[docs[c] for c in docs.columns], F.when(F.col("_xs").isNull(), F.col("text")).otherwise(made_text).alias("clean_text"), F.coalesce(kinds, empty).alias("entities"))
+    out = joined.withColumns({"clean_text": F.when(F.col("_xs").isNull(), F.col("text")).otherwise(made_text), "entities": F.coalesce(kinds, empty)})
+    return restore(out, "clean_text", "entities")
 
 
 def digest(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
