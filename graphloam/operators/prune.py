@@ -20,7 +20,7 @@ def prune(symbols: DataFrame, refs: DataFrame, files: DataFrame, named: DataFram
     place = symbols.select("id", "file").join(files.select("file").distinct().withColumn("_in", F.lit(True)), "file", "left").select("id", F.coalesce("_in", F.lit(False)).alias("_in"))
     ends = refs.join(place.toDF("src", "_a"), "src").join(place.toDF("dst", "_b"), "dst")
     touches = F.when(F.col("kind") == "read", F.col("_a") & F.col("_b")).otherwise(F.col("_a") | F.col("_b"))
-    kept = ends.filter(touches | F.col("kind").isin(*keep_kinds)).drop("_a", "_b")
+    kept = ends.filter(touches | F.col("kind").isin(*keep_kinds)).select(*refs.columns)
     wanted = place.filter("_in").select("id").union(named.select("id")).union(kept.select("src")).union(kept.select("dst")).distinct()
     up = ancestors(symbols.select(F.col("id").alias("node"), "parent")).join(wanted.withColumnRenamed("id", "node"), "node", "left_semi")
     return symbols.join(up.select(F.col("ancestor").alias("id")).distinct(), "id", "left_semi"), kept

@@ -19,13 +19,13 @@ def bursts(events: DataFrame, keys: list[str], ts: str = "ts", quiet: str = QUIE
     The end is the last event plus the quiet period: when a build may start. On a stream give
     ``late``: a burst comes out once the watermark has passed its end.
     """
-    rows = events.withWatermark(ts, late) if late else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     return rows.groupBy(F.session_window(ts, quiet).alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def windows(events: DataFrame, keys: list[str], length: str, slide: str | None = None, ts: str = "ts", late: str | None = None) -> DataFrame:
     """keys, start, n over tumbling (or sliding) windows."""
-    rows = events.withWatermark(ts, late) if late else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
     return rows.groupBy(F.window(ts, length, slide or length).alias("w"), *keys).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
 
 
