@@ -50,6 +50,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         keys = np.concatenate([k for k, _ in held])
         counts = np.concatenate([n for _, n in held])
+        if not len(keys):
+            return keys, counts
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))

@@ -160,6 +160,8 @@ def made_findings(words: tuple[wb.Lookup, np.ndarray], each: int = 300) -> list[
             out.append((1.0, features(value, b"set " + name, b'"' if name.endswith(b'"') else b" ", *words)))
             benign = (b"sha256: ", b"commit ", b"etag=", b"see ", b"/objects/")[(i + k) % 5]
             out.append((0.0, features(value, b"the " + benign, b" was", *words)))
+        issued = ((b"AKIA", alphabets[1], 16), (b"ghp_", alphabets[2][:62], 36), (b"AIza", alphabets[2][:62], 35), (b"sk_live_", alphabets[2][:62], 24))[i % 4]
+        out.append((1.0, features(issued[0] + draw(f"issued:{i}", *issued[1:]), (b"use ", b"key: ", b'"', b"=")[i // 4 % 4], b" ", *words)))
         joined = b"_".join(syllables[(i * 5 + j * 7) % len(syllables)] for j in range(4)) + b"_%d" % (i + 10)
         out.append((0.0, features(joined, b"call ", b"(", *words)))
         out.append((0.0, features(b"src/" + joined.replace(b"_", b"/") + b".py", b"open ", b" ", *words)))
