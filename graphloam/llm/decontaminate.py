@@ -19,8 +19,8 @@ from graphloam.llm import wordbytes as wb
 from graphloam.llm.common import ascii_lower, settle, shield
 
 WIDTH = 10
-#: Windows that may be broadcast: about 200 bytes each in a task.
-MOST_WINDOWS = 1_000_000
+#: Windows that may be broadcast: about 500 bytes each on the driver and in a task.
+MOST_WINDOWS = 200_000
 #: log2 of the bits of the filter for a larger set.
 FILTER_BITS = 27
 
