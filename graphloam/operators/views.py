@@ -231,5 +231,5 @@ def inside_points(points: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def member_type(line: Column, name: Column) -> Column:
     """The type after a field's name on its declaration line: name: Type, or Type after the name."""
-    rest = F.substring_index(line, name, -1)
+    rest = F.substring(line, F.position(name, line) + F.length(name), F.length(line))
     return F.nullif(F.trim(F.regexp_extract(rest, r"^\??\s*:?\s*([A-Za-z_\[\]<>.*|, ]+?)\s*(?:[=;,{]|$)", 1)), F.lit(""))
