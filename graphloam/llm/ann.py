@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from graphloam.llm.common import settle
 
-BOOKS, CODES, BEAM = 16, 256, 4
+BOOKS, CODES, BEAM = 24, 256, 4
 #: Vectors that codebooks are trained on: those with the least hashes of their ids.
 SAMPLE = 8192
 #: Distinct vectors of each block and of all blocks that go on to exact ranking.
-SHORTLIST = 100
+SHORTLIST = 200
 #: Rows of a block of codes and of a block of queries.
-CODE_BLOCK, QUERY_BLOCK = 16_384, 512
+CODE_BLOCK, QUERY_BLOCK = 32_768, 256
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
