@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import BLANKS, ascii_lower, same
+from graphloam.llm.common import BLANKS, ascii_lower, join_salted, same, settle, shield
 
 
 def lines_of(text: Column) -> Column:
@@ -33,24 +33,26 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     same doc_id are one document for the counts; each row is put together by itself. Texts of
     any length go whole. Columns of the same names as the added ones are replaced.
     """
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    given = docs.withColumn("_h", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    inner, restore = shield(docs, ("doc_id", "text"))
+    given = inner.withColumn("_h", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     found = given.select("doc_id", "_h", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("_at", "_line"))
     found = found.filter(F.char_length("_line") >= least_chars).select("doc_id", "_h", "_at", F.unhex(F.md5("_line")).alias("_key"))
     held = found.select("_key", "doc_id").distinct().groupBy("_key").agg(F.count("*").alias("_docs"), F.max("doc_id").alias("_keeper"))
-    common = held.filter(F.col("_docs") >= least_docs).select(F.col("_key").alias("_common"), "_keeper")
-    lost = found.join(common, F.col("_key") == F.col("_common")).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
+    common = settle(held.filter(F.col("_docs") >= least_docs).select(F.col("_key").alias("_common"), "_keeper"))
+    lost = join_salted(found, common, "_key", "_common", F.xxhash64("doc_id")).filter(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_of")).agg(F.collect_set("_at").alias("_lost"))
     joined = given.join(lost, same([F.col("doc_id"), F.col("_h")], [F.col("_id"), F.col("_of")]), "left")
     lines = lines_of(F.col("text"))
     marked = F.map_from_arrays(F.col("_lost"), F.transform("_lost", lambda x: F.lit(True)))
     kept = F.filter(lines, lambda line, i: ~F.map_contains_key(marked, i))
-    return joined.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
+    out = joined.withColumns(
+        {
+            "kept_text": F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dropped": F.coalesce(F.size("_lost"), F.lit(0)).cast("long"),
+        }
     )
+    return restore(out, "kept_text", "n_lines", "n_dropped")
 
 
 def digest(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
