@@ -27,13 +27,13 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Type, pattern; the first that matches at a place decides.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,127}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("card", r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"),
     ("ip", rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?|(?:{'|'.join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) \p{{Lu}}\p{{Ll}}{{1,30}})(?![\p{{L}}\p{{N}}])"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}])(?=[A-ZА-Я])(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?|(?:{'|'.join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) \p{{Lu}}\p{{Ll}}{{1,30}})(?![\p{{L}}\p{{N}}])"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
