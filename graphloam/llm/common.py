@@ -17,6 +17,17 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+#: Rows of an Arrow batch when rows hold whole texts: Spark's own 10,000 would be tens of MB on each side.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session; a smaller setting of the caller stays. Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -89,4 +100,4 @@ def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str]
     return placed.join(offsets, keys).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
 
 
-__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "id_text", "join_salted", "running_start", "same", "settle", "shield", "small", "table"]
+__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "id_text", "join_salted", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]

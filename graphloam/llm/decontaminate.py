@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import ascii_lower, settle, shield
+from graphloam.llm.common import ascii_lower, settle, shield, small_batches
 
 WIDTH = 10
 #: Windows that may be broadcast: about 500 bytes each on the driver and in a task.
@@ -120,6 +120,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     no hits. Items with a null id are left out; equal ids count as one item. Columns of the
     same names as the added ones are replaced. An empty benchmark marks nothing.
     """
+    small_batches(docs.sparkSession)
     inner, restore = shield(docs, ("text",))
     windows = settle(benchmark_windows(benchmark, width))
     rows = windows.limit(most_windows + 1).collect()

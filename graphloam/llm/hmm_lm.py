@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import id_text
+from graphloam.llm.common import id_text, small_batches
 from graphloam.session import settle, stored
 
 STATES, ROUNDS, SYMBOLS, SEGMENT = 4, 4, 8192, 64
@@ -335,6 +335,7 @@ def score_documents(docs: DataFrame, folds: int = 10, states: int = STATES, roun
     with none of them every count is 0. Other columns than doc_id and text are ignored. Words
     are told apart by 61-bit hashes and their class of length.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("string"), held_out(folds).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(given.filter("not held_out").select("text").mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
     v = vocabulary(counts, head, symbols)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import settle
+from graphloam.llm.common import settle, small_batches
 
 #: Words of the corpus that count as a dictionary: the most frequent of at least 4 letters.
 DICTIONARY = 50_000
@@ -184,6 +184,7 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     candidates and from made examples, at most SAMPLE of each. Repeated rows give repeated
     findings. An empty table gives none.
     """
+    small_batches(docs.sparkSession)
     words = corpus_words(docs)
     found = settle(candidates(docs, words))
     if findings is None:

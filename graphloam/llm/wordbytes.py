@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes per piece; the scratch arrays of a piece take about 60 times this.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2**64
 
 
