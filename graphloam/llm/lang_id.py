@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import id_text, shield
+from graphloam.llm.common import id_text, shield, small_batches
 
 SIZES = (2, 3, 4)
 #: Labelled documents of each language that filters are fitted on: those with the least hashes.
@@ -112,13 +112,18 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, most_grams: int
     doc_id (a few more if hashes tie). An n-gram is typical of a language if it was seen at
     least LEAST_COUNT times and its rate is at least LEAST_RATE of its highest rate anywhere.
     """
+    small_batches(docs.sparkSession)
     place = F.substring(F.md5(F.concat(F.lit("lang:"), id_text(F.col("doc_id")))), 1, 15)
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_place", place)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place"))
-    ends = rows.select("lang", "_place").withColumn("_rank", rank).filter(F.col("_rank") <= sample).groupBy("lang").agg(F.max("_place").alias("_end"), F.count("*").alias("_n"))
-    ends = {r["lang"]: (r["_end"], r["_n"]) for r in ends.collect()}  # one row for each language
-    if not ends:
+    rows = docs.filter(learn & F.col("lang").isNotNull()).withColumn("_place", place)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    if not sizes:
         return build_filters({})
+    # hashes are uniform: of a large language, four times the sample lies below this share
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 4 * sample / n)))])
+    near = rows.filter(F.conv("_place", 16, 10).cast("double") / float(16**15) <= share[F.col("lang")]).select("lang", "_place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place"))
+    ends = near.withColumn("_rank", rank).filter(F.col("_rank") <= sample).groupBy("lang").agg(F.max("_place").alias("_end"))
+    ends = {r["lang"]: r["_end"] for r in ends.collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,15 +137,15 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, most_grams: int
                 value, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    ends_map = F.create_map(*[x for lang, (end, _) in ends.items() for x in (F.lit(lang), F.lit(end))])
-    counted = rows.filter(F.col("_place") <= ends_map[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ends_map = F.create_map(*[x for lang, end in ends.items() for x in (F.lit(lang), F.lit(end))])
+    counted = rows.filter(F.col("text").isNotNull() & (F.col("_place") <= ends_map[F.col("lang")])).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("_rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     counted = counted.withColumn("_most", F.max("_rate").over(Window.partitionBy("gram")))
     typical = counted.filter((F.col("n") >= LEAST_COUNT) & (F.col("_rate") >= LEAST_RATE * F.col("_most")))
     typical = typical.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("_rank") <= most_grams)
     found = typical.select("lang", "gram").toArrow()  # at most `most_grams` for each language
     langs, values = found.column("lang").to_numpy(), found.column("gram").to_numpy().view(np.uint64)
-    usual = max(sorted(ends), key=lambda x: ends[x][1])
+    usual = max(sorted(sizes), key=lambda x: sizes[x])
     return build_filters({lang: values[langs == lang] for lang in ends}, usual)
 
 
@@ -152,6 +157,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     with letters but without a known n-gram gets the most usual language and score 0. Ties go
     to the first language by name. Columns of the same names as the added ones are replaced.
     """
+    small_batches(docs.sparkSession)
     inner, restore = shield(docs, ("text",))
     held = docs.sparkSession.sparkContext.broadcast(filters)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
