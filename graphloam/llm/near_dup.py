@@ -6,10 +6,10 @@ labelled k-mers with the least hashes and keeps them in text order: two texts ag
 only if they share those k-mers in that order, which follows their edit similarity. Texts that
 agree on an entry are candidates; a banded alignment of their words decides.
 
-Equal texts are one node. In each bucket the members are paired with a few representatives
-(the least and the greatest of two random orders), never with each other, and the components
-of the verified pairs are the groups. A link that a bucket's representatives miss is found in
-the other buckets of the same texts; the tests hold the groups against all pairs.
+Equal texts are one node. In each bucket the members are paired with two representatives
+first (the least and the greatest of a random order). Then members of a bucket that are not
+yet in one component are all compared with each other, in blocks, so that the components are
+those of all similar pairs that share a bucket.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from graphloam.llm.common import settle, shield, small, small_batches
 from graphloam.llm.components import connected_components
 
 KMER, ENTRIES, TUPLE, SIMILARITY = 5, 32, 2, 0.8
+#: Members of a bucket in a block; each task compares a block with another.
+BLOCK = 64
 #: Hash values that a sketch holds at a time.
 _CELLS = 1 << 21
 def _labelled(kmers: np.ndarray) -> np.ndarray:
@@ -147,7 +149,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [sketch(h[bounds[i] : bounds[i + 1]]) for i in range(len(run))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             entries = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), entries], ["doc_id", "node", "entries"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), entries, pa.array(np.diff(bounds), pa.int32())], ["doc_id", "node", "entries", "n_words"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,22 +173,49 @@ def _verify(similarity: float):
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node and entries of each row of ``docs``: one pass over the texts, 300 bytes a row, settled."""
+    """doc_id, node, entries and n_words of each row of ``docs``: one pass over the texts, 300 bytes a row, settled."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return settle(docs.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, node binary, entries array<long>"))
+    return settle(docs.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, node binary, entries array<long>, n_words int"))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """a, b: nodes (columns node, entries) that share an entry with a representative of its bucket."""
-    entries = nodes.select("node", F.explode("entries").alias("entry"))
-    order = lambda k: F.xxhash64("node", F.pmod("entry", F.lit(2)) + k)
-    buckets = entries.groupBy("entry").agg(F.count("*").alias("n"), F.min_by("node", order(0)).alias("first"), F.max_by("node", order(0)).alias("last"))
-    buckets = settle(buckets.filter("n > 1").select(F.col("entry").alias("_entry"), F.array("first", "last").alias("_heads")))
-    pairs = entries.join(small(buckets), F.col("entry") == F.col("_entry")).select("node", F.explode("_heads").alias("head")).filter("node <> head")
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """entry, node and n_words of each member of a bucket of several nodes (columns node, entries, n_words), settled."""
+    entries = nodes.select("node", "n_words", F.explode("entries").alias("entry"))
+    several = settle(entries.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("entry").alias("_entry")))
+    return settle(entries.join(small(several), F.col("entry") == F.col("_entry")).select("entry", "node", "n_words"))
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: members of buckets (columns entry, node) with each of two representatives of their bucket."""
+    order = F.xxhash64("node", F.pmod("entry", F.lit(2)))
+    buckets = rows.groupBy("entry").agg(F.min_by("node", order).alias("first"), F.max_by("node", order).alias("last"))
+    buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.array("first", "last").alias("_heads")))
+    pairs = rows.join(small(buckets), F.col("entry") == F.col("_entry")).select("node", F.explode("_heads").alias("head")).filter("node <> head")
     return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
+def remaining_pairs(rows: DataFrame, classes: DataFrame, checked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: all pairs that share a bucket, whose lengths allow it, and that neither a component (node, component) nor ``checked`` has.
+
+    In each bucket the members outside its largest component meet all members. Both sides are
+    dealt to blocks, and a pair meets in the cell of its two blocks alone.
+    """
+    inside = classes.select(F.col("node").alias("_n"), "component")
+    rows = settle(rows.join(inside, F.col("node") == F.col("_n"), "left").select("entry", "node", "n_words", F.coalesce("component", "node").alias("comp")))
+    parts = rows.groupBy("entry", "comp").agg(F.count("*").alias("n"))
+    buckets = parts.groupBy("entry").agg(F.max(F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.col("_top.comp").alias("_main"), blocks(F.col("_all") - F.col("_top.n")).alias("_g"), blocks(F.col("_all")).alias("_h")))
+    members = rows.join(small(buckets), F.col("entry") == F.col("_entry")).withColumn("outside", F.col("comp") != F.col("_main"))
+    cells = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    left = members.filter("outside").select("entry", block("_g").alias("i"), cells("_h").alias("j"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n_words").alias("x_n"))
+    right = members.select("entry", cells("_g").alias("i"), block("_h").alias("j"), F.col("node").alias("y"), F.col("comp").alias("y_comp"), F.col("n_words").alias("y_n"), "outside")
+    met = left.join(right, ["entry", "i", "j"]).filter("x_comp <> y_comp and (not outside or x < y)").filter(F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def verified_pairs(words: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose words (node, words) align with at least the given similarity."""
     side = lambda x: words.select(F.col("node").alias(x), F.col("words").alias(f"{x}_words"))
@@ -201,25 +230,29 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     """doc_id, node, class_node, class_id, class_size and n_links of each row of ``docs``.
 
     ``node`` stands for the words of the text, ``class_node`` for the group; ``class_id`` is
-    the least doc_id of the group and n_links the number of verified links to other texts. A
+    the least doc_id of the group. n_links is the number of links to other texts that were
+    verified to find the group; pairs that others had put into one group are not all among them. A
     null text is equal to nothing: its node is null and it is alone. Texts without words are
     equal if they are the same. Null doc_ids never name a group that has others; a group of
     null doc_ids only has a null class_id. Columns beside doc_id and text are ignored.
     """
     given = sketched(docs)
-    nodes = settle(given.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_carrier"), F.first("entries").alias("entries")))
+    nodes = settle(given.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_carrier"), F.first("entries").alias("entries"), F.first("n_words").alias("n_words")))
     # a settled table keeps its order, so its row numbers do too: 8 bytes stand for a text from here on
     numbered = nodes.withColumn("_number", F.monotonically_increasing_id())
-    pairs = settle(candidate_pairs(numbered.select(F.col("_number").alias("node"), "entries")))
-    # of each text in a pair, one document gives the words to align
+    buckets = bucket_rows(numbered.select(F.col("_number").alias("node"), "entries", "n_words"))
+    pairs = settle(candidate_pairs(buckets))
+    # of each text in a bucket of several, one document gives the words to align
     names = numbered.select("_number", F.col("node").alias("_node"), "_carrier")
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("_number")).distinct().join(names, "_number"))
+    wanted = settle(buckets.select(F.col("node").alias("_number")).distinct().join(names, "_number"))
     ids = wanted.select(F.col("_carrier").alias("_id")).distinct()
     chosen = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
     words = settle(words.select(F.col("_number").alias("node"), "words").dropDuplicates(["node"]))
     links = settle(verified_pairs(words, pairs, similarity))
+    rest = settle(remaining_pairs(buckets, connected_components(links), pairs, similarity))
+    links = settle(links.unionByName(verified_pairs(words, rest, similarity)))
     classes = connected_components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("_linked")).groupBy("_linked").agg(F.count("*").alias("n_links"))
     named = classes.join(counts, F.col("node") == F.col("_linked")).join(names.select("_number", F.col("_node").alias("_of")), F.col("node") == F.col("_number")).drop("_number")

@@ -94,3 +94,20 @@ def test_a_group_of_near_copies_stays_together(spark):
         rows.append((d, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.class_id for r in nd.near_duplicate_groups(docs).collect()} == {0}
+
+
+def test_pairs_inside_a_large_template_are_found(spark):
+    # texts about 0.7 alike among themselves, and in them pairs about 0.82 alike: most have no link to a representative
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(150):
+        text = list(base)
+        for i in rng.sample(range(100, 120), 20) + rng.sample(range(100), 16):
+            text[i] = f"t{d}x{i}"
+        other = list(text)
+        for i in rng.sample(range(120), 20):
+            other[i] = f"o{d}x{i}"
+        rows += [(2 * d, " ".join(text)), (2 * d + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.near_duplicate_groups(docs).collect()} == brute_force(rows)
