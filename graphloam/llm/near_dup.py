@@ -1,10 +1,13 @@
 """Near-duplicate groups by Order MinHash and banded alignment.
 
-The k-mers of a text are its runs of five words, each labelled with the number of its earlier
+The k-mers of a text are its runs of three words, each labelled with the number of its earlier
 occurrences, so that a text with repeats is a set. Each sketch entry takes the ``tuple_size``
 labelled k-mers with the least hashes and keeps them in text order: two texts agree on an entry
 only if they share those k-mers in that order, which follows their edit similarity. Texts that
-agree on an entry are candidates; a banded alignment of their words decides.
+agree on an entry are candidates; a banded alignment of their words decides. Of texts whose
+words were replaced at random, 40 entries of two three-word k-mers miss 0.7 % of the pairs at
+similarity 0.80 and less than 0.1 % from 0.85 on. Of short texts (SHORT words and less) every
+run of three words is an entry, so all similar pairs are candidates.
 
 Equal texts are one node. In each bucket the members are paired with two representatives
 first (the least and the greatest of a random order). Then members of a bucket that are not
@@ -26,7 +29,9 @@ from graphloam.llm import wordbytes as wb
 from graphloam.llm.common import settle, shield, small, small_batches
 from graphloam.llm.components import connected_components
 
-KMER, ENTRIES, TUPLE, SIMILARITY = 5, 32, 2, 0.8
+KMER, ENTRIES, TUPLE, SIMILARITY = 3, 40, 2, 0.8
+#: Texts up to so many words go by all their runs of words, and by the sketch only where a partner may be longer.
+SHORT = 24
 #: Members of a bucket in a block; each task compares a block with another.
 BLOCK = 64
 #: Hash values that a sketch holds at a time.
@@ -63,6 +68,23 @@ def sketch(words: np.ndarray, kmer: int = KMER, entries: int = ENTRIES, tuple_si
     return out
 
 
+def entries_of(words: np.ndarray) -> np.ndarray:
+    """The entries of a text: its sketch, and of a short text all runs of three words.
+
+    d <= 0.2 n edits leave one of d + 1 pieces of the longer text whole. From 6 words on such a
+    piece has three words or more, with 5 words two; shorter texts are similar only if equal or
+    to one of 5 words. A text of SHORT words has partners of 1.25 times as many, so these have both.
+    """
+    n, found = len(words), []
+    if n <= SHORT * 1.25:
+        for width, least, most in ((2, 4, 5), (3, 5, n)):
+            if least <= n <= most:
+                found.append(wb.mix(np.unique(wb.windows(words, width)) + np.uint64(width)))
+    if n > SHORT:
+        found.append(sketch(words))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """The edit distance of two sequences if it is at most ``most``, else most + 1.
 
@@ -146,7 +168,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, run in wb.batched(batch.column(1)):
             _, _, _, h, bounds = wb.run_words(run, wb.ALNUM)
-            found = [sketch(h[bounds[i] : bounds[i + 1]]) for i in range(len(run))]
+            found = [entries_of(h[bounds[i] : bounds[i + 1]]) for i in range(len(run))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             entries = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), entries, pa.array(np.diff(bounds), pa.int32())], ["doc_id", "node", "entries", "n_words"])
@@ -173,7 +195,7 @@ def _verify(similarity: float):
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node, entries and n_words of each row of ``docs``: one pass over the texts, 300 bytes a row, settled."""
+    """doc_id, node, entries and n_words of each row of ``docs``: one pass over the texts, 370 bytes a row, settled."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return settle(docs.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, node binary, entries array<long>, n_words int"))

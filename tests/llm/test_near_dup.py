@@ -111,3 +111,36 @@ def test_pairs_inside_a_large_template_are_found(spark):
         rows += [(2 * d, " ".join(text)), (2 * d + 1, " ".join(other))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in nd.near_duplicate_groups(docs).collect()} == brute_force(rows)
+
+
+def test_recall_of_planted_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for d in range(600):
+        n = rng.randint(60, 200)
+        text = [f"a{d}x{i}" for i in range(n)]
+        other = list(text)
+        for i in rng.sample(range(n), int(n * (0.2, 0.15, 0.1)[d % 3])):
+            other[i] = f"b{d}x{i}"
+        rows += [(2 * d, " ".join(text)), (2 * d + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in nd.near_duplicate_groups(docs).collect()}
+    got = [[found[2 * d + 1] == 2 * d for d in range(k, 600, 3)] for k in range(3)]
+    assert sum(got[0]) >= 0.97 * 200 and sum(got[1]) >= 199 and sum(got[2]) == 200
+
+
+def test_short_texts_are_found_exactly(spark):
+    rng = random.Random(13)
+    rows = [(0, "a b c d e"), (1, "a b x c d e"), (2, "f g h i j k l m n o"), (3, "f g h i x k l m n o")]
+    for d in range(400):
+        n = rng.randint(2, 32)
+        text = [f"a{d}x{rng.randrange(40)}" for _ in range(n)]
+        other = list(text)
+        for _ in range(n // 5):
+            at = rng.randrange(n)
+            other[at : at + rng.randint(0, 1)] = [f"b{d}x{at}"] * rng.randint(0, 1)
+        rows += [(2 * d + 10, " ".join(text)), (2 * d + 11, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    short = {d for d, t in rows if len(t.split()) <= 24}
+    want, found = brute_force(rows), {r.doc_id: r.class_id for r in nd.near_duplicate_groups(docs).collect()}
+    assert {d: found[d] for d in short} == {d: want[d] for d in short}
