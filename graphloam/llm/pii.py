@@ -96,12 +96,16 @@ def _octets(digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(digest, i * 4 + 1, 4), 16, 10).cast("int") % 223 + 1).cast("string")), ".")
 
 
-def _email(canon: Column, digest: Column) -> Column:
-    """A drawn local part of the same shape in a reserved domain with the same number of labels."""
+def _email(canon: Column, digest: Column, attempt: Column) -> Column:
+    """A drawn local part of the same shape in a reserved domain with the same number of labels.
+
+    The domain carries drawn hex digits, 8 at first and 4 more with each attempt up to 32, so
+    that there are enough addresses however short the local parts are.
+    """
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     labels = F.size(F.split(domain, r"\."))
-    host = F.when(labels > 2, F.concat(F.lit("h"), F.substring(digest, 40, 8), F.lit("."))).otherwise("")
-    return F.concat(_shape(local, _stretch(digest)), F.lit("@"), host, F.lit("example.invalid"))
+    drawn = F.concat(F.lit("h"), F.substring(F.sha2(F.concat(digest, F.lit("host")), 256), F.lit(1), F.least(attempt * 4 + 8, F.lit(32))))
+    return F.concat(_shape(local, _stretch(digest)), F.lit("@"), F.when(labels > 2, F.concat(drawn, F.lit(".example.invalid"))).otherwise(F.concat(drawn, F.lit(".invalid"))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -119,7 +123,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     shaped = _shape(canon, _stretch(digest))
     # country codes and the first digit of cards say what an entity is; they stay
     return (
-        F.when(kind == "email", _email(canon, digest))
+        F.when(kind == "email", _email(canon, digest, attempt))
         .when(kind == "ip", _octets(digest))
         .when(kind == "card", _luhn(F.concat(F.substring(canon, 1, 1), F.substring(shaped, 2, 400))))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(shaped, 3, 400)))

@@ -138,6 +138,15 @@ def test_surrogates_never_collide(spark):
     assert not {r.surrogate for r in made} & {r.canon for r in made}
 
 
+def test_short_addresses_never_run_out(spark):
+    # more addresses than local parts of one digit or letter, in domains of two and three labels
+    entities = spark.range(2000).selectExpr("'email' as kind", "concat(if(id % 2 = 0, 'x', '7'), '@d', id, if(id % 4 < 2, '.com', '.co.uk')) as canon")
+    made = pii.surrogate_table(entities, "k").collect()
+    assert len(made) == 2000 and len({r.surrogate for r in made}) == 2000
+    assert all(re.fullmatch(r"[a-z0-9]@h[0-9a-f]{8,32}(\.example)?\.invalid", r.surrogate) for r in made)
+    assert all((r.surrogate.count(".") == 2) == r.canon.endswith(".co.uk") for r in made)
+
+
 def test_language_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
