@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.session import settle
 
-MAX_ROUNDS = 64
+#: Rounds after which the pairs found so far become one table.
+GATHER = 32
+
+
+def rounds(most: int | None) -> Iterator[int]:
+    """Round numbers without end, or an error once ``most`` rounds did not settle."""
+    yield from count() if most is None else range(most)
+    raise RuntimeError(f"not settled in {most} rounds")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS, keep: Column | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None, keep: Column | None = None) -> DataFrame:
     """seed, node, depth: what each seed reaches over ``edges`` (src, dst), with the least number of steps.
 
     ``seeds`` has the column seed. A seed reaches itself only over a cycle. Cycles end by
     themselves: a pair is expanded once. Each round is checkpointed, so plans stay short.
+    Rounds go on until nothing new is found; with ``max_rounds``, up to that depth only.
     """
     edges = settle(edges.select("src", "dst").distinct() if keep is None else edges.filter(keep).select("src", "dst").distinct())
     frontier = seeds.select("seed").distinct().join(edges, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1))
     frontier = settle(frontier)
-    seen, parts = frontier, [frontier]
-    for depth in range(2, max_rounds + 1):
+    seen = frontier
+    for depth in count(2) if max_rounds is None else range(2, max_rounds + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = settle(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        parts.append(frontier)
         seen = seen.unionByName(frontier)
+        if depth % GATHER == 0:
+            seen = settle(seen)
     return seen
 
 
-def reach_count(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reach_count(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """seed, n: how many nodes each seed reaches; 0 for those that reach none."""
     found = closure(edges, seeds, max_rounds).filter("seed <> node").groupBy("seed").agg(F.count("*").alias("_n"))
     return seeds.select("seed").distinct().join(found, "seed", "left").select("seed", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
-def reach_of(edges: DataFrame, start: DataFrame, backward: bool = False, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def reach_of(edges: DataFrame, start: DataFrame, backward: bool = False, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, depth) reached from any of ``start`` (column seed), and the edges between them."""
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else edges
     one = start.select("seed").distinct()
@@ -47,7 +59,7 @@ def reach_of(edges: DataFrame, start: DataFrame, backward: bool = False, max_rou
     return nodes, inside
 
 
-def ancestors(parents: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def ancestors(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, ancestor, level over a table of node, parent: level 0 is the node itself."""
     up = parents.filter("parent is not null").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
     found = closure(up, parents.select(F.col("node").alias("seed")), max_rounds)
@@ -55,7 +67,7 @@ def ancestors(parents: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     return selves.unionByName(found.filter("seed <> node").select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("depth").alias("level")))
 
 
-def strong_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, component: nodes that reach each other share the least of their names.
 
     Nodes outside every cycle are trimmed first, so that the closure runs over cycles alone.
@@ -63,19 +75,19 @@ def strong_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFra
     edges = settle(edges.select("src", "dst").filter("src <> dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     core = edges
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         both = core.select(F.col("src").alias("node")).intersect(core.select(F.col("dst").alias("node")))
         left = settle(core.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         if left.count() == core.count():
             break
         core = left
-    pairs = settle(closure(core, core.select(F.col("src").alias("seed")), max_rounds).select("seed", "node"))
+    pairs = settle(closure(core, core.select(F.col("src").alias("seed"))).select("seed", "node"))
     mutual = pairs.join(pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node")), ["seed", "node"], "left_semi")
     low = mutual.groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("component"))
     return nodes.join(low, "node", "left").select("node", F.least(F.coalesce("component", "node"), "node").alias("component"))
 
 
-def reading_order(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def reading_order(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, component, level: users before what they use; a cycle is one step.
 
     The level of a component is the longest way to it from a component that nobody uses.
@@ -84,7 +96,7 @@ def reading_order(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     a, b = parts.toDF("src", "ca"), parts.toDF("dst", "cb")
     steps = settle(edges.join(a, "src").join(b, "dst").filter("ca <> cb").select("ca", "cb").distinct())
     level = settle(parts.select(F.col("component").alias("c")).distinct().withColumn("level", F.lit(0)))
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         longer = level.join(steps, F.col("c") == F.col("ca")).groupBy("cb").agg((F.max("level") + 1).alias("to"))
         nxt = settle(level.join(longer, F.col("c") == F.col("cb"), "left").select("c", F.greatest("level", F.coalesce("to", F.lit(0))).alias("level")))
         moved = nxt.join(level.withColumnRenamed("level", "was"), "c").filter("level <> was").isEmpty()

@@ -29,7 +29,7 @@ def render_parent(ancestors: DataFrame, include: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min(F.struct("level", "ancestor"))["ancestor"].alias("parent"))
 
 
-def group_reach(memberships: DataFrame, max_rounds: int = 64) -> DataFrame:
+def group_reach(memberships: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """member, grp, sub_level: transitive membership of groups (member, grp), safe against cycles."""
     from graphloam.operators.closure import closure
 

@@ -136,7 +136,7 @@ def match_requests(requests: DataFrame, routes: DataFrame) -> DataFrame:
     return scored.withColumn("_best", best).filter("score = _best").select("request", "route", "literals", "score").distinct()
 
 
-def implementers(refs: DataFrame, interfaces: DataFrame, max_rounds: int = 64) -> DataFrame:
+def implementers(refs: DataFrame, interfaces: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """type, implementer, resolution: who implements a type, through interfaces that extend it.
 
     refs(src, dst, kind, resolution); interfaces(id). The better resolution wins.

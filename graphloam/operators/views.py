@@ -105,7 +105,7 @@ def row_order(members: DataFrame, owner: str, start: str, ident: str) -> DataFra
     return members.withColumn("row", F.row_number().over(Window.partitionBy(owner).orderBy(start, ident)) - 1)
 
 
-def zoom_trail(views: DataFrame, max_rounds: int = 64) -> DataFrame:
+def zoom_trail(views: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """view, trail: the views above each view (view, parent), outermost first."""
     up = views.filter("parent is not null").select(F.col("view").alias("src"), F.col("parent").alias("dst"))
     found = closure(up, up.select(F.col("src").alias("seed")), max_rounds).filter("seed <> node")

@@ -245,3 +245,13 @@ def test_status_is_kept_across_batches(spark, tmp_path):
     q = watch.index_status(stream).writeStream.format("memory").queryName("status").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("status").collect()} == {("a", "c1", False, 0), ("b", "", True, 1)}
+
+
+def test_closure_goes_to_the_end_of_deep_graphs(spark):
+    chain = spark.range(70).selectExpr("id as src", "id + 1 as dst")
+    found = closure.closure(chain, chain.limit(0).selectExpr("src as seed").union(spark.range(1))).collect()
+    assert sorted((r.node, r.depth) for r in found) == [(i, i) for i in range(1, 71)]
+    ring = spark.range(70).selectExpr("id as src", "(id + 1) % 70 as dst")
+    assert {r.component for r in closure.strong_components(ring).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        closure.reading_order(chain.filter("src < 5"), max_rounds=2)
