@@ -71,18 +71,17 @@ def same(left: list[Column], right: list[Column]) -> Column:
     return out
 
 
-def join_salted(rows: DataFrame, unique: DataFrame, key: str, unique_key: str, spread: Column, salts: int = 32) -> DataFrame:
+def join_salted(rows: DataFrame, unique: DataFrame, key: str, unique_key: str, spread: Column, salts: int = 32, how: str = "inner") -> DataFrame:
     """``rows`` joined with a settled table that has each key once, however many rows share a key.
 
     A small table is broadcast. A larger one is repeated under each of ``salts`` numbers, and a
     row looks under the number that ``spread`` gives it, so a hot key is dealt to that many tasks.
     """
-    few = unique.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
-        return rows.join(F.broadcast(unique), F.col(key) == F.col(unique_key))
+    if unique.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(unique), F.col(key) == F.col(unique_key), how)
     each = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     mine = rows.withColumn("_salted", F.pmod(spread, F.lit(salts)).cast("int"))
-    return mine.join(each, (F.col(key) == F.col(unique_key)) & (F.col("_salted") == F.col("_salt"))).drop("_salt", "_salted")
+    return mine.join(each, (F.col(key) == F.col(unique_key)) & (F.col("_salted") == F.col("_salt")), how).drop("_salt", "_salted")
 
 
 def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:

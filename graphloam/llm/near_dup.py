@@ -1,23 +1,28 @@
 """Near-duplicate groups by Order MinHash and banded alignment.
 
-The k-mers of a text are its runs of three words, each labelled with the number of its earlier
+The k-mers of a text are its runs of five words, each labelled with the number of its earlier
 occurrences, so that a text with repeats is a set. Each sketch entry takes the ``tuple_size``
 labelled k-mers with the least hashes and keeps them in text order: two texts agree on an entry
 only if they share those k-mers in that order, which follows their edit similarity. Texts that
 agree on an entry are candidates; a banded alignment of their words decides. Of texts whose
-words were replaced at random, 40 entries of two three-word k-mers miss 0.7 % of the pairs at
-similarity 0.80 and less than 0.1 % from 0.85 on. Of short texts (SHORT words and less) every
-run of three words is an entry, so all similar pairs are candidates.
-
-Equal texts are one node. In each bucket the members are paired with two representatives
-first (the least and the greatest of a random order). Then members of a bucket that are not
-yet in one component are all compared with each other, in blocks, so that the components are
-those of all similar pairs that share a bucket.
+words were replaced at random places, 96 entries of two five-word k-mers give (measured on 200
+pairs each) 94 % of the pairs of 100 words at similarity 0.80 and 98 % of those of 200 and 600,
+and at least 99.5 % from 0.85 on. Texts of SHORT words and less hold too few k-mers for that:
+all their runs of four words (of two or three in the shortest) are entries, so that all of
+their similar pairs are candidates.
+
+Equal texts are one node. Buckets with the same members are one bucket. In each bucket the
+members are paired with two representatives first (the least and the greatest of a random
+order). Then members of a bucket that are not yet in one component are all compared with each
+other, in blocks of bounded size inside the tasks, so that the components are those of all
+similar pairs that share a bucket. Only pairs that their lengths and word counts allow leave
+that comparison.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import settle, shield, small, small_batches
+from graphloam.llm.common import join_salted, settle, shield, small, small_batches
 from graphloam.llm.components import connected_components
 
-KMER, ENTRIES, TUPLE, SIMILARITY = 3, 40, 2, 0.8
+KMER, ENTRIES, TUPLE, SIMILARITY = 5, 96, 2, 0.8
 #: Texts up to so many words go by all their runs of words, and by the sketch only where a partner may be longer.
-SHORT = 24
-#: Members of a bucket in a block; each task compares a block with another.
-BLOCK = 64
+SHORT = 80
+#: Members of a bucket in a block, about; a task holds a block and another one that it is compared with.
+BLOCK = 1024
+#: Bins of the word counts of a text: their differences bound the edit distance from below.
+BINS = 256
+#: Rows of a table of 64-bit keys that may be broadcast: about 40 bytes each.
+KEYS = 400_000
+#: Words of the longer text up to which an alignment holds the places of every word as one integer each.
+PLACES = 8_000
 #: Hash values that a sketch holds at a time.
 _CELLS = 1 << 21
+
+
 def _labelled(kmers: np.ndarray) -> np.ndarray:
     """k-mer hashes mixed with the number of earlier occurrences of the same k-mer."""
     order = np.argsort(kmers, kind="stable")
@@ -69,15 +82,16 @@ def sketch(words: np.ndarray, kmer: int = KMER, entries: int = ENTRIES, tuple_si
 
 
 def entries_of(words: np.ndarray) -> np.ndarray:
-    """The entries of a text: its sketch, and of a short text all runs of three words.
+    """The entries of a text: its sketch, and of a short text all runs of two, three or four words.
 
-    d <= 0.2 n edits leave one of d + 1 pieces of the longer text whole. From 6 words on such a
-    piece has three words or more, with 5 words two; shorter texts are similar only if equal or
-    to one of 5 words. A text of SHORT words has partners of 1.25 times as many, so these have both.
+    d <= 0.2 n edits leave one of d + 1 pieces of the longer text whole, of ceil((n - d) / (d + 1))
+    words at least: four from 16 words on, three from 6, two in 5; shorter texts are similar
+    only if equal or to one of 5 words. A text has partners of 0.8 to 1.25 times as many words,
+    so those near a limit have the entries of both sides.
     """
     n, found = len(words), []
     if n <= SHORT * 1.25:
-        for width, least, most in ((2, 4, 5), (3, 5, n)):
+        for width, least, most in ((2, 4, 5), (3, 5, 15), (4, 13, n)):
             if least <= n <= most:
                 found.append(wb.mix(np.unique(wb.windows(words, width)) + np.uint64(width)))
     if n > SHORT:
@@ -85,11 +99,41 @@ def entries_of(words: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+class _Places:
+    """The places of each word of a text inside a window, as the bits of an integer; bit 0 is the window's first place."""
+
+    def __init__(self, words: list):
+        self.whole: dict | None = {} if len(words) <= PLACES else None
+        if self.whole is not None:
+            for i, x in enumerate(words):
+                self.whole[x] = self.whole.get(x, 0) | 1 << i
+            return
+        held = np.array(words, np.int64)
+        order = np.argsort(held, kind="stable")
+        value, first = np.unique(held[order], return_index=True)
+        self.at = dict(zip(value.tolist(), np.split(order, first[1:]), strict=True))
+
+    def bits(self, word: int, start: int, width: int) -> int:
+        """The places of ``word`` from ``start`` (which may be negative) on."""
+        if self.whole is not None:
+            held = self.whole.get(word, 0)
+            return (held >> start if start >= 0 else held << -start) & ((1 << width) - 1)
+        places = self.at.get(word)
+        if places is None:
+            return 0
+        near = places[np.searchsorted(places, start) : np.searchsorted(places, start + width)] - start
+        if len(near) <= 4:
+            return sum(1 << int(p) for p in near)
+        marks = np.zeros(width, np.uint8)
+        marks[near] = 1
+        return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """The edit distance of two sequences if it is at most ``most``, else most + 1.
 
     Columns of the alignment table are vectors of bits, one integer each, that hold only the
-    diagonals within ``most`` of the main one.
+    diagonals within ``most`` of the main one. Memory is linear in the texts.
     """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
@@ -109,15 +153,13 @@ def banded_distance(a: list, b: list, most: int) -> int:
     # bit k of a column stands for row j - most + k of the table, for column j of b
     width = 2 * most + 1
     mask = (1 << width) - 1
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << (i + most)
+    places = _Places(a)
     top = 1 << (width - 1)
     plus, minus = mask ^ ((1 << most) - 1), 0  # vertical differences of the column before; none above row 0
     # distance on the diagonal through the last row of the band
     score = most
     for j in range(m):
-        match = (places.get(b[j], 0) >> j) & mask
+        match = places.bits(b[j], j - most, width)
         d0 = (((match & plus) + plus) ^ plus) | match | minus
         d0 &= mask
         hp = minus | ~(d0 | plus) & mask
@@ -174,14 +216,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), entries, pa.array(np.diff(bounds), pa.int32())], ["doc_id", "node", "entries", "n_words"])
 
 
+def _bag(words: np.ndarray) -> bytes:
+    """How many words fall into each of BINS bins by their hash, 255 at most."""
+    return np.minimum(np.bincount(words % np.uint32(BINS), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words as 32-bit values: enough to align with, at less than the bytes of the text."""
     for batch in batches:
         for at, run in wb.batched(batch.column(1)):
             _, _, _, h, bounds = wb.run_words(run, wb.ALNUM)
             short = (h >> np.uint64(32)).astype(np.uint32)
-            out = [short[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(run))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), pa.array(out, pa.binary())], ["doc_id", "node", "words"])
+            each = [short[bounds[i] : bounds[i + 1]] for i in range(len(run))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([_bag(x) for x in each], pa.binary())],
+                ["doc_id", "node", "words", "bag"],
+            )
 
 
 def _verify(similarity: float):
@@ -195,17 +245,18 @@ def _verify(similarity: float):
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node, entries and n_words of each row of ``docs``: one pass over the texts, 370 bytes a row, settled."""
+    """doc_id, node, entries and n_words of each row of ``docs``: one pass over the texts, settled."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return settle(docs.select("doc_id", "text").mapInArrow(_sketches, f"doc_id {kind}, node binary, entries array<long>, n_words int"))
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """entry, node and n_words of each member of a bucket of several nodes (columns node, entries, n_words), settled."""
-    entries = nodes.select("node", "n_words", F.explode("entries").alias("entry"))
-    several = settle(entries.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("entry").alias("_entry")))
-    return settle(entries.join(small(several), F.col("entry") == F.col("_entry")).select("entry", "node", "n_words"))
+    """entry, node of each member of a bucket of several nodes (columns node, entries), settled; of buckets with the same members, one."""
+    entries = nodes.select("node", F.explode("entries").alias("entry"))
+    counted = entries.groupBy("entry").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    several = settle(counted.groupBy("n", "members").agg(F.min("entry").alias("_entry")).select("_entry"))
+    return settle(entries.join(small(several, KEYS), F.col("entry") == F.col("_entry")).select("entry", "node"))
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
@@ -213,29 +264,82 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     order = F.xxhash64("node", F.pmod("entry", F.lit(2)))
     buckets = rows.groupBy("entry").agg(F.min_by("node", order).alias("first"), F.max_by("node", order).alias("last"))
     buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.array("first", "last").alias("_heads")))
-    pairs = rows.join(small(buckets), F.col("entry") == F.col("_entry")).select("node", F.explode("_heads").alias("head")).filter("node <> head")
+    pairs = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).select("node", F.explode("_heads").alias("head")).filter("node <> head")
     return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def remaining_pairs(rows: DataFrame, classes: DataFrame, checked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: all pairs that share a bucket, whose lengths allow it, and that neither a component (node, component) nor ``checked`` has.
+def _compare(similarity: float):
+    """mapInArrow function over rows sorted by cell: the pairs of a cell that components, lengths and bags allow."""
+
+    def pairs(cell: pa.Table) -> list:
+        column = lambda name: cell.column(name).to_numpy()
+        node, comp, n, right, outside = (column(c) for c in ("node", "comp", "n_words", "right", "outside"))
+        bag = np.frombuffer(b"".join(cell.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS).astype(np.int16)
+        left, right = np.flatnonzero(~right), np.flatnonzero(right)
+        out = []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            open_ = (comp[x][:, None] != comp[right]) & (~outside[right] | (node[x][:, None] < node[right]))
+            open_ &= np.minimum(n[x][:, None], n[right]) >= similarity * np.maximum(n[x][:, None], n[right])
+            i, j = np.nonzero(open_)
+            i, j = x[i], right[j]
+            for k in range(0, len(i), 4096):
+                p, q = i[k : k + 4096], j[k : k + 4096]
+                apart = bag[p] - bag[q]
+                more = np.maximum(apart, 0).sum(1)
+                good = np.maximum(more, more - apart.sum(1)) <= np.floor((1 - similarity) * np.maximum(n[p], n[q]) + 1e-9)
+                out.append((node[p[good]], node[q[good]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of a cell that the next batch may continue
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                part = pa.Table.from_batches([batch])
+                held = part if held is None else pa.concat_tables([held, part])
+            if held is None or not len(held):
+                continue
+            keys = [held.column(c).to_numpy() for c in ("entry", "i", "j")]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            ends = np.append(starts[1:], len(held))
+            found = []
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if b < len(held) or batch is None:
+                    found += pairs(held.slice(a, b - a))
+            held = held.slice(starts[-1]).combine_chunks()
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def remaining_pairs(rows: DataFrame, words: DataFrame, classes: DataFrame, checked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: pairs that share a bucket and may be similar, and that neither a component (node, component) nor ``checked`` has.
 
     In each bucket the members outside its largest component meet all members. Both sides are
-    dealt to blocks, and a pair meets in the cell of its two blocks alone.
+    dealt to blocks, and a pair meets in the cell of its two blocks alone, inside a task. There
+    the lengths and the bags of words (columns node, words, bag of ``words``) settle nearly all
+    of them: half the difference of two bags is no more than the edit distance. In buckets of three and
+    less, the representatives have met all.
     """
+    large = rows.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 3").select(F.col("entry").alias("_entry"))
+    rows = join_salted(rows, settle(large), "entry", "_entry", F.xxhash64("node")).select("entry", "node")
     inside = classes.select(F.col("node").alias("_n"), "component")
-    rows = settle(rows.join(inside, F.col("node") == F.col("_n"), "left").select("entry", "node", "n_words", F.coalesce("component", "node").alias("comp")))
+    rows = settle(rows.join(inside, F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("comp")))
     parts = rows.groupBy("entry", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("entry").agg(F.max(F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.col("_top.comp").alias("_main"), blocks(F.col("_all") - F.col("_top.n")).alias("_g"), blocks(F.col("_all")).alias("_h")))
-    members = rows.join(small(buckets), F.col("entry") == F.col("_entry")).withColumn("outside", F.col("comp") != F.col("_main"))
+    about = words.select(F.col("node").alias("_n"), (F.length("words") / 4).cast("int").alias("n_words"), "bag")
+    members = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).join(about, F.col("node") == F.col("_n")).withColumn("outside", F.col("comp") != F.col("_main"))
     cells = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    left = members.filter("outside").select("entry", block("_g").alias("i"), cells("_h").alias("j"), F.col("node").alias("x"), F.col("comp").alias("x_comp"), F.col("n_words").alias("x_n"))
-    right = members.select("entry", cells("_g").alias("i"), block("_h").alias("j"), F.col("node").alias("y"), F.col("comp").alias("y_comp"), F.col("n_words").alias("y_n"), "outside")
-    met = left.join(right, ["entry", "i", "j"]).filter("x_comp <> y_comp and (not outside or x < y)").filter(F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    what = ["node", "comp", "n_words", "outside", "bag"]
+    left = members.filter("outside").select("entry", block("_g").alias("i"), cells("_h").alias("j"), F.lit(False).alias("right"), *what)
+    right = members.select("entry", cells("_g").alias("i"), block("_h").alias("j"), F.lit(True).alias("right"), *what)
+    dealt = left.unionByName(right).repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    return dealt.mapInArrow(_compare(similarity), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def verified_pairs(words: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -249,20 +353,19 @@ def verified_pairs(words: DataFrame, pairs: DataFrame, similarity: float = SIMIL
 
 
 def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, class_node, class_id, class_size and n_links of each row of ``docs``.
+    """doc_id, node, class_node, class_id and class_size of each row of ``docs``.
 
     ``node`` stands for the words of the text, ``class_node`` for the group; ``class_id`` is
-    the least doc_id of the group. n_links is the number of links to other texts that were
-    verified to find the group; pairs that others had put into one group are not all among them. A
-    null text is equal to nothing: its node is null and it is alone. Texts without words are
-    equal if they are the same. Null doc_ids never name a group that has others; a group of
-    null doc_ids only has a null class_id. Columns beside doc_id and text are ignored.
+    the least doc_id of the group. A null text is equal to nothing: its node is null and it is
+    alone. Texts without words are equal if they are the same. Null doc_ids never name a group
+    that has others; a group of null doc_ids only has a null class_id. Columns beside doc_id
+    and text are ignored.
     """
     given = sketched(docs)
-    nodes = settle(given.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_carrier"), F.first("entries").alias("entries"), F.first("n_words").alias("n_words")))
+    nodes = settle(given.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_carrier"), F.first("entries").alias("entries")))
     # a settled table keeps its order, so its row numbers do too: 8 bytes stand for a text from here on
     numbered = nodes.withColumn("_number", F.monotonically_increasing_id())
-    buckets = bucket_rows(numbered.select(F.col("_number").alias("node"), "entries", "n_words"))
+    buckets = bucket_rows(numbered.select(F.col("_number").alias("node"), "entries"))
     pairs = settle(candidate_pairs(buckets))
     # of each text in a bucket of several, one document gives the words to align
     names = numbered.select("_number", F.col("node").alias("_node"), "_carrier")
@@ -270,21 +373,20 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     ids = wanted.select(F.col("_carrier").alias("_id")).distinct()
     chosen = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
-    words = settle(words.select(F.col("_number").alias("node"), "words").dropDuplicates(["node"]))
+    words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary, bag binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
+    words = settle(words.select(F.col("_number").alias("node"), "words", "bag").dropDuplicates(["node"]))
     links = settle(verified_pairs(words, pairs, similarity))
-    rest = settle(remaining_pairs(buckets, connected_components(links), pairs, similarity))
-    links = settle(links.unionByName(verified_pairs(words, rest, similarity)))
-    classes = connected_components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("_linked")).groupBy("_linked").agg(F.count("*").alias("n_links"))
-    named = classes.join(counts, F.col("node") == F.col("_linked")).join(names.select("_number", F.col("_node").alias("_of")), F.col("node") == F.col("_number")).drop("_number")
-    classes = settle(named.join(names.select("_number", F.col("_node").alias("_class_name")), F.col("component") == F.col("_number")).select("_of", F.col("_class_name").alias("component"), "n_links"))
-    out = given.select("doc_id", "node").join(small(classes), F.col("node") == F.col("_of"), "left").select("doc_id", "node", F.coalesce("component", "node").alias("class_node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    named = out.filter("class_node is not null").groupBy(F.col("class_node").alias("_class")).agg(F.min("doc_id").alias("_id"), F.count("*").alias("_size"))
+    rest = settle(remaining_pairs(buckets, words, connected_components(links), pairs, similarity))
+    classes = connected_components(links.unionByName(settle(verified_pairs(words, rest, similarity))))
+    named = classes.join(names.select("_number", F.col("_node").alias("_of")), F.col("node") == F.col("_number")).drop("_number")
+    heads = settle(named.select("component").distinct().join(names.select("_number", F.col("_node").alias("_class_name")), F.col("component") == F.col("_number")).select("_number", "_class_name"))
+    spread = F.xxhash64("doc_id")
+    classes = settle(join_salted(named, heads, "component", "_number", F.xxhash64("node")).select("_of", F.col("_class_name").alias("component")))
+    out = join_salted(given.select("doc_id", "node"), classes, "node", "_of", spread, how="left").select("doc_id", "node", F.coalesce("component", "node").alias("class_node"))
+    sizes = out.filter("class_node is not null").groupBy(F.col("class_node").alias("_class")).agg(F.min("doc_id").alias("_id"), F.count("*").alias("_size"))
     # groups of one need no join: only the others are looked up
-    several = settle(named.filter("_size > 1"))
-    joined = out.join(small(several), F.col("class_node") == F.col("_class"), "left")
-    return joined.select("doc_id", "node", "class_node", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_id")).alias("class_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("class_size"), "n_links")
+    joined = join_salted(out, settle(sizes.filter("_size > 1")), "class_node", "_class", spread, how="left")
+    return joined.select("doc_id", "node", "class_node", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_id")).alias("class_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -293,9 +395,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of rows with that doc_id in the group, one stays. Rows with null texts all stay. Rows of a
     group whose doc_ids are all null: one stays.
     """
-    groups = near_duplicate_groups(docs, similarity).filter("node is not null")
-    keepers = groups.filter("doc_id <=> class_id").groupBy("class_node").agg(F.min(F.struct("doc_id", "node")).alias("_keep"))
-    dropped = groups.join(keepers.select(F.col("class_node").alias("_c"), "_keep"), F.col("class_node") == F.col("_c")).filter(~(F.col("doc_id").eqNullSafe(F.col("_keep.doc_id")) & (F.col("node") == F.col("_keep.node"))))
+    groups = near_duplicate_groups(docs, similarity).filter("node is not null and class_size > 1")
+    keepers = settle(groups.filter("doc_id <=> class_id").groupBy(F.col("class_node").alias("_c")).agg(F.min(F.struct("doc_id", "node")).alias("_keep")))
+    dropped = join_salted(groups, keepers, "class_node", "_c", F.xxhash64("doc_id")).filter(~(F.col("doc_id").eqNullSafe(F.col("_keep.doc_id")) & (F.col("node") == F.col("_keep.node"))))
     gone = settle(dropped.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct())
     repeated = settle(groups.groupBy("doc_id", "node").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")))
     inner, restore = shield(docs, ("doc_id", "text"))

@@ -17,7 +17,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dup.near_duplicate_groups(table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return groups.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
