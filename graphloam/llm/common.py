@@ -84,6 +84,21 @@ def join_salted(rows: DataFrame, unique: DataFrame, key: str, unique_key: str, s
     return mine.join(each, (F.col(key) == F.col(unique_key)) & (F.col("_salted") == F.col("_salt")), how).drop("_salt", "_salted")
 
 
+def count_rank(n: Column) -> Column:
+    """A number that grows with a count and has some 2,000 values: the count itself up to 1,023, then 16 for each doubling."""
+    return F.when(n < 1024, n).otherwise(F.floor(F.log2(n) * 16) + 1024 - 160).cast("int")
+
+
+def rank_edge(counts: DataFrame, most: int) -> int:
+    """The least rank of ``n`` from which on ``counts`` has at most ``most`` rows: no task sorts or holds them."""
+    edge, held = 2**31 - 1, 0
+    for r in sorted(counts.groupBy(count_rank(F.col("n")).alias("r")).agg(F.count("*").alias("v")).collect(), reverse=True):
+        if held + r["v"] > most:
+            break
+        edge, held = r["r"], held + r["v"]
+    return edge
+
+
 def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that come before.
 
@@ -99,4 +114,4 @@ def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str]
     return placed.join(offsets, keys).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
 
 
-__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "id_text", "join_salted", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]
+__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "count_rank", "id_text", "join_salted", "rank_edge", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]

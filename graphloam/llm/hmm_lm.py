@@ -1,12 +1,13 @@
 """A hidden Markov language model over words, beside a smoothed unigram base.
 
 All training tokens are counted, with no limit on the vocabulary. The states of the model emit
-the most frequent words directly and all other words through classes by length; inside its
-class a word has its smoothed share, so the model is normalised over all words. Baum-Welch
-runs over all training texts: tasks run forward and backward over segments and their expected
+the frequent words directly (LEAST_DIRECT times and more, SYMBOLS of them at most) and all other
+words through classes by length; inside its class a word has its smoothed share, so the model is
+normalised over all words. Baum-Welch runs over all training texts, whole: each segment gives
+the product of its scaled step matrices, the products carry the state forward and backward
+through the text, and forward and backward passes inside the segments start from there. Expected
 counts are summed by Spark, so that the driver sees one table of states by symbols a round.
-Scoring is exact: each segment gives the product of its scaled step matrices, and the products
-are carried through the whole text.
+Scoring carries the same products through the whole text and is exact.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import id_text, small_batches
+from graphloam.llm.common import count_rank, id_text, rank_edge, small_batches
 from graphloam.session import settle, stored
 
-STATES, ROUNDS, SYMBOLS, SEGMENT = 4, 4, 8192, 64
+STATES, ROUNDS, SEGMENT = 4, 4, 64
+#: Words that states emit directly: those seen so often, and so many at most (4 numbers each in every task).
+LEAST_DIRECT, SYMBOLS = 20, 65_536
+#: Steps between two scalings of a product of step matrices.
+_SCALED = 8
 #: Words whose counts every task holds (16 bytes each); the others meet their counts in a join.
 HEAD = 500_000
 SMOOTH = 0.1
@@ -97,12 +102,17 @@ class Vocabulary:
         return np.log10(self.class_tokens + SMOOTH * (self.class_words + 1))
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD, symbols: int = SYMBOLS) -> Vocabulary:
-    """The head and the totals of a table of hash, n. At most ``head`` rows reach the driver."""
-    top = counts.orderBy(F.desc("n"), "hash").limit(head).toArrow()
+def vocabulary(counts: DataFrame, head: int = HEAD, symbols: int = SYMBOLS, least: int = LEAST_DIRECT) -> Vocabulary:
+    """The head and the totals of a table of hash, n. At most ``head`` rows, and the end, reach the driver.
+
+    The head is all words of at least that count at which there are no more than ``head``:
+    found from the number of words of each rank, so no task sorts or holds the vocabulary.
+    """
+    edge = rank_edge(counts, head)
+    top = counts.filter((count_rank(F.col("n")) >= edge) | (F.col("hash") == int(END.view(np.int64)))).select("hash", "n").toArrow()
     hashes, n = top.column("hash").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.lexsort((hashes, -n))
-    words = order[hashes[order] != END][:symbols]
+    words = order[(hashes[order] != END) & (n[order] >= least)][:symbols]
     number = np.full(len(hashes), -1, np.int64)
     number[words] = np.arange(1, len(words) + 1)  # symbol 0 is the end
     number[hashes == END] = 0
@@ -135,7 +145,7 @@ def _encode(held, keep: str):
                 in_head = found >= 0
                 symbol = np.where(in_head, v.symbols[found] if len(v.symbols) else -1, -1)
                 own = symbol >= 0  # words that states emit directly
-                symbol = np.where(own, symbol, v.n_symbols + kind).astype(np.uint16)
+                symbol = np.where(own, symbol, v.n_symbols + kind).astype(np.uint32)
                 log = np.where(in_head, logs[found] if len(logs) else 0.0, 0.0)
                 add = lambda x: np.concatenate([[0.0], np.cumsum(x)])[bounds]  # noqa: E731, B023
                 head_log, known = np.diff(add(log)), np.diff(add(in_head.astype(float)))
@@ -143,7 +153,7 @@ def _encode(held, keep: str):
                 texts, tails = [], []
                 for i in range(len(run)):
                     a, b = bounds[i], bounds[i + 1]
-                    texts.append(np.append(symbol[a:b], np.uint16(0)).tobytes())
+                    texts.append(np.append(symbol[a:b], np.uint32(0)).tobytes())
                     tails.append(tokens[a:b][~in_head[a:b]].tobytes())
                 n = np.diff(bounds) + 1
                 yield pa.RecordBatch.from_arrays(
@@ -198,17 +208,68 @@ def _segments(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     text = np.repeat(np.arange(len(n)), rows)
     place = np.arange(len(text)) - np.repeat(np.cumsum(rows) - rows, rows)
     length = np.minimum(n[text] - place * SEGMENT, SEGMENT)
-    out = np.zeros((len(text), SEGMENT), np.uint16)
+    out = np.zeros((len(text), SEGMENT), np.uint32)
     out[np.arange(SEGMENT)[None, :] < length[:, None]] = np.concatenate(symbols)
     return out, length, text
 
 
+def _products(x: np.ndarray, length: np.ndarray, head: np.ndarray, model: Hmm) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled product of the step matrices of each segment, and the log10 of its scale.
+
+    The first step of a text (``head``) has no transition: its start is applied when products are chained.
+    """
+    n, states = len(x), len(model.start)
+    order = np.argsort(-length, kind="stable")
+    ranked, sizes, first = x[order], length[order], head[order]
+    matrix, logs = np.tile(np.eye(states), (n, 1, 1)), np.zeros(n)
+    for t in range(SEGMENT):
+        k = int(np.searchsorted(-sizes, -t, "left"))
+        if not k:
+            break
+        moved = (matrix[:k].reshape(-1, states) @ model.step).reshape(k, states, states)
+        if t == 0:
+            moved[first[:k]] = np.eye(states)
+        moved *= model.emit[ranked[:k, t]][:, None, :]
+        matrix[:k] = moved
+        if t % _SCALED == _SCALED - 1 or t == SEGMENT - 1:
+            # rows that ended since the last scaling are scaled with the others: the factor goes to their logs
+            peak = matrix.reshape(n, -1).max(1)
+            matrix /= peak[:, None, None]
+            logs += np.log10(peak)
+    peak = matrix.reshape(n, -1).max(1, initial=0)
+    matrix, logs = matrix / peak[:, None, None], logs + np.log10(peak)
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    return matrix[back], logs[back]
+
+
+def _ends(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last segment of each text."""
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    return first, np.append(first[1:], len(text))
+
+
 def expectations(symbols: list[np.ndarray], model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts (S), steps (S, S), emissions (symbols, S) and the log-likelihood, by segments."""
+    """Expected starts (S), steps (S, S), emissions (symbols, S) of whole texts, and their log10 likelihood."""
     x, length, text = _segments(symbols)
-    order = np.argsort(-length, kind="stable")
-    x, length, text = x[order], length[order], text[order]
     n, states = len(x), len(model.start)
+    first, last = _ends(text)
+    head = np.zeros(n, bool)
+    head[first] = True
+    before, after = np.tile(model.start, (n, 1)), np.ones((n, states))  # at the edges of each segment
+    if n > len(first):
+        matrix, _ = _products(x, length, head, model)
+        most = int((last - first).max())
+        for j in range(most - 1):
+            on = first[first + j + 1 < last] + j
+            moved = np.einsum("ns,nst->nt", before[on], matrix[on])
+            before[on + 1] = moved / moved.sum(1, keepdims=True)
+        for j in range(most - 1):
+            on = last[last - j - 2 >= first] - j - 1
+            moved = np.einsum("nst,nt->ns", matrix[on], after[on])
+            after[on - 1] = moved / moved.sum(1, keepdims=True)
+    order = np.argsort(-length, kind="stable")
+    x, length, head, before, beta = x[order], length[order], head[order], before[order], after[order]
     live = [int(np.searchsorted(-length, -t, "left")) for t in range(SEGMENT)]  # rows longer than t
     alpha, scale = np.zeros((SEGMENT, n, states)), np.ones((SEGMENT, n))
     likelihood = 0.0
@@ -216,11 +277,16 @@ def expectations(symbols: list[np.ndarray], model: Hmm) -> tuple[np.ndarray, np.
         k = live[t]
         if not k:
             break
-        a = (np.broadcast_to(model.start, (k, states)) if t == 0 else alpha[t - 1, :k] @ model.step) * model.emit[x[:k, t]]
+        moved = (before if t == 0 else alpha[t - 1, :k]) @ model.step
+        if t == 0:
+            moved[head] = model.start
+        a = moved * model.emit[x[:k, t]]
         scale[t, :k] = a.sum(1)
         alpha[t, :k] = a / scale[t, :k, None]
         likelihood += float(np.log10(scale[t, :k]).sum())
-    beta, steps = np.ones((n, states)), np.zeros((states, states))
+    # alpha and beta of a token multiply to its share of each state
+    beta /= (alpha[length - 1, np.arange(n)] * beta).sum(1, keepdims=True)
+    starts, steps = np.zeros(states), np.zeros((states, states))
     weights, places = [], []
     for t in range(SEGMENT - 1, -1, -1):
         k = live[t]
@@ -228,45 +294,25 @@ def expectations(symbols: list[np.ndarray], model: Hmm) -> tuple[np.ndarray, np.
             continue
         weights.append(alpha[t, :k] * beta[:k])
         places.append(x[:k, t])
+        onward = model.emit[x[:k, t]] * beta[:k] / scale[t, :k, None]
         if t:
-            after = model.emit[x[:k, t]] * beta[:k] / scale[t, :k, None]
-            steps += alpha[t - 1, :k].T @ after
-            beta[:k] = after @ model.step.T
+            steps += alpha[t - 1, :k].T @ onward
+            beta[:k] = onward @ model.step.T
+        else:
+            steps += before[~head].T @ onward[~head]
+            starts = weights[-1][head].sum(0)
     gamma, at = np.concatenate(weights), np.concatenate(places)
     emits = np.stack([np.bincount(at, weights=gamma[:, s], minlength=len(model.emit)) for s in range(states)], 1)
-    return weights[-1].sum(0), steps * model.step, emits, likelihood
+    return starts, steps * model.step, emits, likelihood
 
 
 def likelihoods(symbols: list[np.ndarray], model: Hmm) -> np.ndarray:
-    """log10 of the exact probability of each text.
-
-    Segments are run through once from every state, scaled at each step; the texts then chain
-    the matrices of their segments.
-    """
+    """log10 of the exact probability of each text."""
     x, length, text = _segments(symbols)
-    n, states = len(x), len(model.start)
-    order = np.argsort(-length, kind="stable")
-    ranked, sizes = x[order], length[order]
-    head = np.concatenate([[True], text[1:] != text[:-1]])[order]
-    matrix, logs = np.zeros((n, states, states)), np.zeros(n)
-    matrix[:] = np.eye(states)
-    for t in range(SEGMENT):
-        k = int(np.searchsorted(-sizes, -t, "left"))
-        if not k:
-            break
-        # the first step of a text has no transition: its start is applied when matrices are chained
-        moved = matrix[:k] @ model.step
-        if t == 0:
-            moved[head[:k]] = np.eye(states)
-        moved *= model.emit[ranked[:k, t]][:, None, :]
-        peak = moved.reshape(k, -1).max(1)
-        matrix[:k] = moved / peak[:, None, None]
-        logs[:k] += np.log10(peak)
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    matrix, logs = matrix[back], logs[back]
-    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    last = np.append(first[1:], n)
+    first, last = _ends(text)
+    head = np.zeros(len(x), bool)
+    head[first] = True
+    matrix, logs = _products(x, length, head, model)
     state, total = np.tile(model.start, (len(first), 1)), np.zeros(len(first))
     for j in range(int((last - first).max(initial=0))):
         on = np.flatnonzero(first + j < last)
@@ -279,14 +325,15 @@ def likelihoods(symbols: list[np.ndarray], model: Hmm) -> np.ndarray:
 
 
 def _runs(symbols: list[np.ndarray]):
-    """Lists of texts of about _TOKENS symbols."""
+    """Lists of texts of about _TOKENS symbols in segments, so that short texts take no more memory than long ones."""
     run, size, at = [], 0, 0
     for i, x in enumerate(symbols):
-        if run and size + len(x) > _TOKENS:
+        room = -(-len(x) // SEGMENT) * SEGMENT
+        if run and size + room > _TOKENS:
             yield at, run
             run, size, at = [], 0, i
         run.append(x)
-        size += len(x)
+        size += room
     if run:
         yield at, run
 
@@ -302,7 +349,7 @@ def baum_welch(encoded: DataFrame, guess: Hmm, rounds: int = ROUNDS) -> Hmm:
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model, total = held.value, None
             for batch in batches:
-                for _, run in _runs([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(0)]):
+                for _, run in _runs([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)]):
                     start, step, emit, _ = expectations(run, model)
                     table = np.concatenate([start[None], step, emit])
                     total = table if total is None else total + table
@@ -312,12 +359,11 @@ def baum_welch(encoded: DataFrame, guess: Hmm, rounds: int = ROUNDS) -> Hmm:
                 seen = total.any(1)
                 yield pa.RecordBatch.from_arrays([pa.array(key[seen]), *[pa.array(total[seen, s]) for s in range(states)]], ["key", *names])
 
-        rows = training.mapInArrow(expect, "key long, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).collect()  # symbols + states + 1 rows at most
-        if not rows:
+        rows = training.mapInArrow(expect, "key long, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # symbols + states + 1 rows at most
+        if not len(rows):
             return model
         table = np.full((1 + states + len(model.emit), states), 1e-3)
-        for r in rows:
-            table[r["key"] + 1 + states] += [r[n] for n in names]
+        table[rows.column("key").to_numpy() + 1 + states] += np.stack([rows.column(n).to_numpy() for n in names], 1)
         start, step, emit = table[0], table[1 : 1 + states], table[1 + states :]
         model = Hmm(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
         held.unpersist()
@@ -328,7 +374,7 @@ def held_out(folds: int = 10) -> Column:
     return F.crc32(id_text(F.col("doc_id")).cast("binary")) % folds == 0
 
 
-def score_documents(docs: DataFrame, folds: int = 10, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS, least: int = LEAST_DIRECT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
 
     A null text is empty: one token, its end. Learning uses the rows that are not held out;
@@ -338,7 +384,7 @@ def score_documents(docs: DataFrame, folds: int = 10, states: int = STATES, roun
     small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("string"), held_out(folds).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(given.filter("not held_out").select("text").mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
-    v = vocabulary(counts, head, symbols)
+    v = vocabulary(counts, head, symbols, least)
     held = docs.sparkSession.sparkContext.broadcast(v)
     encoded = stored(given.mapInArrow(_encode(held, _ENCODED), _ENCODED), "encoded")
 
@@ -353,7 +399,7 @@ def score_documents(docs: DataFrame, folds: int = 10, states: int = STATES, roun
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [likelihoods(run, sent.value) for _, run in _runs([np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(6)])]
+            out = [likelihoods(run, sent.value) for _, run in _runs([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(6)])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(np.concatenate(out) if out else np.zeros(0)), *batch.columns[7:]], ["row", "doc_id", "held_out", "n_tokens", "n_known", "head_log", "forward", "other_log"])
 
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "head_log", "symbols", "other_log").mapInArrow(forward, "row long, doc_id string, held_out boolean, n_tokens long, n_known long, head_log double, forward double, other_log double")
