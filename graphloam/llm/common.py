@@ -114,4 +114,27 @@ def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str]
     return placed.join(offsets, keys).withColumn(out, F.col("_offset") + F.col("_inside")).drop("_offset", "_inside")
 
 
-__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "count_rank", "id_text", "join_salted", "rank_edge", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]
+def copies(df: DataFrame, count: str, out: str, chunk: int = 10_000) -> DataFrame:
+    """Each row ``count`` times, with its number from 0 in ``out``; no array holds more than ``chunk`` numbers."""
+    step = F.lit(chunk)
+    many = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / step))))
+    return many.withColumn(out, F.explode(F.sequence(F.col("_part") * step, F.least(F.col("_part") * step + step, F.col(count)) - 1))).drop("_part", count)
+
+
+def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Number the rows of equal ``keys`` (nulls are equal) from 0 in ``out``, by the partitions they are read in.
+
+    A window holds the equal rows of one partition of ``df``, and only counts are added up by
+    key, so rows that are all equal stay in as many tasks as they came in.
+    """
+    given = df.withColumn("_in", F.spark_partition_id())
+    inside = Window.partitionBy(*keys, "_in").orderBy(F.lit(0))
+    before = Window.partitionBy(*[f"_key{i}" for i in range(len(keys))]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = given.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_in").alias("_of")).agg(F.count("*").alias("_rows"))
+    counts = settle(counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"))
+    match = same([*[F.col(k) for k in keys], F.col("_in")], [*[F.col(f"_key{i}") for i in range(len(keys))], F.col("_of")])
+    placed = given.withColumn("_place", F.row_number().over(inside) - 1).join(small(counts), match)
+    return placed.withColumn(out, F.col("_before") + F.col("_place")).drop("_place", "_before", "_of", "_in", *[f"_key{i}" for i in range(len(keys))])
+
+
+__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "copies", "count_rank", "id_text", "join_salted", "numbered", "rank_edge", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]

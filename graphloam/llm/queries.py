@@ -21,7 +21,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", F.array_join(F.transform("shard_words", lambda n: n.cast("string")), ",").alias("shard_words"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,13 +86,18 @@ t AS (SELECT source, rank, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (
 n AS (SELECT round(sum(source_size) / 16)::BIGINT AS blocks FROM t),
 seats AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, rank, seat) AS place
           FROM (SELECT rank, target, unnest(range((target / 16)::BIGINT + 100)) AS seat FROM t WHERE target > 0)),
-q AS (SELECT rank, count(*) AS blocks FROM seats, n WHERE place <= n.blocks GROUP BY rank),
-p AS (SELECT t.*, least(coalesce(q.blocks, 0) * 16, source_size * 3) AS take, greatest(source_size, 1) AS size1 FROM t LEFT JOIN q USING (rank)),
+q AS (SELECT t.rank, s, least(count(place) FILTER (place <= n.blocks * (s + 1) // 8) * 16, any_value(t.source_size) * 3) AS upto
+      FROM t CROSS JOIN n CROSS JOIN range(8) g(s) LEFT JOIN seats ON seats.rank = t.rank GROUP BY t.rank, s, n.blocks),
+cuts AS (SELECT rank, s, coalesce(lag(upto) OVER (PARTITION BY rank ORDER BY s), 0) AS lo, upto AS hi FROM q),
+p AS (SELECT t.*, q.upto AS take, greatest(source_size, 1) AS size1 FROM t JOIN q ON q.rank = t.rank AND s = 7),
 o AS (SELECT *, take // size1 AS rounds, take % size1 AS rest, {_crc("'start:20:' || coalesce(source, 'null')")} % ceil(size1 / 16)::BIGINT * 16 AS start FROM p),
-a AS (SELECT d.doc_id, d.source, d.size, o.* EXCLUDE (source), coalesce(sum(d.size) OVER (PARTITION BY o.rank ORDER BY md5('20:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.crc), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-      FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source)
-SELECT doc_id, source, size, source_size, target, (rounds * size + greatest(least(start + rest, pos + size) - greatest(start, pos), 0) + least(greatest(start + rest - source_size - pos, 0), size))::BIGINT AS taken
-FROM a"""
+a AS (SELECT row_number() OVER () AS r, d.doc_id, d.source, d.size, o.* EXCLUDE (source), coalesce(sum(d.size) OVER (PARTITION BY o.rank ORDER BY md5('20:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || d.crc), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+      FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source),
+b AS (SELECT r, s, sum(greatest(least(hi, least(ahead + size, size1) + w * size1) - greatest(lo, ahead + w * size1), 0) + greatest(least(hi, ahead + size - size1 + w * size1) - greatest(lo, w * size1), 0))::BIGINT AS n
+      FROM (SELECT r, rank, size, size1, (pos - start + size1) % size1 AS ahead FROM a) JOIN cuts USING (rank) CROSS JOIN range(4) g(w) GROUP BY r, s),
+v AS (SELECT r, string_agg(n::VARCHAR, ',' ORDER BY s) AS shard_words FROM b GROUP BY r)
+SELECT doc_id, source, size, source_size, target, shard_words, (rounds * size + greatest(least(start + rest, pos + size) - greatest(start, pos), 0) + least(greatest(start + rest - source_size - pos, 0), size))::BIGINT AS taken
+FROM a JOIN v USING (r)"""
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _OP4 = f"""

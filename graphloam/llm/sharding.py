@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import id_text, running_start
-
-#: Rows that one repeated row is expanded into at a time.
-_CHUNK = 10_000
+from graphloam.llm.common import copies, id_text, running_start, settle
 
 
 def _score(key: Column, shard: Column, weight: Column) -> Column:
@@ -60,7 +57,5 @@ def shard_layout(docs: DataFrame, weights: list[float], grown_weight: float = 1.
     placed = counted.withColumn("shard", rendezvous(key, weights)).withColumn("_h", F.md5(key))
     placed = placed.withColumn("grown_shard", regrown(key, weights, F.col("shard"), grown_weight)).withColumn("_bucket", F.substring("_h", 1, bucket_digits))
     placed = running_start(placed, ["shard"], "_bucket", ["_h", "size", "text_crc32"], "_n", "_from")
-    step = F.lit(_CHUNK)
-    many = placed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step))))
-    many = many.withColumn("_i", F.explode(F.sequence(F.col("_part") * step, F.least(F.col("_part") * step + step, F.col("_n")) - 1)))
+    many = copies(placed, "_n", "_i")
     return many.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), (F.col("_from") + F.col("_i")).alias("slot"), F.col("grown_shard").cast("int"))

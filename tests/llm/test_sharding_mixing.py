@@ -80,6 +80,41 @@ def test_mix_meets_targets(spark, sf):
     assert sorted(rows) == sorted(mixing.mix(docs.repartition(7)).collect())
 
 
+def test_each_shard_gets_the_blocks_of_its_quota(spark, sf):
+    docs = table(spark, sf, "documents")
+    for shards in (1, 8):
+        rows = mixing.mix(docs, shards=shards).collect()
+        got = Counter()
+        for r in rows:
+            assert sum(r.shard_words) == r.taken and min(r.shard_words) >= 0
+            for s, n in enumerate(r.shard_words):
+                got[r.source, s] += n
+        plan = mixing.source_targets(mixing.sized(docs).select("source", (F.col("size") * F.col("_n")).alias("size")))
+        sizes = {r.source: r.source_size for r in plan.collect()}
+        for r in mixing.shard_quotas(plan, 16, shards).collect():
+            assert got[r.source, r.shard] == min(r.upto * 16, 3 * sizes[r.source]) - min((r.upto - r.blocks) * 16, 3 * sizes[r.source])
+
+
+def test_many_equal_rows_are_mixed_as_others_are(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 700 + [(i, f"w{i} x", "ab"[i % 2]) for i in range(2, 300)] + [(1, "one two three", None)], "doc_id long, text string, source string").repartition(5)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 999 and sorted(r.copy for r in rows if r.doc_id == 1 and r.source == "a") == list(range(700))
+    assert sum(words(r.text) for r in mixing.mixed_documents(docs).collect()) == sum(r.taken for r in rows)
+
+
+def test_quotas_of_many_sources(spark):
+    import random
+
+    rng = random.Random(8)
+    sizes = {f"s{i:03}": rng.choice((0, 1, 5, 50, 5000)) for i in range(60)}
+    plan = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long"))
+    goal = targets(sizes)
+    seats = sorted((-goal[s] / (2 * k + 1), s, k) for s in sizes for k in range(3000) if goal[s] > 0)
+    for r in mixing.shard_quotas(plan, 16, 3).collect():
+        house = round(sum(sizes.values()) / 16) * (r.shard + 1) // 3
+        assert r.upto == sum(s == r.source for _, s, _ in seats[:house])
+
+
 def test_quotas_are_those_of_the_highest_quotients(spark):
     sizes = {"a": 1000, "b": 333, "c": 90, "d": 7, None: 40}
     rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
