@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import ascii_lower, settle, shield, small_batches
+from graphloam.llm.common import ascii_lower, join_salted, settle, shield, small_batches
 
 WIDTH = 10
 #: Windows that may be broadcast: about 500 bytes each on the driver and in a task.
 MOST_WINDOWS = 200_000
 #: log2 of the bits of the filter for a larger set.
 FILTER_BITS = 27
+SALTS = 8
 
 _WINDOWS = "hash long, width int, words binary, item string"
 
@@ -42,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                         out.append((int(x.view(np.int64)), w, b" ".join(data[s[j] : e[j]].tobytes() for j in range(a + k, a + k + w)), items[at + i]))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.string()))], ["hash", "width", "words", "item"])
 
-    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, _WINDOWS).filter("item is not null").distinct()
+    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, _WINDOWS).distinct()
 
 
 def _lookup(rows: list) -> dict:
@@ -92,7 +93,7 @@ def _scan(held, columns: int):
                         words = b" ".join(data[s[j] : e[j]].tobytes() for j in range(k, k + width))
                         if words in by_hash[x]:
                             marks[i].append((k - int(bounds[i]), k - int(bounds[i]) + width))
-                            items[i].update(by_hash[x][words])
+                            items[i].update(item for item in by_hash[x][words] if item is not None)
                 n_words += np.diff(bounds).tolist()
                 hits += [merged(m) for m in marks]
                 found_items += [sorted(x) for x in items]
@@ -117,8 +118,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """Add n_words, hits (half-open spans of word numbers), items and contaminated to the rows of ``docs``.
 
     Items of fewer than ``width`` words are one window. Null and empty texts have no words and
-    no hits. Items with a null id are left out; equal ids count as one item. Columns of the
-    same names as the added ones are replaced. An empty benchmark marks nothing.
+    no hits. The words of an item with a null id are hit as others are, but it has no id to
+    name; equal ids count as one item. Columns of the same names as the added ones are
+    replaced. An empty benchmark marks nothing.
     """
     small_batches(docs.sparkSession)
     inner, restore = shield(docs, ("text",))
@@ -154,9 +156,12 @@ def _joined(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["key", "first", "width", "hash", "words"])
 
     given = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    seen = given.select("_key", "text").mapInArrow(candidates, "key binary, first long, width int, hash long, words binary")
-    hits = seen.join(windows, ["hash", "width", "words"]).groupBy("key").agg(F.collect_set(F.struct("first", (F.col("first") + F.col("width")).alias("last"))).alias("_spans"), F.sort_array(F.collect_set("item")).alias("items"))
-    joined = given.join(hits, F.col("_key") == F.col("key"), "left")
+    # equal texts are one key; a window that very many texts have is dealt to SALTS tasks
+    seen = given.select("_key", "text").mapInArrow(candidates, "key binary, first long, width int, hash long, words binary").distinct()
+    seen = seen.withColumn("_salt", F.pmod(F.xxhash64("key", "first"), F.lit(SALTS)).cast("int"))
+    every = windows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = seen.join(every, ["hash", "width", "words", "_salt"]).groupBy("key").agg(F.collect_set(F.struct("first", (F.col("first") + F.col("width")).alias("last"))).alias("_spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    joined = join_salted(given, settle(hits), "_key", "key", F.spark_partition_id(), SALTS, "left")
     empty = F.array().cast("array<struct<first:long,last:long>>")
     step = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["last"]),

@@ -71,7 +71,7 @@ WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, (coalesce(strl
 s AS (SELECT *, list_transform(range({SHARDS + 1}), lambda i: ('0x' || substr(md5(k || ':' || i), 1, 13))::BIGINT) AS draws FROM d),
 p AS (SELECT *, list_max(list_transform(range({SHARDS}), lambda i: {{'v': draws[i + 1], 'i': i}})).i AS shard, list_max(list_transform(range({SHARDS + 1}), lambda i: {{'v': draws[i + 1], 'i': i}})).i AS grown FROM s)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
-       (row_number() OVER (PARTITION BY shard ORDER BY md5(k), size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard
+       (row_number() OVER (PARTITION BY shard ORDER BY md5(k || ':' || size || ':' || text_crc32), size, text_crc32) - 1)::BIGINT AS slot, grown::INT AS grown_shard
 FROM p"""
 
 _OP3 = f"""
@@ -102,13 +102,13 @@ FROM a JOIN v USING (r)"""
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, width, array_to_string(w[i:i + width - 1], ' ') AS gram FROM (SELECT item, w, least(len(w), 10) AS width, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 widths AS (SELECT DISTINCT width FROM bw),
 dw AS (SELECT r, width, i, array_to_string(w[i:i + width - 1], ' ') AS gram FROM (SELECT r, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, widths)),
 hits AS (SELECT r, item, width, i FROM dw JOIN bw USING (width, gram)),
 hit AS (SELECT r, count(DISTINCT word) AS n FROM (SELECT r, unnest(range(i, i + width)) AS word FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 

@@ -43,19 +43,22 @@ def assign_shards(df: DataFrame, keys: list[str], weights: list[float], column:
     return df.withColumn(column, rendezvous(F.concat_ws("\x1f", *[id_text(df[k]) for k in keys]), weights))
 
 
-def shard_layout(docs: DataFrame, weights: list[float], grown_weight: float = 1.0, bucket_digits: int = 2) -> DataFrame:
+def shard_layout(docs: DataFrame, weights: list[float], grown_weight: float = 1.0, bucket_digits: int = 3) -> DataFrame:
     """One row for each document: its shard, its slot there, and its shard if there were one more.
 
-    Slots count from 0 without gaps in the order of a hash of doc_id, then size and checksum.
-    Equal rows are counted before the shuffle and expanded after their slots are known, so a
-    key that holds a third of all rows is one row on the way. A null text has no bytes: size 16,
-    checksum 0. A null doc_id is a key of its own. Columns beside doc_id and text are ignored.
+    Slots count from 0 without gaps in the order of a hash of doc_id, size and checksum. Shards
+    are scored where the texts are read. Equal rows are counted before the shuffle and expanded
+    after their slots are known, so a row that a third of all rows repeat is one row on the way,
+    and rows of one doc_id with different texts are dealt to many buckets. A null text has no
+    bytes: size 16, checksum 0. A null doc_id is a key of its own. Columns beside doc_id and
+    text are ignored.
     """
     rows = docs.select(F.col("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"))
-    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
     key = id_text(F.col("doc_id"))
-    placed = counted.withColumn("shard", rendezvous(key, weights)).withColumn("_h", F.md5(key))
-    placed = placed.withColumn("grown_shard", regrown(key, weights, F.col("shard"), grown_weight)).withColumn("_bucket", F.substring("_h", 1, bucket_digits))
-    placed = running_start(placed, ["shard"], "_bucket", ["_h", "size", "text_crc32"], "_n", "_from")
+    scored = rows.withColumn("shard", rendezvous(key, weights))
+    scored = scored.withColumn("grown_shard", regrown(key, weights, F.col("shard"), grown_weight))
+    counted = settle(scored.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard").agg(F.count("*").alias("_n")))
+    placed = counted.withColumn("_h", F.md5(F.concat_ws(":", key, F.col("size").cast("string"), F.col("text_crc32").cast("string"))))
+    placed = running_start(placed.withColumn("_bucket", F.substring("_h", 1, bucket_digits)), ["shard"], "_bucket", ["_h", "size", "text_crc32"], "_n", "_from")
     many = copies(placed, "_n", "_i")
     return many.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), (F.col("_from") + F.col("_i")).alias("slot"), F.col("grown_shard").cast("int"))

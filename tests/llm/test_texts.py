@@ -39,7 +39,7 @@ def brute(text, items):
         for i in range(len(words) - n + 1):
             if n and tuple(words[i : i + n]) in grams:
                 hit |= set(range(i, i + n))
-                found.add(str(item))
+                found |= {str(item)} - {"None"}
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
@@ -58,16 +58,15 @@ def test_decontamination_against_brute_force(spark, sf):
 def test_decontamination_edges_and_the_way_beyond_the_bound(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string").selectExpr("*", "'x' as hits", "1 as key", "2 as first")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    items = [(i, t) for i, t in ITEMS if i is not None]
-    expected = sorted([brute(t, items)[:3] for _, t in TEXTS])
+    expected = sorted([brute(t, ITEMS)[:3] for _, t in TEXTS])
     for limit in (dc.MOST_WINDOWS, 0):
         found = dc.find_contamination(docs, bench, most_windows=limit)
         rows = found.collect()
         assert sorted((r.n_words, sum(x["last"] - x["first"] for x in r.hits), len(r["items"])) for r in rows) == expected
         assert all(r.contaminated == bool(r.hits) for r in rows)
-    assert sorted((r.doc_id or 0) for r in dc.clean_documents(docs, bench).collect()) == [0, 1, 2, 6]
+    assert sorted((r.doc_id or 0) for r in dc.clean_documents(docs, bench).collect()) == [0, 1, 2]
     cut = {r.doc_id: r.text for r in dc.remove_spans(dc.find_contamination(docs, bench)).collect()}
-    assert cut[3] == " m" and cut[1] is None and cut[6] == TEXTS[-1][1]
+    assert cut[3] == " m" and cut[1] is None and cut[6] == ""
     assert not dc.find_contamination(docs, bench.limit(0)).filter("contaminated").count()
     assert dc.digest(docs.limit(0), bench).count() == 0
 
@@ -82,6 +81,19 @@ def test_line_dedup_edges(spark):
     assert line_dedup.digest(docs.limit(0)).count() == 0
 
 
+def test_a_text_of_many_shared_lines_takes_seconds(spark):
+    import time
+
+    lines = [f"line number {i} is long enough to be counted as one" for i in range(100_000)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(d, text + f"\nown {d}") for d in range(6)], "doc_id long, text string")
+    start = time.perf_counter()
+    out = {r.doc_id: r for r in line_dedup.digest(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert all((r.n_lines, r.n_dropped) == (100_001, 100_000 if d < 5 else 0) for d, r in out.items())
+    assert out[0].kept_sha256 == hashlib.sha256(b"own 0").hexdigest()
+
+
 def test_salted_join_beyond_the_bound(spark, sf, monkeypatch):
     from graphloam.llm import common
 
