@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from graphloam.llm.common import settle
 
 BOOKS, CODES, BEAM = 24, 256, 4
-#: Vectors that codebooks are trained on: those with the least hashes of their ids.
+#: Vectors that codebooks are trained on: those with the least hashes.
 SAMPLE = 8192
 #: Distinct vectors of each block and of all blocks that go on to exact ranking.
 SHORTLIST = 200
-#: Rows of a block of codes and of a block of queries.
-CODE_BLOCK, QUERY_BLOCK = 32_768, 256
+#: Rows of a block of codes and of a block of queries, at most, and the meetings of blocks that there should be at least.
+CODE_BLOCK, QUERY_BLOCK, MEETINGS = 131_072, 1024, 16
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -100,9 +100,12 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, books: int = BOOKS) ->
     """(node, code, norm) for every distinct vector (columns node, vector), and the codebooks.
 
     Vectors are scaled to length 1 first. Training collects at most ``sample`` vectors, those
-    with the least hashes of their nodes; encoding covers all.
+    with the least hashes; encoding covers all.
     """
-    rows = vectors.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toArrow()
+    # hashes are uniform, so four times as many lie below this share: few rows are ranked, however many there are
+    share = min(1.0, 4 * sample / max(vectors.count(), 1))
+    place = F.xxhash64("vector")
+    rows = vectors.filter(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod(place, F.lit(1 << 30)), "node").limit(sample).select("vector").toArrow()
     x = _unit(_matrix(rows.column(0).combine_chunks(), len(rows))) if len(rows) else np.zeros((0, 1))
     trained = train_codebooks(x, books)
     held = vectors.sparkSession.sparkContext.broadcast(trained)
@@ -118,7 +121,7 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, books: int = BOOKS) ->
 
 
 def shortlist(index: DataFrame, books: np.ndarray, queries: DataFrame, size: int = SHORTLIST) -> DataFrame:
-    """query_id, node, guess: the best ``size`` nodes of each query (columns query_id, vector) by table lookup.
+    """query, node, guess: the best ``size`` nodes of each query (columns query, vector) by table lookup.
 
     Every block of queries meets every block of codes. Each meeting gives the best of its
     block, ties to the smaller node; a limit by rank that starts before the shuffle takes the
@@ -127,31 +130,32 @@ def shortlist(index: DataFrame, books: np.ndarray, queries: DataFrame, size: int
     spark = index.sparkSession
     held = spark.sparkContext.broadcast(books)
     code_blocks = max(1, -(-index.count() // CODE_BLOCK))
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK), -(-MEETINGS // code_blocks))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = index.withColumn("cb", F.pmod(F.xxhash64("node"), F.lit(code_blocks)).cast("int")).withColumn("qb", spread(query_blocks))
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("cb", spread(code_blocks))
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int")).withColumn("cb", spread(code_blocks))
 
     def meet(codes: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "node": [], "guess": []}
+        out = {"query": [], "node": [], "guess": []}
         if len(codes) and len(wanted):
             codes = codes.sort_values("node")
             node, norm = codes["node"].to_numpy(), np.maximum(codes["norm"].to_numpy(), 1e-12)
-            code = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1).astype(np.int64)
+            code = np.ascontiguousarray(np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1).T)
             x = _unit(np.stack([np.asarray(v, np.float64) for v in wanted["vector"]])).astype(np.float32)
-            for q, tables in zip(wanted["query_id"], np.einsum("qd,bcd->qbc", x, held.value), strict=True):
-                score = tables[0][code[:, 0]].copy()
-                for b in range(1, code.shape[1]):
-                    score += tables[b][code[:, b]]
+            for q, one in zip(wanted["query"], x, strict=True):
+                tables = held.value @ one
+                score = tables[0][code[0]]
+                for table, column in zip(tables[1:], code[1:], strict=True):
+                    score += table[column]
                 score /= norm
                 best = np.argsort(-score, kind="stable")[:size] if len(score) <= size else _best(score, size)
-                out["query_id"].append(np.full(len(best), q))
+                out["query"].append(np.full(len(best), q))
                 out["node"].append(node[best])
                 out["guess"].append(score[best])
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"query_id": "int64", "node": "int64", "guess": "float32"})
+        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype({"query": "int64", "node": "int64", "guess": "float32"})
 
-    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, "query_id long, node long, guess float")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("guess").desc(), "node"))
+    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, "query long, node long, guess float")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("guess").desc(), "node"))
     return found.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
 
 
@@ -166,26 +170,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, size: int = SHORTL
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query among all other rows of ``vectors``.
 
     ``vectors`` has vec_id and embedding; other columns are ignored. Null, zero and non-finite
-    vectors and null ids take no part, nor do vectors of another length than the most common
-    one. Equal vectors are one node with its k + 1 smallest ids, so a vector with any number
-    of copies fills one place of the shortlist. Scores are exact cosines of the original
-    vectors; ties go to the smaller vec_id. Of rows with one id the least
-    vector counts.
+    vectors take no part. Vectors of one length are compared with each other. A row is not its
+    own candidate; other rows of the same vec_id are, and rows of a null vec_id too. Equal
+    vectors are one node with its k + 1 first rows, so a vector with any number of copies
+    fills one place of the shortlist. Scores are exact cosines of the original vectors; ties
+    go to the smaller vec_id, null last. A query that is there twice is answered twice.
     """
-    rows = vectors.select("vec_id", "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    width = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.filter(F.size("embedding") == (width["d"] if width else 0))
+    # a settled table keeps its order, so its row numbers do too
+    rows = settle(vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable(F.col("embedding")))).withColumn("row", F.monotonically_increasing_id())
+    lengths = [r["d"] for r in rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()]  # one for each length of vectors
+    out = None
+    for d in lengths or [0]:
+        part = _nearest_of_one_length(rows.filter(F.size("embedding") == d), k, size, sample)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nearest_of_one_length(rows: DataFrame, k: int, size: int, sample: int) -> DataFrame:
     by_vector = Window.partitionBy("embedding")
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    copies = rows.withColumn("_n", F.row_number().over(by_vector.orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
-    copies = settle(copies.withColumn("node", F.min("vec_id").over(by_vector)))
+    place = F.row_number().over(by_vector.orderBy(F.col("vec_id").asc_nulls_last(), "row"))
+    # the limit by rank starts before the shuffle, so of a vector with many copies k + 1 rows of each partition move
+    copies = rows.withColumn("_n", place).filter(F.col("_n") <= k + 1).select("vec_id", "row", "embedding", "_n")
+    copies = settle(copies.withColumn("node", F.min("row").over(by_vector)))
     nodes = copies.filter(F.col("_n") == 1).select("node", F.col("embedding").alias("vector"))
     index, books = build_index(nodes, sample)
     index = settle(index)
-    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = shortlist(index, books, queries, size)
-    exact = found.join(nodes.withColumnRenamed("vector", "_there"), "node").join(queries, "query_id").select("query_id", "node", cosine(F.col("vector"), F.col("_there")).alias("score"))
-    ids = copies.groupBy("node").agg(F.sort_array(F.collect_list("vec_id")).alias("_ids"))  # k + 1 at most
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    each = exact.join(ids, "node").select("query_id", "score", F.explode("_ids").alias("vec_id")).filter("vec_id <> query_id")
+    queries = rows.filter("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = shortlist(index, books, queries.select("query", "vector"), size)
+    exact = found.join(nodes.withColumnRenamed("vector", "_there"), "node").join(queries, "query").select("query", "query_id", "node", cosine(F.col("vector"), F.col("_there")).alias("score"))
+    ids = copies.groupBy("node").agg(F.collect_list(F.struct("vec_id", "row")).alias("_ids"))  # k + 1 at most
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))
+    each = exact.join(ids, "node").select("query", "query_id", "score", F.explode("_ids").alias("_id")).select("query", "query_id", "score", "_id.vec_id", "_id.row").filter("row <> query")
     return each.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

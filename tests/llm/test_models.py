@@ -43,15 +43,20 @@ def test_nearest_edges(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(1000, 1200)]  # many copies of one vector
-    rows += [(300, None), (350, [0.0] * 8), (400, [float("nan")] + [1.0] * 7), (450, [None] + [1.0] * 7), (None, [1.0] * 8), (500, [1.0] * 3), (7, rows[7][1])]
+    rows += [(300, None), (350, [0.0] * 8), (400, [float("nan")] + [1.0] * 7), (450, [None] + [1.0] * 7), (None, [1.0] * 8), (500, [1.0] * 3), (7, rows[7][1]), (501, [2.0, 1.0, 1.0]), (502, [1.0, 9.0, 1.0]), (550, [3.0] * 5)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit(1)).withColumn("score", F.lit(2))
     out = ann.nearest(vectors, F.col("vec_id") % 50 == 0, sample=128).collect()
-    assert {r.query_id for r in out} == {0, 50, 100, 150, 200, 250, 1000, 1050, 1100, 1150}
-    assert sorted((r["rank"], r.vec_id) for r in out if r.query_id == 1000) == [(1, 7), (2, 1001), (3, 1002), (4, 1003), (5, 1004)]
-    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 1050] == [7, 1000, 1001, 1002, 1003]
+    assert {r.query_id for r in out} == {0, 50, 100, 150, 200, 250, 500, 1000, 1050, 1100, 1150}
+    # both rows of vec_id 7 are candidates; vectors of three numbers meet each other
+    assert sorted((r["rank"], r.vec_id) for r in out if r.query_id == 1000) == [(1, 7), (2, 7), (3, 1001), (4, 1002), (5, 1003)]
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 1050] == [7, 7, 1000, 1001, 1002]
+    assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == 500] == [501, 502]
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     three = vectors.filter("vec_id in (0, 1, 2)")
     assert ann.nearest(three, F.col("vec_id") == 0).count() == 2
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 1.0]), (None, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((round(r.score, 3), r["rank"], r.vec_id) for r in ann.nearest(twice, F.col("vec_id") == 0).collect())
+    assert got == [(0.0, 3, 3), (0.707, 2, 0), (0.707, 2, 0), (0.707, 3, 3), (0.774, 1, None), (0.995, 1, None)]
 
 
 def model(states=3, symbols=5, seed=0):
