@@ -3,10 +3,17 @@
 Entities of whole texts are found by one pattern, brought to a canonical form, and counted over
 the corpus. Each distinct entity gets one surrogate of its own type, drawn by a keyed hash:
 digits stay digits in their places, letters letters of the same script and case, given names
-names of the same gender. The table of entities is then checked: a surrogate that is also a
-real entity, or that two entities drew, is drawn again with the next number until none is
-left. The same entity therefore has the same surrogate everywhere, and two entities never
-share one. Texts are put together again from what stands between entities.
+names of the same gender, mail addresses of one domain addresses of one domain, private network
+addresses private. A person's name is a title, given names and a family name with a surrogate
+each, so that "Frau Schmidt" and "Anna Schmidt" still share theirs; a telephone number is its national
+part, so that spellings with and without the country agree. The table of entities is then
+checked: a surrogate that is also a real entity, or that two entities drew, is drawn again with
+the next number, from a wider set after many, until none is left. The same entity therefore has
+the same surrogate everywhere, and two entities never share one. Texts are put together again
+from what stands between entities.
+
+Names are found by titles, by what introduces a name, by honorifics after them and by given
+names of a list. A name with none of these around it is not told from other capitalised words.
 """
 
 from __future__ import annotations
@@ -14,17 +21,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import LOWER, UPPER, settle, shield
+from graphloam.llm.common import BROADCAST_ROWS, LOWER, UPPER, join_salted, settle, shield
 
 # Given names by gender and script, in natural order.
 FEMALE = "Alice Amelia Anna Clara Elena Emma Greta Hannah Ines Julia Laura Lea Lucia Maria Marie Nina Nora Olivia Paula Rosa Sara Sofia Sophie Teresa".split()
 MALE = "Adam Alexander Carlos Daniel David Diego Felix Hans Henri James Jan John Jonas Julien Karl Lucas Luis Martin Oscar Paul Peter Robert Thomas Victor".split()
 FEMALE_CYRILLIC = "Анна Вера Дарья Елена Ирина Мария Нина Ольга Полина Татьяна".split()
 MALE_CYRILLIC = "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split()
-FEMALE_TITLES = "Mrs Ms Miss Mme Frau Señora Sra".split()
-MALE_TITLES = "Mr Herr Monsieur Señor Sr".split()
+FEMALE_TITLES = "Frau Madame Miss Mlle Mme Mrs Ms Señora Sra г-жа госпожа Госпожа".split()
+MALE_TITLES = "Herr Monsieur Mr Señor Sr г-н господин Господин".split()
+OTHER_TITLES = "Doctor Dr Prof Professor доктор Доктор профессор Профессор".split()
+#: What introduces a name, in scripts with capitals and in those without.
+CUES = ("name is ", "name: ", "Name: ", "Name ist ", "m'appelle ", "me llamo ", "Nombre: ", "Nom : ", "зовут ", "Имя: ", "Sincerely, ", "Regards, ", "signed by ")
+CUES_WITHOUT_CASE = ("Name: ", "name: ", "姓名：", "姓名: ", "이름: ", "الاسم: ", "नाम: ", "שם: ")
+#: Letters that surrogates are drawn from in other scripts: the script and some of its letters.
+ALPHABETS = (("Greek", "αβγδεζηθικλμνξοπρστυφχψω"), ("Arabic", "ابتثجحخدرزسشصطعفقكلمنهوي"), ("Hebrew", "אבגדהוזחטיכלמנסעפצקרשת"), ("Devanagari", "कखगघचछजटडतथदधनपफबभमयरलवसह"), ("Han", "丁丘乙于元兆光冬北升南吉向夏"), ("Hangul", "가나다라마바사아자차카타파하"))
+CYRILLIC_LETTERS = "абвгдежзиклмнопрстуфхцчшэюя"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
+_TITLED = rf"(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.? ){{1,3}}"
+_WORD = r"\p{Lu}[\p{Ll}\p{M}'’]{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
+_PLAIN_WORD = r"[\p{Lo}\p{M}]{2,20}"
+_NAME = (
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}|[гдп])(?:{_TITLED}{_WORD}(?: {_WORD})?|(?:{'|'.join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) {_WORD}|(?<=(?:{'|'.join(CUES)})){_WORD}(?: {_WORD}){{0,2}})(?![\p{{L}}\p{{N}}])"
+    rf"|(?=\p{{Lo}})(?<=(?:{'|'.join(CUES_WITHOUT_CASE)})){_PLAIN_WORD}(?: {_PLAIN_WORD}){{0,2}}"
+    r"|(?<![\p{IsHan}\p{IsHangul}])[\p{IsHan}\p{IsHangul}]{1,6}?(?=様|さん|氏|씨)"
+)
+
 #: Type, pattern; the first that matches at a place decides.
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,127}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
@@ -33,7 +56,7 @@ PATTERNS = (
     ("card", r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])"),
     ("ip", rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d]|\.\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}])(?=[A-ZА-Я])(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?|(?:{'|'.join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) \p{{Lu}}\p{{Ll}}{{1,30}})(?![\p{{L}}\p{{N}}])"),
+    ("name", _NAME),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
@@ -48,10 +71,31 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+#: A country code after its plus sign (fixed values: those of one and two digits; all others have three), and a trunk zero.
+_COUNTRY = r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))?0?"
+
+
 def canonical(entity: Column, kind: Column) -> Column:
-    """The form under which spellings of one entity are the same: numbers without punctuation, addresses in lower case."""
+    """The form under which spellings of one entity are the same: numbers without punctuation, addresses in lower case, telephones without country and trunk zero."""
     bare = F.regexp_replace(entity, r"[^0-9A-Za-z]", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "iban", "ssn", "phone"), bare).otherwise(entity)
+    phone = F.regexp_replace(F.regexp_replace(entity, r"[^0-9+]", ""), _COUNTRY, "")
+    return F.when(kind == "email", F.lower(entity)).when(kind.isin("card", "iban", "ssn"), bare).when(kind == "phone", phone).otherwise(entity)
+
+
+def _title(name: Column) -> Column:
+    return F.regexp_extract(name, f"^({_TITLED})", 1)
+
+
+def parts_of(entity: Column, kind: Column) -> Column:
+    """What of an entity gets surrogates: array of kind, canon and gender (1 female, 2 male, 0 not known); of a name, given names and the family name."""
+    title = _title(entity)
+    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    titled = F.when(title.rlike(f"(?:^| )(?:{'|'.join(FEMALE_TITLES)})\\.? "), 1).when(title.rlike(f"(?:^| )(?:{'|'.join(MALE_TITLES)})\\.? "), 2).otherwise(0)
+    listed = lambda w: F.when(w.isin(*FEMALE, *FEMALE_CYRILLIC), 1).when(w.isin(*MALE, *MALE_CYRILLIC), 2).otherwise(0)
+    last = lambda w, i: (i == F.size(words) - 1) & ~((F.size(words) == 1) & (title == "") & (listed(w) > 0))
+    part = lambda k, c, g: F.struct(k.alias("kind"), c.alias("canon"), g.cast("int").alias("gender"))
+    named = F.transform(words, lambda w, i: part(F.when(last(w, i), "family").otherwise("given"), w, F.when(last(w, i), 0).when(listed(w) > 0, listed(w)).otherwise(titled)))
+    return F.when(kind == "name", named).otherwise(F.array(part(kind, canonical(entity, kind), F.lit(0))))
 
 
 def _draw(canon: Column, key: str, attempt: Column) -> Column:
@@ -76,36 +120,50 @@ def _pick(names: list[str], digest: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (F.conv(F.substring(digest, at, 6), 16, 10).cast("int") % len(names) + 1).cast("int"))
 
 
-def _person(entity: Column, digest: Column) -> Column:
-    """Title kept; given name of the same gender and script; family name letter by letter with a capital."""
-    title = F.regexp_extract(entity, rf"^((?:{'|'.join(FEMALE_TITLES + MALE_TITLES)})\.? )", 1)
-    rest = F.substring(entity, F.length(title) + 1, F.length(entity))
-    first, last = F.element_at(F.split(rest, " "), 1), F.try_element_at(F.split(rest, " "), F.lit(2))
-    among = lambda names: first.isin(*names)
-    female = title.rlike(f"^(?:{'|'.join(FEMALE_TITLES)})\\b") | ((title == "") & among(FEMALE + FEMALE_CYRILLIC))
-    cyrillic = entity.rlike(r"\p{IsCyrillic}")
-    given = F.when(cyrillic & female, _pick(FEMALE_CYRILLIC, digest, 1)).when(cyrillic, _pick(MALE_CYRILLIC, digest, 1)).when(female, _pick(FEMALE, digest, 1)).otherwise(_pick(MALE, digest, 1))
-    cyrillic_letters = F.lit("абвгдежзиклмнопрстуфхцчшэюя")
-    letters = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.when(cyrillic, F.substring(cyrillic_letters, F.conv(F.substring(digest, i * 4 + 7, 4), 16, 10).cast("int") % 27 + 1, F.lit(1))).otherwise(F.substring(F.lit(LOWER), F.conv(F.substring(digest, i * 4 + 7, 4), 16, 10).cast("int") % 26 + 1, F.lit(1))))
-    family = F.initcap(F.array_join(letters, ""))
-    # a title with one word is followed by a family name
-    return F.concat(title, F.when(last.isNull(), family).otherwise(F.concat_ws(" ", given, family)))
+def _letters(alphabet: str, digest: Column, length: Column) -> Column:
+    """``length`` letters of an alphabet, drawn by the digest."""
+    value = lambda i: F.conv(F.substring(F.sha2(F.concat(digest, i.cast("string")), 256), 1, 6), 16, 10).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(F.lit(alphabet), value(i) % len(alphabet) + 1, F.lit(1))), "")
+
 
+def _family(word: Column, digest: Column, attempt: Column) -> Column:
+    """A word of the same script and about the same length, with a capital if it had one."""
+    length = F.least(F.greatest(F.length(word), F.lit(2)), F.lit(12)) + F.floor(attempt / 4).cast("int")
+    made = F.initcap(_letters(LOWER, digest, F.greatest(length, F.lit(5))))
+    for script, letters in (*ALPHABETS, ("Cyrillic", CYRILLIC_LETTERS)):
+        made = F.when(word.rlike(rf"\p{{Is{script}}}"), F.initcap(_letters(letters, digest, length))).otherwise(made)
+    return made
 
-def _octets(digest: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(digest, i * 4 + 1, 4), 16, 10).cast("int") % 223 + 1).cast("string")), ".")
 
+def _given(word: Column, gender: Column, digest: Column, attempt: Column) -> Column:
+    """A given name of the same script and gender; from the fifth draw on with drawn letters at its end."""
+    more = lambda letters: F.when(attempt > 3, _letters(letters, digest, F.greatest(attempt - 2, F.lit(2)))).otherwise("")
+    pick = lambda female, male: F.when(gender == 1, _pick(female, digest, 1)).when(gender == 2, _pick(male, digest, 1)).otherwise(_pick(female + male, digest, 1))
+    latin, cyrillic = F.concat(pick(FEMALE, MALE), more(LOWER)), F.concat(pick(FEMALE_CYRILLIC, MALE_CYRILLIC), more(CYRILLIC_LETTERS))
+    return F.when(word.rlike(r"\p{IsCyrillic}"), cyrillic).when(word.rlike(r"\p{IsLatin}"), latin).otherwise(_family(word, digest, attempt))
 
-def _email(canon: Column, digest: Column, attempt: Column) -> Column:
+
+def _octets(canon: Column, digest: Column, attempt: Column) -> Column:
+    """Private, loopback and link-local addresses stay in their ranges while these have room; all others are drawn from 11 to 126."""
+    at = F.split(canon, r"\.")
+    drawn = lambda i: (F.conv(F.substring(digest, i * 4 + 1, 4), 16, 10).cast("int") % 254 + 1).cast("string")
+    first, second = at[0].cast("int"), at[1].cast("int")
+    two = ((first == 192) & (second == 168)) | ((first == 172) & second.between(16, 31)) | ((first == 169) & (second == 254))
+    inside = F.when(two & (attempt < 20), F.array(at[0], at[1], drawn(2), drawn(3))).when(first.isin(10, 127) & (attempt < 20), F.array(at[0], drawn(1), drawn(2), drawn(3)))
+    public = F.array((F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % 116 + 11).cast("string"), drawn(1), drawn(2), drawn(3))
+    return F.array_join(F.coalesce(inside, public), ".")
+
+
+def _email(canon: Column, key: str, digest: Column, attempt: Column) -> Column:
     """A drawn local part of the same shape in a reserved domain with the same number of labels.
 
-    The domain carries drawn hex digits, 8 at first and 4 more with each attempt up to 32, so
-    that there are enough addresses however short the local parts are.
+    The domain follows from the real one alone, so addresses of one domain stay together. Each
+    new draw adds letters to the local part, so there are enough however short they are.
     """
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    labels = F.size(F.split(domain, r"\."))
-    drawn = F.concat(F.lit("h"), F.substring(F.sha2(F.concat(digest, F.lit("host")), 256), F.lit(1), F.least(attempt * 4 + 8, F.lit(32))))
-    return F.concat(_shape(local, _stretch(digest)), F.lit("@"), F.when(labels > 2, F.concat(drawn, F.lit(".example.invalid"))).otherwise(F.concat(drawn, F.lit(".invalid"))))
+    host = F.concat(F.lit("h"), F.substring(_draw(F.concat(F.lit("host:"), domain), key, F.lit(0)), 1, 16))
+    more = F.when(attempt > 0, _letters(LOWER, digest, attempt)).otherwise("")
+    return F.concat(_shape(local, _stretch(digest)), more, F.lit("@"), host, F.when(F.size(F.split(domain, r"\.")) > 2, ".example.invalid").otherwise(".invalid"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -117,32 +175,40 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, (F.pmod(10 - total % 10, F.lit(10))).cast("string"))
 
 
-def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity in canonical form."""
+#: Draws in the usual range of a kind, and draws of the usual length; later ones are wider.
+NEAR, PLAIN = 20, 60
+
+
+def surrogate(kind: Column, canon: Column, gender: Column, key: str, attempt: Column) -> Column:
+    """The surrogate of a part of an entity in canonical form."""
     digest = _draw(F.concat_ws(":", kind, canon), key, attempt)
     shaped = _shape(canon, _stretch(digest))
+    behind = lambda n, head: F.concat(head, F.substring(shaped, n + 1, 400))
     # country codes and the first digit of cards say what an entity is; they stay
-    return (
-        F.when(kind == "email", _email(canon, digest, attempt))
-        .when(kind == "ip", _octets(digest))
-        .when(kind == "card", _luhn(F.concat(F.substring(canon, 1, 1), F.substring(shaped, 2, 400))))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(shaped, 3, 400)))
-        .when(kind == "phone", F.when(F.length(canon) >= 10, F.concat(F.substring(canon, 1, 1), F.substring(shaped, 2, 400))).otherwise(shaped))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, 2, 400)))
-        .otherwise(_person(canon, digest))
+    number = (
+        F.when(kind == "ip", _octets(canon, digest, attempt))
+        .when(kind == "card", _luhn(behind(1, F.substring(canon, 1, 1))))
+        .when(kind == "iban", behind(2, F.substring(canon, 1, 2)))
+        .when((kind == "phone") & (F.length(canon) >= 10) & (attempt < NEAR), behind(1, F.substring(canon, 1, 1)))
+        .when((kind == "ssn") & (attempt < NEAR), behind(1, F.lit("9")))
+        .otherwise(shaped)
     )
+    number = F.when(attempt < PLAIN, number).otherwise(F.concat(number, _letters(LOWER, digest, F.greatest(attempt - PLAIN + 1, F.lit(1)))))
+    return F.when(kind == "email", _email(canon, key, digest, attempt)).when(kind == "given", _given(canon, gender, digest, attempt)).when(kind == "family", _family(canon, digest, attempt)).otherwise(number)
 
 
-def surrogate_table(entities: DataFrame, key: str, most_draws: int = 50) -> DataFrame:
-    """kind, canon, surrogate for each distinct (kind, canon), free of collisions.
+def surrogate_table(entities: DataFrame, key: str, most_draws: int = 500) -> DataFrame:
+    """kind, canon, surrogate for each distinct (kind, canon) of ``entities`` (kind, canon, gender), free of collisions.
 
     A drawn surrogate is accepted if it is no real entity of its kind, no accepted surrogate,
-    and the first of its draw (by entity). The others draw again; they get fewer each time.
+    and the first of its draw (by entity). The others draw again; they get fewer each time, and
+    draws widen, so there are enough for any number of entities. A gender that is known
+    anywhere holds everywhere.
     """
-    real = settle(entities.select("kind", "canon").distinct())
+    real = settle(entities.groupBy("kind", "canon").agg(F.max("gender").alias("gender")))
     taken, left, accepted = None, real, None
     for attempt in range(most_draws):
-        drawn = settle(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), key, F.lit(attempt))))
+        drawn = settle(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.lit(attempt))))
         free = drawn.join(real.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if taken is not None:
             free = free.join(taken, ["kind", "surrogate"], "left_anti")
@@ -150,17 +216,37 @@ def surrogate_table(entities: DataFrame, key: str, most_draws: int = 50) -> Data
         accepted = won if accepted is None else accepted.unionByName(won)
         taken = accepted.select("kind", "surrogate")
         left = settle(left.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
-        if not left.limit(1).count():
-            return accepted
-    raise RuntimeError("surrogates are too few for the entities of a kind")
+        if left.isEmpty():
+            return settle(accepted)
+        if attempt % 16 == 15:  # many unions make long plans
+            accepted = settle(accepted)
+            taken = accepted.select("kind", "surrogate")
+    raise RuntimeError(f"no surrogates left after {most_draws} draws")
 
 
 def _respell(kind: Column, entity: Column, made: Column) -> Column:
-    """A surrogate in the spelling of the entity: the punctuation of numbers stays where it was."""
+    """A surrogate in the spelling of the entity: punctuation stays where it was, and the country and trunk of a telephone too."""
+    bare = F.regexp_replace(entity, r"[^0-9A-Za-z]", "")
+    kept = F.when(kind == "phone", F.length(bare) - F.length(canonical(entity, kind))).otherwise(F.lit(0))
+    full = F.concat(F.substring(bare, F.lit(1), kept), made)
     chars = F.split(entity, "")
     before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"[^0-9A-Za-z]", ""))
-    spelled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(made, before(i) + 1, F.lit(1))).otherwise(c)), "")
-    return F.when(kind.isin("card", "iban", "ssn", "phone"), spelled).otherwise(made)
+    spelled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(full, before(i) + 1, F.lit(1))).otherwise(c)), "")
+    return F.when(kind.isin("card", "iban", "ssn", "phone"), F.concat(spelled, F.substring(full, F.length(bare) + 1, F.lit(400)))).otherwise(made)
+
+
+def replaced(each: DataFrame, key: str) -> DataFrame:
+    """_of, _xs: for each text of ``each`` (_h, at, entity) its entities in order, with their surrogates; settled."""
+    each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("_parts", parts_of(F.col("entity"), F.col("kind")))
+    parts = settle(each.select("_h", "at", "kind", "entity", F.posexplode("_parts").alias("_i", "_part")))
+    made = surrogate_table(parts.select("_part.*"), key)
+    name = lambda k, c: F.concat_ws("\x1f", k, c)
+    made = settle(made.select(name("kind", "canon").alias("_entity"), "surrogate"))
+    spelled = join_salted(parts.withColumn("_key", name("_part.kind", "_part.canon")), made, "_key", "_entity", F.xxhash64("_h", "at"), 8)
+    whole = spelled.groupBy("_h", "at").agg(F.first("kind").alias("kind"), F.first("entity").alias("entity"), F.sort_array(F.collect_list(F.struct("_i", "surrogate"))).alias("_made"))  # as many as a name has words
+    words = F.array_join(F.transform("_made", lambda x: x["surrogate"]), " ")
+    text = F.when(F.col("kind") == "name", F.concat(_title(F.col("entity")), words)).otherwise(_respell(F.col("kind"), F.col("entity"), words))
+    return settle(whole.groupBy(F.col("_h").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "entity", text.alias("surrogate")))).alias("_xs")))
 
 
 def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
@@ -168,18 +254,21 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
 
     A null text stays null and has no entities; texts of any length go whole. Equal texts get
     equal results. Columns of the same names as the added ones are replaced. An entity that
-    is spelled in several ways has one surrogate, spelled each time as the entity was.
+    is spelled in several ways has one surrogate, spelled each time as the entity was. Nothing is
+    shuffled but entities, unless so many texts have some that their lists are not broadcast.
     """
     inner, restore = shield(docs, ("text",))
     given = inner.withColumn("_h", F.unhex(F.md5("text")))
     found = given.select("_h", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("_e")).filter(F.size("_e") > 0)
     found = settle(found.groupBy("_h").agg(F.first("_e").alias("_e")))
-    each = found.select("_h", F.posexplode("_e").alias("at", "entity"))
-    each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
-    made = surrogate_table(each, key)
-    spelled = each.join(made, ["kind", "canon"]).select("_h", F.struct("at", "kind", "entity", _respell(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("surrogate")).alias("_x"))
-    lists = spelled.groupBy(F.col("_h").alias("_of")).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-    joined = given.join(lists, F.col("_h") == F.col("_of"), "left")
+    lists = replaced(found.select("_h", F.posexplode("_e").alias("at", "entity")), key)
+    size = lists.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_xs")), F.lit(0)).alias("entities")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["entities"] <= 4 * BROADCAST_ROWS:  # some 100 bytes each
+        joined = given.join(F.broadcast(lists), F.col("_h") == F.col("_of"), "left")
+    else:  # texts without entities stay where they are; of the others, equal ones are dealt to several tasks
+        has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+        met = join_salted(given.filter(has), lists, "_h", "_of", F.spark_partition_id(), 8, "left")
+        joined = met.unionByName(given.filter(~has), allowMissingColumns=True)
     between = F.split("text", PATTERN, -1)
     made_text = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.transform("_xs", lambda x: x["surrogate"]), F.slice(between, 2, F.size("_xs")), lambda s, t: F.concat(s, t)), ""))
     kinds = F.transform("_xs", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), x["surrogate"].alias("surrogate")))

@@ -135,28 +135,84 @@ def test_surrogates(spark):
     for r in rows:
         for e in r.entities:
             assert e.entity not in r.clean_text
-    made = {}
-    for r in rows:
-        for e in r.entities:
-            assert made.setdefault((e.kind, re.sub(r"[^0-9A-Za-z]", "", e.surrogate)), re.sub(r"[^0-9a-z]", "", e.entity.lower()) if e.kind != "name" else e.entity) in (re.sub(r"[^0-9a-z]", "", e.entity.lower()), e.entity)
     assert pii.digest(docs.limit(0)).count() == 0
 
 
+def test_names_of_many_kinds_and_coreference(spark):
+    texts = {
+        1: "Frau Schmidt met Anna Schmidt and Dr. Schmidt; Prof. Dr. Angela Merkel was there.", 2: "My name is Priya Patel. Call +1 555 010 7788 or 555 010 7788.", 3: "Sincerely, Yuki Tanaka", 4: "田中様 и г-н Петров; Имя: Ольга Петров",
+        5: "Name: ישראל כהן", 6: "a@corp.example b@corp.example c@other.example", 7: "10.0.0.1 192.168.4.4 8.8.8.8", 8: "Anna\nBerg and Anna Berg",
+    }
+    by = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    family = lambda e: e.surrogate.split()[-1]
+    one = by[1].entities
+    assert [e.entity for e in one] == ["Frau Schmidt", "Anna Schmidt", "Dr. Schmidt", "Prof. Dr. Angela Merkel"] and len({family(e) for e in one[:3]}) == 1 and family(one[3]) != family(one[0])
+    assert one[0].surrogate.startswith("Frau ") and one[3].surrogate.startswith("Prof. Dr. ") and "Schmidt" not in by[1].clean_text
+    name, long, short = by[2].entities
+    assert name.entity == "Priya Patel" and long.surrogate == "+1 " + short.surrogate
+    assert [e.entity for e in by[3].entities] == ["Yuki Tanaka"]
+    assert [e.entity for e in by[4].entities] == ["田中", "г-н Петров", "Ольга Петров"] and by[4].clean_text[2:3] == "様"
+    assert family(by[4].entities[1]) == family(by[4].entities[2]) and re.fullmatch("[А-Яа-я -]+", by[4].entities[2].surrogate)
+    assert re.fullmatch("[א-ת]+ [א-ת]+", by[5].entities[0].surrogate)
+    a, b, c = (e.surrogate.split("@")[1] for e in by[6].entities)
+    assert a == b != c
+    assert by[7].entities[0].surrogate.startswith("10.") and by[7].entities[1].surrogate.startswith("192.168.") and not re.match(r"(10|127|192\.168)\.", by[7].entities[2].surrogate)
+    assert [e.entity for e in by[8].entities] == ["Anna Berg"] and by[8].clean_text.startswith("Anna\nBerg and ")
+
+
+def plain_entities(text):
+    """(start, end, kind) by trying each pattern at each place."""
+    import regex
+
+    java = lambda p: regex.compile(p.replace("IsHan}", "Han}").replace("IsHangul}", "Hangul}").replace("\\d", "[0-9]").replace("\\w", "[A-Za-z0-9_]"))
+    patterns, out, at = [(k, java(p)) for k, p in pii.PATTERNS], [], 0
+    while at < len(text):
+        for kind, pattern in patterns:
+            m = pattern.match(text, at)
+            if m and m.end() > at:
+                out.append((at, m.end(), kind))
+                at = m.end() - 1
+                break
+        at += 1
+    return out
+
+
+def test_surrogates_against_brute_force(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(PII[:6], "doc_id long, text string"))
+    for rows_at_most in (pii.BROADCAST_ROWS, 0):  # broadcast lists, and the way beyond the bound
+        monkeypatch.setattr(pii, "BROADCAST_ROWS", rows_at_most)
+        rows = pii.replace_entities(docs).collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            want = plain_entities(r.text or "")
+            assert [(e.kind, e.entity) for e in r.entities] == [(k, r.text[a:b]) for a, b, k in want]
+            made, last = "", 0
+            for (a, b, _), e in zip(want, r.entities, strict=True):
+                made, last = made + r.text[last:a] + e.surrogate, b
+            assert r.clean_text == (None if r.text is None else made + r.text[last:])
+        there, back = {}, {}
+        for kind, entity, surrogate in {(e.kind, e.entity, e.surrogate) for r in rows for e in r.entities}:
+            if kind not in ("phone", "name"):
+                bare = lambda x: re.sub("[^0-9a-z@.]" if kind == "email" else "[^0-9a-z]", "", x.lower())  # noqa: B023, E731
+                assert there.setdefault((kind, bare(entity)), bare(surrogate)) == bare(surrogate) and back.setdefault((kind, bare(surrogate)), bare(entity)) == bare(entity)
+        real = {(k, e) for k, e in there}
+        assert not real & {(k, v) for (k, _), v in there.items()}
+
+
 def test_surrogates_never_collide(spark):
-    # three-digit local parts leave few surrogates of the same shape: draws must collide and be drawn again
-    entities = spark.range(600).selectExpr("'name' as kind", "concat('Mr ', char(65 + id % 26), lower(hex(id))) as canon")
+    entities = spark.range(600).selectExpr("'given' as kind", "concat(char(65 + id % 26), lower(hex(id))) as canon", "cast(id % 3 as int) as gender")
     made = pii.surrogate_table(entities, "k").collect()
     assert len(made) == 600 and len({r.surrogate for r in made}) == 600
     assert not {r.surrogate for r in made} & {r.canon for r in made}
 
 
-def test_short_addresses_never_run_out(spark):
-    # more addresses than local parts of one digit or letter, in domains of two and three labels
-    entities = spark.range(2000).selectExpr("'email' as kind", "concat(if(id % 2 = 0, 'x', '7'), '@d', id, if(id % 4 < 2, '.com', '.co.uk')) as canon")
-    made = pii.surrogate_table(entities, "k").collect()
-    assert len(made) == 2000 and len({r.surrogate for r in made}) == 2000
-    assert all(re.fullmatch(r"[a-z0-9]@h[0-9a-f]{8,32}(\.example)?\.invalid", r.surrogate) for r in made)
-    assert all((r.surrogate.count(".") == 2) == r.canon.endswith(".co.uk") for r in made)
+def test_kinds_with_few_surrogates_never_run_out(spark):
+    # all addresses of one private block, and more short mail addresses than their shape has
+    blocks = spark.range(0, 65_536, 2).selectExpr("'ip' as kind", "concat('192.168.', cast(id div 256 as string), '.', cast(id % 256 as string)) as canon", "0 as gender")
+    mails = spark.range(36).selectExpr("'email' as kind", "concat(substr('abcdefghijklmnopqrstuvwxyz0123456789', cast(id as int) + 1, 1), '@one.example') as canon", "0 as gender")
+    made = pii.surrogate_table(blocks.unionByName(mails), "k").collect()
+    assert len(made) == 32_804 and len({r.surrogate for r in made}) == 32_804 and not {r.surrogate for r in made} & {r.canon for r in made}
+    assert len({r.surrogate.split("@")[1] for r in made if r.kind == "email"}) == 1
 
 
 def test_language_held_out_accuracy(spark):
