@@ -10,7 +10,7 @@ filter explains, and the largest share decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ SAMPLE = 2000
 #: n-grams of each language, the most frequent first, and what makes one typical.
 GRAMS, LEAST_COUNT, LEAST_RATE = 30_000, 3, 0.5
 SLOT_BITS, HASHES = 19, 2
+#: A text is in a learned language if its score is at least this part of the median score of the documents that language was learned from.
+LEAST_PART = 0.5
 UNKNOWN = "und"
 
 
@@ -67,12 +69,13 @@ def grams(run: list) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """languages, table (slots, words of 64 languages) and the false-positive rate of each language."""
+    """languages, table (slots, words of 64 languages), the false-positive rate of each language, and the median scores of what they were learned from."""
 
     languages: list[str]
     table: np.ndarray
     false: np.ndarray
     usual: int
+    medians: dict[str, float] = field(default_factory=dict)
 
     def counts(self, run: list) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) corrected counts and the number of n-grams of each text."""
@@ -105,15 +108,16 @@ def build_filters(chosen: dict[str, np.ndarray], usual: str | None = None) -> Fi
     return Filters(languages, table, np.array(fill) ** HASHES, languages.index(usual) if usual in languages else 0)
 
 
-def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, most_grams: int = GRAMS) -> Filters:
+def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, most_grams: int = GRAMS, calibrate: bool = False) -> Filters:
     """Filters from the rows of ``docs`` (doc_id, text, lang) for which ``learn`` holds.
 
     Fitted on at most ``sample`` documents of each language, those with the least hashes of
-    doc_id (a few more if hashes tie). An n-gram is typical of a language if it was seen at
+    doc_id and text (more if hashes tie, as those of copies do). An n-gram is typical of a language if it was seen at
     least LEAST_COUNT times and its rate is at least LEAST_RATE of its highest rate anywhere.
+    With ``calibrate`` the same documents are scored to know each language's median.
     """
     small_batches(docs.sparkSession)
-    place = F.substring(F.md5(F.concat(F.lit("lang:"), id_text(F.col("doc_id")))), 1, 15)
+    place = F.substring(F.md5(F.concat_ws(":", F.lit("lang"), id_text(F.col("doc_id")), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).cast("string"))), 1, 15)
     rows = docs.filter(learn & F.col("lang").isNotNull()).withColumn("_place", place)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
@@ -138,7 +142,8 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, most_grams: int
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     ends_map = F.create_map(*[x for lang, end in ends.items() for x in (F.lit(lang), F.lit(end))])
-    counted = rows.filter(F.col("text").isNotNull() & (F.col("_place") <= ends_map[F.col("lang")])).select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    chosen = rows.filter(F.col("text").isNotNull() & (F.col("_place") <= ends_map[F.col("lang")])).select("lang", "text")
+    counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("_rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     counted = counted.withColumn("_most", F.max("_rate").over(Window.partitionBy("gram")))
     typical = counted.filter((F.col("n") >= LEAST_COUNT) & (F.col("_rate") >= LEAST_RATE * F.col("_most")))
@@ -146,7 +151,11 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, most_grams: int
     found = typical.select("lang", "gram").toArrow()  # at most `most_grams` for each language
     langs, values = found.column("lang").to_numpy(), found.column("gram").to_numpy().view(np.uint64)
     usual = max(sorted(sizes), key=lambda x: sizes[x])
-    return build_filters({lang: values[langs == lang] for lang in ends}, usual)
+    filters = build_filters({lang: values[langs == lang] for lang in ends}, usual)
+    if calibrate:
+        own = predict(chosen, filters).filter("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("score", 0.5, 1000).alias("median"))
+        filters.medians = {r["lang"]: r["median"] for r in own.collect()}
+    return filters
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -196,8 +205,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text some learned language claims; the others are rejected."""
-    filters = train(docs.select("doc_id", "text", "lang"), ~held_out())
+def known_language(docs: DataFrame, least_part: float = LEAST_PART) -> DataFrame:
+    """The rows of ``docs`` that are in a learned language; the others are rejected.
+
+    Rejected are null texts, texts without letters, and texts that hold less of the best
+    language than ``least_part`` of what its own documents hold at the median: junk and
+    languages that were not learned. With no language learned all are rejected.
+    """
+    filters = train(docs.select("doc_id", "text", "lang"), ~held_out(), calibrate=True)
     inner, restore = shield(docs, ("text",))
-    return restore(predict(inner, filters).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)))
+    floor = F.create_map(*[F.lit(x) for lang, m in filters.medians.items() for x in (lang, m * least_part)]) if filters.medians else F.lit(None).cast("map<string,double>")
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0) & (F.col("score") >= floor[F.col("lang_pred")])
+    return restore(predict(inner, filters).filter(good))

@@ -274,18 +274,3 @@ def test_planted_tokens_are_found(spark):
     found = {(r.doc_id, r.value) for r in secret_forest.find_secrets(docs).filter("is_secret").collect()}
     planted = {(r.doc_id, v) for r in docs.collect() for v in re.findall(r'token = "([0-9a-f]{40})"', r.text)}
     assert planted <= found and len(found - planted) <= 0.1 * len(planted)
-
-
-def test_pipeline_keeps_clean_documents(spark, sf):
-    import corpus_pipeline as cp
-
-    docs = table(spark, sf, "documents")
-    at = docs
-    for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, at, sf)
-        assert out.columns == docs.columns, name
-        if name == "language":
-            assert out.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
-        at = out.cache()
-    rows = cp.run(spark, sf)
-    assert rows.count() == at.count() and {"doc_id", "shard", "slot"} <= set(rows.columns)

@@ -222,6 +222,55 @@ def test_language_held_out_accuracy(spark):
     assert right / len(rows) > 0.95 and all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_grams(text):
+    words = re.split(r"[^a-z\x80-\xff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode().decode("latin-1"))
+    return [w[i : i + n] for w in (f" {w} " for w in words if w) for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+
+
+def test_language_against_brute_force(spark, sf):
+    # the same rules with exact sets in place of Bloom filters
+    import zlib
+    from collections import Counter
+
+    rows = table(spark, sf, "documents").select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang and r.text:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    rate = {x: {g: n / c.total() for g, n in c.items()} for x, c in counts.items()}
+    most = Counter()
+    for c in rate.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    typical = {x: {g for g, n in c.items() if n >= 3 and rate[x][g] >= 0.5 * most[g]} for x, c in counts.items()}
+    assert all(len(t) < lang_id.GRAMS for t in typical.values())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(table(spark, sf, "documents")).collect()}
+    same = 0
+    for r in rows:
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            same += 1
+            continue
+        found = plain_grams(r.text)
+        share = {x: sum(g in t for g in found) / len(found) for x, t in typical.items()}
+        best = max(sorted(share), key=lambda x: share[x])
+        same += got[r.doc_id][0] == best
+        assert abs(got[r.doc_id][1] - share[got[r.doc_id][0]]) < 0.02 and share[best] - share[got[r.doc_id][0]] < 0.02
+    assert same >= 0.98 * len(rows)
+
+
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    import random
+
+    rng = random.Random(6)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400)), "xq zzkw qqq vvx jjk", "Все люди рождаются свободными и равными", "すべての人間は", "123 ..."]
+    more = spark.createDataFrame([(10**7 + i, t, None, "web", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in lang_id.known_language(docs.unionByName(more)).collect()}
+    assert not [d for d in kept if d >= 10**7]
+    assert kept == {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+
+
 def test_language_edges(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "", None), (10**6 + 2, "123 ...", "en"), (None, "the and of that", None), (None, "ℵ", "xx"), (10**6 + 3, "the " * 100_000, "en")], docs.schema)
