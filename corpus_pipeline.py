@@ -17,27 +17,27 @@ SHARDS = 40
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some learned language claims. Null texts, texts without letters and texts without any known n-gram go."""
+    """Documents in a learned language. Null texts, texts without letters, junk and other languages go; an empty table stays empty."""
     return lang_id.known_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least doc_id."""
+    """One document of each near-duplicate group: the one with the least doc_id. Null texts are alone; of repeated rows one stays."""
     return near_dup.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item. Null and empty texts have none."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, once for each time they are taken."""
+    """The documents of the mix, once for each time they are taken. Texts without words are never taken; repeated rows count each."""
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document of the mix."""
+    """The shard and slot of every document of the mix; a null doc_id is a key of its own."""
     return sharding.shard_layout(docs, [1.0] * SHARDS)
 
 
