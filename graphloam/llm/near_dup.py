@@ -13,10 +13,11 @@ their similar pairs are candidates.
 
 Equal texts are one node. Buckets with the same members are one bucket. In each bucket the
 members are paired with two representatives first (the least and the greatest of a random
-order). Then members of a bucket that are not yet in one component are all compared with each
-other, in blocks of bounded size inside the tasks, so that the components are those of all
-similar pairs that share a bucket. Only pairs that their lengths and word counts allow leave
-that comparison.
+order). Then members of a bucket that are not yet in one component are compared, in blocks of
+bounded size inside the tasks: with all texts of the largest component of their bucket until
+one is similar, and all among themselves, where only pairs leave the comparison that their
+lengths and word counts allow. So the components are those of all similar pairs that share a
+bucket.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from graphloam.llm.components import connected_components
 KMER, ENTRIES, TUPLE, SIMILARITY = 5, 96, 2, 0.8
 #: Texts up to so many words go by all their runs of words, and by the sketch only where a partner may be longer.
 SHORT = 80
-#: Members of a bucket in a block, about; a task holds a block and another one that it is compared with.
-BLOCK = 1024
+#: Members of a bucket in a block, about; a task holds a block and another one that it is compared with. With whole words fewer.
+BLOCK, WORD_BLOCK = 1024, 256
 #: Bins of the word counts of a text: their differences bound the edit distance from below.
 BINS = 256
 #: Rows of a table of 64-bit keys that may be broadcast: about 40 bytes each.
@@ -268,28 +269,15 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def _compare(similarity: float):
-    """mapInArrow function over rows sorted by cell: the pairs of a cell that components, lengths and bags allow."""
+def _apart(bag: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance from the bags of words of one text and of others, row by row."""
+    apart = bag.astype(np.int16) - other
+    more = np.maximum(apart, 0).sum(1)
+    return np.maximum(more, more - apart.sum(1))
 
-    def pairs(cell: pa.Table) -> list:
-        column = lambda name: cell.column(name).to_numpy()
-        node, comp, n, right, outside = (column(c) for c in ("node", "comp", "n_words", "right", "outside"))
-        bag = np.frombuffer(b"".join(cell.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS).astype(np.int16)
-        left, right = np.flatnonzero(~right), np.flatnonzero(right)
-        out = []
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            open_ = (comp[x][:, None] != comp[right]) & (~outside[right] | (node[x][:, None] < node[right]))
-            open_ &= np.minimum(n[x][:, None], n[right]) >= similarity * np.maximum(n[x][:, None], n[right])
-            i, j = np.nonzero(open_)
-            i, j = x[i], right[j]
-            for k in range(0, len(i), 4096):
-                p, q = i[k : k + 4096], j[k : k + 4096]
-                apart = bag[p] - bag[q]
-                more = np.maximum(apart, 0).sum(1)
-                good = np.maximum(more, more - apart.sum(1)) <= np.floor((1 - similarity) * np.maximum(n[p], n[q]) + 1e-9)
-                out.append((node[p[good]], node[q[good]]))
-        return out
+
+def _cells(keys: tuple[str, ...], compare):
+    """mapInArrow function over rows sorted by ``keys``: ``compare`` gets the rows of one key at a time and gives lists of (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of a cell that the next batch may continue
@@ -299,13 +287,13 @@ def _compare(similarity: float):
                 held = part if held is None else pa.concat_tables([held, part])
             if held is None or not len(held):
                 continue
-            keys = [held.column(c).to_numpy() for c in ("entry", "i", "j")]
-            starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+            values = [held.column(c).to_numpy() for c in keys]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in values], axis=0)]))
             ends = np.append(starts[1:], len(held))
             found = []
             for a, b in zip(starts.tolist(), ends.tolist()):
                 if b < len(held) or batch is None:
-                    found += pairs(held.slice(a, b - a))
+                    found += compare(held.slice(a, b - a))
             held = held.slice(starts[-1]).combine_chunks()
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
@@ -314,32 +302,93 @@ def _compare(similarity: float):
     return run
 
 
-def remaining_pairs(rows: DataFrame, words: DataFrame, classes: DataFrame, checked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: pairs that share a bucket and may be similar, and that neither a component (node, component) nor ``checked`` has.
+def _open_pairs(similarity: float):
+    """The pairs of a cell that components, lengths and bags allow."""
+
+    def pairs(cell: pa.Table) -> list:
+        node, comp, n, i, j, block = (cell.column(c).to_numpy() for c in ("node", "comp", "n_words", "i", "j", "block"))
+        bag = np.frombuffer(b"".join(cell.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS)
+        left, right, alone = np.flatnonzero(block == i), np.flatnonzero(block == j), i[0] == j[0]
+        out = []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            open_ = (comp[x][:, None] != comp[right]) & (not alone or node[x][:, None] < node[right])
+            open_ &= np.minimum(n[x][:, None], n[right]) >= similarity * np.maximum(n[x][:, None], n[right])
+            rows, columns = np.nonzero(open_)
+            for k in range(0, len(rows), 4096):
+                p, q = x[rows[k : k + 4096]], right[columns[k : k + 4096]]
+                good = _apart(bag[p], bag[q]) <= np.floor((1 - similarity) * np.maximum(n[p], n[q]) + 1e-9)
+                out.append((node[p[good]], node[q[good]]))
+        return out
+
+    return pairs
+
+
+def _first_links(similarity: float):
+    """For each left row of a cell the first right row, from the nearest bag on, that aligns with it."""
 
-    In each bucket the members outside its largest component meet all members. Both sides are
-    dealt to blocks, and a pair meets in the cell of its two blocks alone, inside a task. There
-    the lengths and the bags of words (columns node, words, bag of ``words``) settle nearly all
-    of them: half the difference of two bags is no more than the edit distance. In buckets of three and
-    less, the representatives have met all.
+    def links(cell: pa.Table) -> list:
+        node, right = cell.column("node").to_numpy(), cell.column("right").to_numpy()
+        words = [np.frombuffer(w, np.uint32) for w in cell.column("words").to_pylist()]
+        n, bag = np.array([len(w) for w in words]), np.frombuffer(b"".join(_bag(w) for w in words), np.uint8).reshape(len(node), BINS)
+        others, a, b = np.flatnonzero(right), [], []
+        for x in np.flatnonzero(~right):
+            near = others[np.minimum(n[x], n[others]) >= similarity * np.maximum(n[x], n[others])]
+            apart = _apart(bag[x], bag[near])
+            good = apart <= np.floor((1 - similarity) * np.maximum(n[x], n[near]) + 1e-9)
+            for y in near[good][np.argsort(apart[good], kind="stable")]:
+                if similar(words[x].tolist(), words[y].tolist(), similarity):
+                    a.append(node[x])
+                    b.append(node[y])
+                    break
+        return [(np.array(a, np.int64), np.array(b, np.int64))]
+
+    return links
+
+
+def _deal(left: DataFrame, right: DataFrame, key: str, g: str, h: str, what: list[str]) -> DataFrame:
+    """Both sides dealt to blocks: a left row of block i meets a right row of block j in the cell (key, i, j) alone."""
+    cells = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    x = left.select(key, block(g).alias("i"), cells(h).alias("j"), F.lit(False).alias("right"), *what)
+    y = right.select(key, cells(g).alias("i"), block(h).alias("j"), F.lit(True).alias("right"), *what)
+    return x.unionByName(y).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def remaining_links(rows: DataFrame, words: DataFrame, classes: DataFrame, checked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links between texts that share a bucket and that no component (node, component) has yet; ``checked`` pairs are known.
+
+    Of buckets of three members and less, representatives have met all: they are left out. A member
+    outside the largest component of its bucket meets all texts of that component, once, until
+    one is similar: a link to it is a link to all. The members outside, and the largest component where
+    it has one member there, are compared among themselves.
     """
     large = rows.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 3").select(F.col("entry").alias("_entry"))
     rows = join_salted(rows, settle(large), "entry", "_entry", F.xxhash64("node")).select("entry", "node")
-    inside = classes.select(F.col("node").alias("_n"), "component")
-    rows = settle(rows.join(inside, F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("comp")))
+    inside = settle(classes.select(F.col("node").alias("_n"), "component"))
+    rows = settle(rows.join(small(inside, KEYS), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("comp")))
     parts = rows.groupBy("entry", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("entry").agg(F.max(F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.col("_top.comp").alias("_main"), blocks(F.col("_all") - F.col("_top.n")).alias("_g"), blocks(F.col("_all")).alias("_h")))
+    loners = F.col("_all") - F.col("_top.n") + F.when(F.col("_top.n") == 1, 1).otherwise(0)
+    buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.col("_top.comp").alias("_main"), (F.col("_top.n") > 1).alias("_has"), F.ceil(loners / BLOCK).cast("int").alias("_g")))
+    outside = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).filter(~F.col("_has") | (F.col("comp") != F.col("_main")))
+    outside = settle(outside.select("entry", "node", "comp", "_has", "_main", "_g"))
+
+    whole = words.select(F.col("node").alias("_n"), "words")
+    left = outside.filter("_has").select(F.col("_main").alias("key"), "node").distinct()
+    met = settle(left.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / WORD_BLOCK).cast("int").alias("_x")))
+    right = join_salted(inside.select(F.col("_n").alias("node"), F.col("component").alias("key")), met, "key", "_key", F.xxhash64("node")).select("key", "node", "_x")
+    sizes = settle(right.groupBy(F.col("key").alias("_key"), "_x").agg(F.ceil(F.count("*") / WORD_BLOCK).cast("int").alias("_y")))
+    blocks = lambda side: join_salted(side.select("key", "node"), sizes, "key", "_key", F.xxhash64("node")).join(whole, F.col("node") == F.col("_n"))
+    linked = _deal(blocks(left), blocks(right), "key", "_x", "_y", ["node", "words"]).mapInArrow(_cells(("key", "i", "j"), _first_links(similarity)), "a long, b long")
+
     about = words.select(F.col("node").alias("_n"), (F.length("words") / 4).cast("int").alias("n_words"), "bag")
-    members = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).join(about, F.col("node") == F.col("_n")).withColumn("outside", F.col("comp") != F.col("_main"))
-    cells = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    what = ["node", "comp", "n_words", "outside", "bag"]
-    left = members.filter("outside").select("entry", block("_g").alias("i"), cells("_h").alias("j"), F.lit(False).alias("right"), *what)
-    right = members.select("entry", cells("_g").alias("i"), block("_h").alias("j"), F.lit(True).alias("right"), *what)
-    dealt = left.unionByName(right).repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
-    return dealt.mapInArrow(_compare(similarity), "a long, b long").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    among = outside.join(about, F.col("node") == F.col("_n")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_g")).cast("int"))
+    # every two blocks of a bucket meet once, in the cell of the smaller and the larger number
+    among = among.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select("entry", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"), "block", "node", "comp", "n_words", "bag")
+    open_ = among.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(_cells(("entry", "i", "j"), _open_pairs(similarity)), "a long, b long")
+    open_ = settle(open_.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    return settle(linked).unionByName(settle(verified_pairs(words, open_, similarity)))
 
 
 def verified_pairs(words: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -376,8 +425,8 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary, bag binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
     words = settle(words.select(F.col("_number").alias("node"), "words", "bag").dropDuplicates(["node"]))
     links = settle(verified_pairs(words, pairs, similarity))
-    rest = settle(remaining_pairs(buckets, words, connected_components(links), pairs, similarity))
-    classes = connected_components(links.unionByName(settle(verified_pairs(words, rest, similarity))))
+    rest = remaining_links(buckets, words, connected_components(links), pairs, similarity)
+    classes = connected_components(links.unionByName(rest))
     named = classes.join(names.select("_number", F.col("_node").alias("_of")), F.col("node") == F.col("_number")).drop("_number")
     heads = settle(named.select("component").distinct().join(names.select("_number", F.col("_node").alias("_class_name")), F.col("component") == F.col("_number")).select("_number", "_class_name"))
     spread = F.xxhash64("doc_id")

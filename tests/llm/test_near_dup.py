@@ -92,6 +92,7 @@ def test_blocks_of_any_size_give_the_same_pairs(spark, monkeypatch):
     want = brute_force(rows)
     for size in (4, 1024):
         monkeypatch.setattr(nd, "BLOCK", size)
+        monkeypatch.setattr(nd, "WORD_BLOCK", size)
         assert {r.doc_id: r.class_id for r in nd.near_duplicate_groups(docs).collect()} == want
 
 
