@@ -105,9 +105,15 @@ def looks_secret(value: Column) -> Column:
 
     Blanks, URLs, variables, placeholders and names of lower-case words with separators do not count.
     """
-    kinds = sum((value.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\-./]")), F.lit(0))
-    named = value.rlike(r"^[a-z0-9]+(?:[._:/-][a-z0-9]+)+$")
-    return F.length(value).between(8, 200) & ~value.rlike(r"\s") & ~value.contains("://") & ~value.startswith("$") & ~is_placeholder(value) & ~named & (kinds >= 2) & (entropy(value) >= 3)
+    without = lambda chars: F.length(F.translate(value, chars, "")) < F.length(value)
+    small, capital, digit = (without("".join(chr(c) for c in range(ord(a), ord(z) + 1))) for a, z in ("az", "AZ", "09"))
+    mark = value.rlike(r"[^\w./-]")
+    kinds = small.cast("int") + capital.cast("int") + digit.cast("int") + mark.cast("int")
+    # words joined by single separators: nothing but small letters and digits between them, and at least two of them
+    words = F.split(value, "[-._:/]")
+    joined = (F.size(words) > 1) & F.forall(words, lambda w: w.rlike("^[a-z0-9]+$"))
+    elsewhere = value.rlike(r"\s") | value.startswith("$") | value.contains("://")
+    return F.length(value).between(8, 200) & (kinds >= 2) & (entropy(value) >= 3) & ~(elsewhere | joined | is_placeholder(value))
 
 
 def identifier_words(name: Column) -> Column:

@@ -51,10 +51,10 @@ def fans(refs: DataFrame, chains: DataFrame, src: str = "src", dst: str = "dst")
     """
     pairs = refs.groupBy(src, dst).agg(F.count("*").alias("_n"))
     both = pairs.join(chains.select(F.col("node").alias(src), F.col("chain").alias("_from")), src).join(chains.select(F.col("node").alias(dst), F.col("chain").alias("_to")), dst)
-    side = lambda a, b: F.transform(F.array_except(a, b), lambda e: e)
-    out = both.select(F.explode(side("_from", "_to")).alias("element"), F.lit(0).cast("long").alias("i"), F.col("_n").alias("o"))
-    into = both.select(F.explode(side("_to", "_from")).alias("element"), F.col("_n").alias("i"), F.lit(0).cast("long").alias("o"))
-    return out.unionByName(into).groupBy("element").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
+    side = lambda a, b, out: F.transform(F.array_except(a, b), lambda e: F.struct(e.alias("element"), F.lit(out).alias("out")))
+    ends = both.select(F.explode(F.concat(side("_from", "_to", True), side("_to", "_from", False))).alias("_e"), "_n")
+    count = lambda out: F.coalesce(F.sum(F.when(F.col("_e.out") == out, F.col("_n"))), F.lit(0))
+    return ends.groupBy(F.col("_e.element").alias("element")).agg(count(False).alias("fan_in"), count(True).alias("fan_out"))
 
 
 def crossing(refs: DataFrame, inside: DataFrame) -> DataFrame:

@@ -20,16 +20,17 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return agg.select(*keys, order, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 
-def merge_provider(refs: DataFrame, update: DataFrame, coverage: DataFrame, symbols: DataFrame) -> DataFrame:
+def merge_provider(refs: DataFrame, update: DataFrame, coverage: DataFrame, symbols: DataFrame, order: str = "resolution") -> DataFrame:
     """References after a provider has spoken.
 
     ``coverage`` (file, kind, status) says what the provider analysed; where its status is
     supported or partial, earlier references of that kind and file give way to its own.
-    References to or from symbols that are not there are dropped; of equal ones the last counts.
+    References to or from symbols that are not there are dropped; of equal ones the provider's
+    count, and among these the last in ``order`` (any column), so reruns agree.
     """
     covered = coverage.filter(F.col("status").isin("supported", "partial")).select("file", "kind").distinct()
-    kept = refs.join(covered, ["file", "kind"], "left_anti").withColumn("_ord", F.lit(0))
-    both = kept.unionByName(update.withColumn("_ord", F.lit(1)))
+    kept = refs.join(covered, ["file", "kind"], "left_anti").withColumn("_ord", F.struct(F.lit(0).alias("of"), F.col(order).alias("at")))
+    both = kept.unionByName(update.withColumn("_ord", F.struct(F.lit(1).alias("of"), F.col(order).alias("at"))))
     known = symbols.select("id").distinct()
     both = both.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     keys = ["src", "dst", "kind", "file", "line"]

@@ -205,10 +205,10 @@ def expand_tree(spark, sf):
     return cl.expand_tree(up, spark.createDataFrame([("s:1",)], "seed string"), 3).withColumn("level", F.col("level").cast("int"))
 
 
-@query(f"""WITH {b.SQL_PARENTS}, one AS (SELECT parent, min(node) AS child FROM parents WHERE parent IS NOT NULL AND node NOT LIKE 'c:%' GROUP BY parent HAVING count(*) = 1)
-SELECT p.node, coalesce(b.child, a.child, p.node) AS last FROM parents p LEFT JOIN one a ON p.node = a.parent LEFT JOIN one b ON a.child = b.parent WHERE p.node NOT LIKE 'c:%'""")
+@query(f"""WITH {b.SQL_PARENTS}, one AS (SELECT parent, min(node) AS child FROM parents WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) = 1)
+SELECT p.node, coalesce(b.child, a.child, p.node) AS last FROM parents p LEFT JOIN one a ON p.node = a.parent LEFT JOIN one b ON a.child = b.parent""")
 def single_child_chain(spark, sf):
-    return h.single_child_chain(b.parents(spark, sf).filter("node not like 'c:%'"))
+    return h.single_child_chain(b.parents(spark, sf))
 
 
 @query(f"""WITH {b.SQL_PARENTS} SELECT node AS element FROM parents WHERE node LIKE 'r:%' UNION SELECT node FROM parents WHERE parent = 'r:2'""")

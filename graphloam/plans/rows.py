@@ -47,12 +47,12 @@ def apply_patch(spark, sf):
     return mg.apply_patch(old, new, "id", ["label", "role"]).select("id", "label", "role")
 
 
-@query("""WITH r AS (SELECT o_custkey AS id, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'answered' END AS status, o_orderpriority AS outcome, o_orderkey AS ord FROM orders WHERE o_orderkey % 4 < 2)
+@query("""WITH r AS (SELECT o_custkey AS id, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'answered' END AS status, o_orderpriority AS outcome, o_orderkey AS ord FROM orders)
 SELECT id, arg_max(status, (CASE status WHEN 'closed' THEN 2 WHEN 'answered' THEN 1 ELSE 0 END, ord)) AS status, arg_max(outcome, (CASE status WHEN 'closed' THEN 2 WHEN 'answered' THEN 1 ELSE 0 END, ord)) AS outcome, count(DISTINCT outcome) FILTER (status = 'closed') > 1 AS conflict FROM r GROUP BY id""")
 def merge_feedback(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open").otherwise("answered")
     rows = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("outcome"), F.col("o_orderkey").alias("ord"))
-    return mg.merge_feedback(rows.filter("ord % 4 = 0"), rows.filter("ord % 4 = 1"))
+    return mg.merge_feedback(rows.filter("ord % 2 = 0"), rows.filter("ord % 2 = 1"))
 
 
 @query("""SELECT conv_id, sha256(string_agg(coalesce(role, '') || chr(31) || coalesce(text, ''), chr(10) ORDER BY turn, coalesce(role, '') || chr(31) || coalesce(text, ''))) AS identity FROM conversations GROUP BY conv_id""")
@@ -69,12 +69,12 @@ def use_cache(spark, sf):
     return hits.select("doc_id", F.lit(True).alias("cached")).unionByName(misses.select("doc_id", F.lit(False).alias("cached")))
 
 
-@query("""WITH e AS (SELECT 'n:' || c_nationkey AS element, arg_max(CASE c_custkey % 3 WHEN 0 THEN 'hide' WHEN 1 THEN 'group' ELSE 'ungroup' END, c_custkey) AS action, arg_max('g:' || c_custkey % 2, c_custkey) AS grp FROM customer WHERE c_custkey < 40 GROUP BY 1)
+@query("""WITH e AS (SELECT 'n:' || c_nationkey AS element, arg_max(CASE c_custkey % 3 WHEN 0 THEN 'hide' WHEN 1 THEN 'group' ELSE 'ungroup' END, c_custkey) AS action, arg_max('g:' || c_custkey % 2, c_custkey) AS grp FROM customer GROUP BY 1)
 SELECT DISTINCT CASE WHEN action = 'group' THEN grp ELSE v.element END AS element FROM (SELECT 'n:' || n_nationkey AS element FROM nation) v LEFT JOIN e USING (element) WHERE action IS NULL OR action <> 'hide'""")
 def user_edits(spark, sf):
     view = b.table(spark, sf, "nation").select(b.tag("n:", "n_nationkey").alias("element"))
     k = F.col("c_custkey")
-    edits = b.table(spark, sf, "customer").filter("c_custkey < 40").select(b.tag("n:", "c_nationkey").alias("element"), F.when(k % 3 == 0, "hide").when(k % 3 == 1, "group").otherwise("ungroup").alias("action"), F.concat(F.lit("g:"), (k % 2).cast("string")).alias("grp"), k.alias("version"))
+    edits = b.table(spark, sf, "customer").select(b.tag("n:", "c_nationkey").alias("element"), F.when(k % 3 == 0, "hide").when(k % 3 == 1, "group").otherwise("ungroup").alias("action"), F.concat(F.lit("g:"), (k % 2).cast("string")).alias("grp"), k.alias("version"))
     return mg.user_edits(view, edits)
 
 

@@ -41,11 +41,11 @@ def trimmed_lines(spark, sf):
 
 
 @query(f"""WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part)
-SELECT p_partkey, regexp_full_match(path, '(?:[^/]+/)*[^/]*\\.py') AS any_py, regexp_full_match(path, 'src/.*') AS in_src, regexp_full_match(path, '(?:.*/)?[^/]*\\.lock') AS lock,
+SELECT p_partkey, regexp_full_match(path, '(?:[^/]+/)*[^/]*\\.py') AS any_py, regexp_full_match(path, 'src/.*') AS in_src, regexp_full_match(path, '(?:.*/)?[^/]*\\.lock') AS lock, regexp_full_match(path, 's.*c/[^/][^/]*\\.ts') AS inner_stars,
 regexp_matches(path, '(_test\\.go$)|((^|/)tests?/)|((^|/)__tests__/)|((^|/)[^/]*\\.(test|spec)\\.[^/]*$)|((^|/)test_[^/]*\\.py$)|(_test\\.py$)') AS test FROM p""")
 def glob_match(spark, sf):
     p = F.col("path")
-    return _paths(spark, sf).select("p_partkey", globs.glob_match(p, "**/*.py").alias("any_py"), globs.glob_match(p, "src/**").alias("in_src"), globs.glob_match(p, "*.lock").alias("lock"), globs.is_test_file(p).alias("test"))
+    return _paths(spark, sf).select("p_partkey", globs.glob_match(p, "**/*.py").alias("any_py"), globs.glob_match(p, "src/**").alias("in_src"), globs.glob_match(p, "*.lock").alias("lock"), globs.glob_match(p, "s**c/?*.ts").alias("inner_stars"), globs.is_test_file(p).alias("test"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part), b AS (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM p)
@@ -111,9 +111,9 @@ def normalize_route(spark, sf):
     return table(spark, sf, "pages").select("page_id", routes.normalize_route(F.col("url")).alias("route"))
 
 
-@query("""SELECT doc_id, strpos(text, 'the')::INT - 1 AS start, 3 AS length FROM documents WHERE contains(text, 'the') AND lang = 'en'""")
+@query("""SELECT doc_id, strpos(text, 'the')::INT - 1 AS start, 3 AS length FROM documents WHERE contains(text, 'the')""")
 def literal_match(spark, sf):
-    docs = table(spark, sf, "documents").filter(F.col("lang") == "en").select("doc_id", tx.literal_match(F.col("text"), "the").alias("m"))
+    docs = table(spark, sf, "documents").select("doc_id", tx.literal_match(F.col("text"), "the").alias("m"))
     return docs.filter("m is not null").select("doc_id", "m.start", "m.length")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloam import bindings as b
@@ -106,15 +105,15 @@ def touched_symbols(spark, sf):
     return ch.touched_symbols(_hunks(spark, sf), b.symbols(spark, sf))
 
 
-@query("""WITH w AS (SELECT doc_id, lag(text) OVER (ORDER BY doc_id) AS old, text AS new FROM documents WHERE doc_id % 50 < 2),
+@query("""WITH w AS (SELECT doc_id, (SELECT p.text FROM documents p WHERE p.doc_id = d.doc_id - 1) AS old, text AS new FROM documents d),
 d AS (SELECT doc_id, regexp_split_to_array(old, '\\r?\\n') AS a, regexp_split_to_array(new, '\\r?\\n') AS b FROM w WHERE old IS NOT NULL),
 h AS (SELECT *, (SELECT count(*) FROM range(1, least(len(a), len(b)) + 1) t(i) WHERE a[1:i] = b[1:i]) AS head FROM d),
 t AS (SELECT *, (SELECT count(*) FROM range(1, least(len(a), len(b)) - head + 1) t(i) WHERE a[len(a) - i + 1:] = b[len(b) - i + 1:]) AS tail FROM h),
 o AS (SELECT doc_id, head, len(a) - head - tail AS ol, len(b) - head - tail AS nl FROM t)
 SELECT doc_id, (head + (ol > 0)::INT)::INT AS old_start, ol::INT AS old_lines, (head + (nl > 0)::INT)::INT AS new_start, nl::INT AS new_lines FROM o WHERE ol + nl > 0""")
 def line_hunks(spark, sf):
-    docs = b.table(spark, sf, "documents").filter("doc_id % 50 < 2")
-    pairs = docs.select("doc_id", F.lag("text").over(Window.orderBy("doc_id")).alias("old"), F.col("text").alias("new")).filter("old is not null")
+    docs = b.table(spark, sf, "documents")
+    pairs = docs.select("doc_id", F.col("text").alias("new")).join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("old")), "doc_id").filter("old is not null")
     return ch.line_hunks(pairs, "doc_id", "old", "new").select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")])
 
 

@@ -15,12 +15,12 @@ def via_hops(spark, sf):
     return vw.via_hops(turns, "conv_id", "via")
 
 
-@query("""WITH RECURSIVE v AS (SELECT c_custkey AS view, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer WHERE c_custkey BETWEEN 1 AND 100),
+@query("""WITH RECURSIVE v AS (SELECT c_custkey AS view, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer),
 up AS (SELECT view, parent, 1 AS d FROM v WHERE parent IS NOT NULL UNION ALL SELECT up.view, v.parent, d + 1 FROM up JOIN v ON up.parent = v.view WHERE v.parent IS NOT NULL)
 SELECT v.view::VARCHAR AS view, coalesce((SELECT list(parent::VARCHAR ORDER BY d DESC) FROM up WHERE up.view = v.view), []) AS trail FROM v""")
 def zoom_trail(spark, sf):
     k = F.col("c_custkey")
-    rows = b.table(spark, sf, "customer").filter(k.between(1, 100)).select(k.cast("string").alias("view"), F.when(k > 1, F.floor(k / 2).cast("string")).alias("parent"))
+    rows = b.table(spark, sf, "customer").select(k.cast("string").alias("view"), F.when(k > 1, F.floor(k / 2).cast("string")).alias("parent"))
     return vw.zoom_trail(rows)
 
 
@@ -36,11 +36,11 @@ def removed_boxes(spark, sf):
     return vw.removed_boxes(docs.select("file"), docs.filter("doc_id % 5 <> 0").select("file"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 's:' || s_suppkey AS a, 's:' || (s_suppkey * 3 % 50) AS b FROM supplier WHERE s_suppkey % 4 = 0), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT 's:' || s_suppkey AS a, 's:' || (s_suppkey * 3 % 50) AS b FROM supplier), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w AS (SELECT a, b FROM two UNION SELECT w.a, two.b FROM w JOIN two ON w.b = two.a) SELECT a AS node, least(a, min(b)) AS grp FROM w GROUP BY a""")
 def type_groups(spark, sf):
     k = F.col("s_suppkey")
-    return vw.type_groups(b.table(spark, sf, "supplier").filter(k % 4 == 0).select(b.tag("s:", "s_suppkey").alias("src"), F.concat(F.lit("s:"), (k * 3 % 50).cast("string")).alias("dst")))
+    return vw.type_groups(b.table(spark, sf, "supplier").select(b.tag("s:", "s_suppkey").alias("src"), F.concat(F.lit("s:"), (k * 3 % 50).cast("string")).alias("dst")))
 
 
 @query("""WITH u AS (SELECT user_id AS function, event_id AS line, event_type AS state, CASE WHEN event_id % 2 = 0 THEN 'test' ELSE 'set' END AS action FROM events),
@@ -94,11 +94,11 @@ def coverage_report(spark, sf):
     return vw.coverage_report(docs.filter("file % 4 <> 0").withColumn("status", status), docs)
 
 
-@query("""WITH e AS (SELECT c_custkey AS element FROM customer), a AS (SELECT o_custkey AS element, o_orderkey AS file, 1 AS s, 3 AS e FROM orders WHERE o_orderkey % 20 = 0), s AS (SELECT c_custkey AS element, c_custkey AS file, 5 AS s, 9 AS e FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH e AS (SELECT c_custkey AS element FROM customer), a AS (SELECT o_custkey AS element, o_orderkey AS file, 1 AS s, 3 AS e FROM orders), s AS (SELECT c_custkey AS element, c_custkey AS file, 5 AS s, 9 AS e FROM customer WHERE c_custkey % 3 = 0)
 SELECT element, file, s AS start_line, e AS end_line FROM a UNION ALL SELECT * FROM s WHERE element NOT IN (SELECT element FROM a) UNION ALL SELECT element, element, 1, 100 FROM e WHERE element NOT IN (SELECT element FROM a) AND element % 3 <> 0""")
 def code_focus(spark, sf):
     c = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("element"))
-    anchors = b.table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("element"), F.col("o_orderkey").alias("file"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
+    anchors = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("element"), F.col("o_orderkey").alias("file"), F.lit(1).alias("start_line"), F.lit(3).alias("end_line"))
     symbols = c.filter("element % 3 = 0").select("element", F.col("element").alias("file"), F.lit(5).alias("start_line"), F.lit(9).alias("end_line"))
     return vw.code_focus(c, anchors, symbols, c.select("element", F.col("element").alias("file"), F.lit(100).alias("lines")))
 

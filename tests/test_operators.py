@@ -255,3 +255,23 @@ def test_closure_goes_to_the_end_of_deep_graphs(spark):
     assert {r.component for r in closure.strong_components(ring).collect()} == {0}
     with pytest.raises(RuntimeError):
         closure.reading_order(chain.filter("src < 5"), max_rounds=2)
+
+
+def test_globs_take_folders_only_where_a_segment_starts():
+    import re
+
+    from graphloam.functions.globs import glob_regex
+
+    hits = {("src**/x", "src/y/x"), ("src/**/x", "src/x"), ("src/**/x", "src/a/b/x"), ("**/test/**", "test/a.ts"), ("a.b", "a.b"), ("**", "a/b"), ("a?c", "abc"), ("***/x", "p/x")}
+    misses = {("src**/x", "srcx"), ("src/**/x", "srcx"), ("**/test/**", "contest/a.ts"), ("a.b", "axb"), ("a?c", "a/c"), ("*", "a/b"), ("", "a")}
+    assert all(re.search(glob_regex(p), t) for p, t in hits) and not any(re.search(glob_regex(p), t) for p, t in misses)
+
+
+def test_word_diff_keeps_a_longest_common_subsequence(monkeypatch):
+    from graphloam.functions import diff
+
+    removed, added = diff.changed_words("x a y b z c K L", "K L a b c")
+    assert removed == ["x", "y", "z", "K", "L"] and added == ["K", "L"]
+    assert diff.changed_words("", "a b") == ([], ["a", "b"]) and diff.changed_words("a b", "a b") == ([], [])
+    monkeypatch.setattr(diff, "MOST_CELLS", 4)
+    assert diff.changed_words("a b x y c d", "a b z c d") == (["x", "y"], ["z"])
