@@ -15,8 +15,8 @@ Equal texts are one node. Buckets with the same members are one bucket. In each
 members are paired with two representatives first (the least and the greatest of a random
 order). Then members of a bucket that are not yet in one component are compared, in blocks of
 bounded size inside the tasks: with all texts of the largest component of their bucket until
-one is similar, and all among themselves, where only pairs leave the comparison that their
-lengths and word counts allow. So the components are those of all similar pairs that share a
+one is similar, and all among themselves. Lengths and word counts rule out most pairs before
+an alignment, and nothing but links leaves the comparison. So the components are those of all similar pairs that share a
 bucket.
 """
 
@@ -38,8 +38,8 @@ from graphloam.llm.components import connected_components
 KMER, ENTRIES, TUPLE, SIMILARITY = 5, 96, 2, 0.8
 #: Texts up to so many words go by all their runs of words, and by the sketch only where a partner may be longer.
 SHORT = 80
-#: Members of a bucket in a block, about; a task holds a block and another one that it is compared with. With whole words fewer.
-BLOCK, WORD_BLOCK = 1024, 256
+#: Members of a bucket, and texts of a component, in a block, about; a task holds a block and another one that it is compared with.
+BLOCK, WORD_BLOCK = 512, 256
 #: Bins of the word counts of a text: their differences bound the edit distance from below.
 BINS = 256
 #: Rows of a table of 64-bit keys that may be broadcast: about 40 bytes each.
@@ -230,8 +230,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (h >> np.uint64(32)).astype(np.uint32)
             each = [short[bounds[i] : bounds[i + 1]] for i in range(len(run))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([_bag(x) for x in each], pa.binary())],
-                ["doc_id", "node", "words", "bag"],
+                [batch.column(0).slice(at, len(run)), pa.array(_names(run, h, bounds), pa.binary()), pa.array([x.tobytes() for x in each], pa.binary())],
+                ["doc_id", "node", "words"],
             )
 
 
@@ -302,26 +302,45 @@ def _cells(keys: tuple[str, ...], compare):
     return run
 
 
-def _open_pairs(similarity: float):
-    """The pairs of a cell that components, lengths and bags allow."""
+def _bags(words: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(_bag(w) for w in words), np.uint8).reshape(len(words), BINS)
 
-    def pairs(cell: pa.Table) -> list:
-        node, comp, n, i, j, block = (cell.column(c).to_numpy() for c in ("node", "comp", "n_words", "i", "j", "block"))
-        bag = np.frombuffer(b"".join(cell.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS)
+
+def _new_links(similarity: float):
+    """The pairs of a cell that align and are not yet joined there.
+
+    Two texts may share many buckets (``entries``); their own hashes choose the one in which they
+    are compared, so that they are compared once.
+    """
+
+    def links(cell: pa.Table) -> list:
+        node, comp, i, j, block = (cell.column(c).to_numpy() for c in ("node", "comp", "i", "j", "block"))
+        words, entries = [np.frombuffer(w, np.uint32) for w in cell.column("words").to_pylist()], [np.array(e, np.int64) for e in cell.column("entries").to_pylist()]
+        n, bag, entry, chosen = np.array([len(w) for w in words]), _bags(words), cell.column("entry")[0].as_py(), wb.mix(node.astype(np.uint64))
         left, right, alone = np.flatnonzero(block == i), np.flatnonzero(block == j), i[0] == j[0]
-        out = []
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            open_ = (comp[x][:, None] != comp[right]) & (not alone or node[x][:, None] < node[right])
-            open_ &= np.minimum(n[x][:, None], n[right]) >= similarity * np.maximum(n[x][:, None], n[right])
-            rows, columns = np.nonzero(open_)
-            for k in range(0, len(rows), 4096):
-                p, q = x[rows[k : k + 4096]], right[columns[k : k + 4096]]
-                good = _apart(bag[p], bag[q]) <= np.floor((1 - similarity) * np.maximum(n[p], n[q]) + 1e-9)
-                out.append((node[p[good]], node[q[good]]))
-        return out
+        joined: dict = {}
+
+        def root(x):
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        a, b = [], []
+        for x in left:
+            near = right[(comp[right] != comp[x]) & (np.minimum(n[x], n[right]) >= similarity * np.maximum(n[x], n[right]))]
+            near = near[node[near] > node[x]] if alone else near
+            near = near[_apart(bag[x], bag[near]) <= np.floor((1 - similarity) * np.maximum(n[x], n[near]) + 1e-9)]
+            for y in near:
+                if root(comp[x]) == root(comp[y]):
+                    continue
+                shared = np.intersect1d(entries[x], entries[y], assume_unique=True)
+                if shared[int((chosen[x] ^ chosen[y]) % np.uint64(len(shared)))] == entry and similar(words[x].tolist(), words[y].tolist(), similarity):
+                    joined[root(comp[x])] = root(comp[y])
+                    a.append(node[x])
+                    b.append(node[y])
+        return [(np.array(a, np.int64), np.array(b, np.int64))]
 
-    return pairs
+    return links
 
 
 def _first_links(similarity: float):
@@ -330,7 +349,7 @@ def _first_links(similarity: float):
     def links(cell: pa.Table) -> list:
         node, right = cell.column("node").to_numpy(), cell.column("right").to_numpy()
         words = [np.frombuffer(w, np.uint32) for w in cell.column("words").to_pylist()]
-        n, bag = np.array([len(w) for w in words]), np.frombuffer(b"".join(_bag(w) for w in words), np.uint8).reshape(len(node), BINS)
+        n, bag = np.array([len(w) for w in words]), _bags(words)
         others, a, b = np.flatnonzero(right), [], []
         for x in np.flatnonzero(~right):
             near = others[np.minimum(n[x], n[others]) >= similarity * np.maximum(n[x], n[others])]
@@ -355,8 +374,8 @@ def _deal(left: DataFrame, right: DataFrame, key: str, g: str, h: str, what: lis
     return x.unionByName(y).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def remaining_links(rows: DataFrame, words: DataFrame, classes: DataFrame, checked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links between texts that share a bucket and that no component (node, component) has yet; ``checked`` pairs are known.
+def remaining_links(rows: DataFrame, words: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: links between texts that share a bucket and that no component (node, component) has yet.
 
     Of buckets of three members and less, representatives have met all: they are left out. A member
     outside the largest component of its bucket meets all texts of that component, once, until
@@ -382,13 +401,12 @@ def remaining_links(rows: DataFrame, words: DataFrame, classes: DataFrame, check
     blocks = lambda side: join_salted(side.select("key", "node"), sizes, "key", "_key", F.xxhash64("node")).join(whole, F.col("node") == F.col("_n"))
     linked = _deal(blocks(left), blocks(right), "key", "_x", "_y", ["node", "words"]).mapInArrow(_cells(("key", "i", "j"), _first_links(similarity)), "a long, b long")
 
-    about = words.select(F.col("node").alias("_n"), (F.length("words") / 4).cast("int").alias("n_words"), "bag")
-    among = outside.join(about, F.col("node") == F.col("_n")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_g")).cast("int"))
+    buckets_of = outside.groupBy(F.col("node").alias("_of")).agg(F.collect_list("entry").alias("entries"))  # no more than a text has entries
+    among = outside.join(whole, F.col("node") == F.col("_n")).join(buckets_of, F.col("node") == F.col("_of")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_g")).cast("int"))
     # every two blocks of a bucket meet once, in the cell of the smaller and the larger number
-    among = among.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select("entry", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"), "block", "node", "comp", "n_words", "bag")
-    open_ = among.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(_cells(("entry", "i", "j"), _open_pairs(similarity)), "a long, b long")
-    open_ = settle(open_.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    return settle(linked).unionByName(settle(verified_pairs(words, open_, similarity)))
+    among = among.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select("entry", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"), "block", "node", "comp", "words", "entries")
+    found = among.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j").mapInArrow(_cells(("entry", "i", "j"), _new_links(similarity)), "a long, b long")
+    return settle(linked).unionByName(settle(found))
 
 
 def verified_pairs(words: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -422,10 +440,10 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     ids = wanted.select(F.col("_carrier").alias("_id")).distinct()
     chosen = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary, bag binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
-    words = settle(words.select(F.col("_number").alias("node"), "words", "bag").dropDuplicates(["node"]))
+    words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
+    words = settle(words.select(F.col("_number").alias("node"), "words").dropDuplicates(["node"]))
     links = settle(verified_pairs(words, pairs, similarity))
-    rest = remaining_links(buckets, words, connected_components(links), pairs, similarity)
+    rest = remaining_links(buckets, words, connected_components(links), similarity)
     classes = connected_components(links.unionByName(rest))
     named = classes.join(names.select("_number", F.col("_node").alias("_of")), F.col("node") == F.col("_number")).drop("_number")
     heads = settle(named.select("component").distinct().join(names.select("_number", F.col("_node").alias("_class_name")), F.col("component") == F.col("_number")).select("_number", "_class_name"))
