@@ -12,8 +12,7 @@ all their runs of four words (of two or three in the shortest) are entries, so t
 their similar pairs are candidates.
 
 Equal texts are one node. Buckets with the same members are one bucket. In each bucket the
-members are paired with two representatives first (the least and the greatest of a random
-order). Then members of a bucket that are not yet in one component are compared, in blocks of
+members are paired with a representative first (the least of a random order). Then members of a bucket that are not yet in one component are compared, in blocks of
 bounded size inside the tasks: with all texts of the largest component of their bucket until
 one is similar, and all among themselves. Lengths and word counts rule out most pairs before
 an alignment, and nothing but links leaves the comparison. So the components are those of all similar pairs that share a
@@ -261,11 +260,14 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: members of buckets (columns entry, node) with each of two representatives of their bucket."""
-    order = F.xxhash64("node", F.pmod("entry", F.lit(2)))
-    buckets = rows.groupBy("entry").agg(F.min_by("node", order).alias("first"), F.max_by("node", order).alias("last"))
-    buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.array("first", "last").alias("_heads")))
-    pairs = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).select("node", F.explode("_heads").alias("head")).filter("node <> head")
+    """a, b: members of buckets (columns entry, node) with the representative of their bucket: the least of one random order.
+
+    One order for all buckets, so that buckets of nearly the same members mostly have the same
+    representative, and a text few of them.
+    """
+    buckets = rows.groupBy("entry").agg(F.min_by("node", F.xxhash64("node")).alias("head"))
+    buckets = settle(buckets.select(F.col("entry").alias("_entry"), "head"))
+    pairs = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).filter("node <> head")
     return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
@@ -377,12 +379,12 @@ def _deal(left: DataFrame, right: DataFrame, key: str, g: str, h: str, what: lis
 def remaining_links(rows: DataFrame, words: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: links between texts that share a bucket and that no component (node, component) has yet.
 
-    Of buckets of three members and less, representatives have met all: they are left out. A member
+    In buckets of two the representative has met the other: they are left out. A member
     outside the largest component of its bucket meets all texts of that component, once, until
     one is similar: a link to it is a link to all. The members outside, and the largest component where
     it has one member there, are compared among themselves.
     """
-    large = rows.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 3").select(F.col("entry").alias("_entry"))
+    large = rows.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 2").select(F.col("entry").alias("_entry"))
     rows = join_salted(rows, settle(large), "entry", "_entry", F.xxhash64("node")).select("entry", "node")
     inside = settle(classes.select(F.col("node").alias("_n"), "component"))
     rows = settle(rows.join(small(inside, KEYS), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("comp")))
