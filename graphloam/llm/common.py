@@ -15,6 +15,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast on purpose only when its settled row count is at most this.
 BROADCAST_ROWS = 100_000
+#: Rows of a few numbers each that make a task worth its files.
+TASK_ROWS = 25_000
 
 
 #: Rows of an Arrow batch when rows hold whole texts: Spark's own 10,000 would be tens of MB on each side.
@@ -47,6 +49,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def packed(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` settled, in no more partitions than it has ``rows`` rows: each further one would be a task and its files in every later shuffle."""
+    done = settle(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def shield(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """(docs, restore): all columns but the ``used`` ones under names that nothing else has, and the way back.
 
@@ -137,4 +145,4 @@ def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return placed.withColumn(out, F.col("_before") + F.col("_place")).drop("_place", "_before", "_of", "_in", *[f"_key{i}" for i in range(len(keys))])
 
 
-__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "copies", "count_rank", "id_text", "join_salted", "numbered", "rank_edge", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]
+__all__ = ["BLANKS", "BLANK_WORD", "BROADCAST_ROWS", "LOWER", "UPPER", "ascii_lower", "copies", "count_rank", "id_text", "join_salted", "numbered", "packed", "rank_edge", "running_start", "same", "settle", "shield", "small", "small_batches", "table"]

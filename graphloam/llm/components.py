@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import settle
+from graphloam.llm.common import TASK_ROWS, settle
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -13,18 +13,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Each step hangs the neighbours of a node onto the least of them, which keeps the
     components and makes the trees flat; rounds grow with the logarithm of the longest path.
-    Nodes stay in tables: the driver sees two counts a round. Loops and nulls are left out.
+    Nodes stay in tables: the driver sees two counts a round. No round has many more edges than
+    the first, so the steps keep as many tasks as that one has TASK_ROWS edges. Loops and
+    nulls are left out.
     """
-    edges = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = settle(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tasks = max(1, -(-edges.count() // TASK_ROWS))
     seen = None
     for _ in range(most_rounds):
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m")).coalesce(tasks)
+        large = both.join(least, F.col("a") == F.col("u")).filter("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+        root = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).coalesce(tasks)
         small = large.join(root, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(root.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = settle(small.filter("a <> b").distinct())
+        edges = settle(small.filter("a <> b").coalesce(tasks).distinct().coalesce(tasks))
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if seen == (now["n"], now["x"]):
             break

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.llm import wordbytes as wb
-from graphloam.llm.common import join_salted, settle, shield, small, small_batches
+from graphloam.llm.common import join_salted, packed, settle, shield, small, small_batches
 from graphloam.llm.components import connected_components
 
 KMER, ENTRIES, TUPLE, SIMILARITY = 5, 96, 2, 0.8
@@ -45,6 +45,8 @@ BINS = 256
 KEYS = 400_000
 #: Words of the longer text up to which an alignment holds the places of every word as one integer each.
 PLACES = 8_000
+#: Texts of a task of the table of words, about.
+TEXTS = 4_000
 #: Hash values that a sketch holds at a time.
 _CELLS = 1 << 21
 
@@ -256,7 +258,7 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     entries = nodes.select("node", F.explode("entries").alias("entry"))
     counted = entries.groupBy("entry").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
     several = settle(counted.groupBy("n", "members").agg(F.min("entry").alias("_entry")).select("_entry"))
-    return settle(entries.join(small(several, KEYS), F.col("entry") == F.col("_entry")).select("entry", "node"))
+    return packed(entries.join(small(several, KEYS), F.col("entry") == F.col("_entry")).select("entry", "node"))
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
@@ -386,14 +388,14 @@ def remaining_links(rows: DataFrame, words: DataFrame, classes: DataFrame, simil
     """
     large = rows.groupBy("entry").agg(F.count("*").alias("n")).filter("n > 2").select(F.col("entry").alias("_entry"))
     rows = join_salted(rows, settle(large), "entry", "_entry", F.xxhash64("node")).select("entry", "node")
-    inside = settle(classes.select(F.col("node").alias("_n"), "component"))
-    rows = settle(rows.join(small(inside, KEYS), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("comp")))
+    inside = packed(classes.select(F.col("node").alias("_n"), "component"))
+    rows = packed(rows.join(small(inside, KEYS), F.col("node") == F.col("_n"), "left").select("entry", "node", F.coalesce("component", "node").alias("comp")))
     parts = rows.groupBy("entry", "comp").agg(F.count("*").alias("n"))
     buckets = parts.groupBy("entry").agg(F.max(F.struct("n", "comp")).alias("_top"), F.sum("n").alias("_all"), F.count("*").alias("_parts")).filter("_parts > 1")
     loners = F.col("_all") - F.col("_top.n") + F.when(F.col("_top.n") == 1, 1).otherwise(0)
     buckets = settle(buckets.select(F.col("entry").alias("_entry"), F.col("_top.comp").alias("_main"), (F.col("_top.n") > 1).alias("_has"), F.ceil(loners / BLOCK).cast("int").alias("_g")))
     outside = join_salted(rows, buckets, "entry", "_entry", F.xxhash64("node")).filter(~F.col("_has") | (F.col("comp") != F.col("_main")))
-    outside = settle(outside.select("entry", "node", "comp", "_has", "_main", "_g"))
+    outside = packed(outside.select("entry", "node", "comp", "_has", "_main", "_g"))
 
     whole = words.select(F.col("node").alias("_n"), "words")
     left = outside.filter("_has").select(F.col("_main").alias("key"), "node").distinct()
@@ -435,7 +437,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     # a settled table keeps its order, so its row numbers do too: 8 bytes stand for a text from here on
     numbered = nodes.withColumn("_number", F.monotonically_increasing_id())
     buckets = bucket_rows(numbered.select(F.col("_number").alias("node"), "entries"))
-    pairs = settle(candidate_pairs(buckets))
+    pairs = packed(candidate_pairs(buckets))
     # of each text in a bucket of several, one document gives the words to align
     names = numbered.select("_number", F.col("node").alias("_node"), "_carrier")
     wanted = settle(buckets.select(F.col("node").alias("_number")).distinct().join(names, "_number"))
@@ -443,10 +445,11 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
     chosen = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = chosen.mapInArrow(_tokens, f"doc_id {kind}, node binary, words binary").join(small(wanted), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_carrier")))
-    words = settle(words.select(F.col("_number").alias("node"), "words").dropDuplicates(["node"]))
-    links = settle(verified_pairs(words, pairs, similarity))
-    rest = remaining_links(buckets, words, connected_components(links), similarity)
-    classes = connected_components(links.unionByName(rest))
+    words = packed(words.select(F.col("_number").alias("node"), "words").dropDuplicates(["node"]), TEXTS)
+    classes = settle(connected_components(settle(verified_pairs(words, pairs, similarity))))
+    rest = remaining_links(buckets, words, classes, similarity)
+    # a component stands for the links in it
+    classes = connected_components(classes.toDF("a", "b").unionByName(rest))
     named = classes.join(names.select("_number", F.col("_node").alias("_of")), F.col("node") == F.col("_number")).drop("_number")
     heads = settle(named.select("component").distinct().join(names.select("_number", F.col("_node").alias("_class_name")), F.col("component") == F.col("_number")).select("_number", "_class_name"))
     spread = F.xxhash64("doc_id")
