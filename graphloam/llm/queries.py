@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm import ann, decontaminate, hmm_lm, lang_id, line_dedup, mixing, near_dup, pii, secret_forest, sharding
+from graphloam.llm import ann, decontaminate, hmm_lm, lang_id, line_dedup, mixing, near_dup, pii, ranked_search, secret_forest, sharding, weighted_lloyd
 from graphloam.llm.common import table
 
 SHARDS = 40
@@ -52,7 +52,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "first", "last", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_decontamination, op5_line_dedup, op6_nearest, op7_surrogates, op8_language, op9_language_model, op10_secrets)}
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_lloyd.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_decontamination, op5_line_dedup, op6_nearest, op7_surrogates, op8_language, op9_language_model, op10_secrets, op11_weighted_lloyd, op12_ranked_search)}
 
 # CRC-32 by half bytes; fixed values of the reflected polynomial 0xEDB88320.
 _CRC_TABLE = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
@@ -121,4 +129,28 @@ m AS (SELECT l.*, bad.key IS NOT NULL AND l.doc_id IS DISTINCT FROM bad.keeper A
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY r"""
 
-ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_mixing": _OP3, "op4_decontamination": _OP4, "op5_line_dedup": _OP5}
+# Lloyd over all vectors, none grouped: x has a row for each component, c the centroids of a round.
+_NEAR = """a{i} AS (SELECT r, arg_min(c, (far, c)) AS c, min(far) AS far FROM (SELECT x.r, c, sum((x.v - k.v) * (x.v - k.v))::BIGINT AS far FROM x JOIN c{i} k USING (d) GROUP BY x.r, c) GROUP BY r)"""
+_MEAN = """c{j} AS (SELECT k.c, k.d, coalesce(m.v, k.v) AS v FROM c{i} k LEFT JOIN (SELECT a.c, x.d, floor(sum(x.v) / count(*))::BIGINT AS v FROM x JOIN a{i} a USING (r) GROUP BY a.c, x.d) m ON m.c = k.c AND m.d = k.d)"""
+_OP11 = f"""
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+x AS (SELECT r, unnest(range(64)) AS d, unnest(q) AS v FROM e),
+c0 AS (SELECT c, unnest(range(64)) AS d, unnest(q) AS v FROM (SELECT q, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM e ORDER BY c LIMIT 40)),
+{", ".join(_NEAR.format(i=i) + ", " + _MEAN.format(i=i, j=i + 1) for i in range(5))}, {_NEAR.format(i=5)},
+h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, far AS distance, sum(far) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(far) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN e USING (r) JOIN h USING (c)"""
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_WORDS.format("coalesce(text, '')")}) AS w FROM benchmark),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+q AS (SELECT i, unnest(w) AS t FROM b),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, docs),
+v AS (SELECT i, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * docs) // words))))::BIGINT AS score FROM q JOIN p USING (t) JOIN f USING (t) JOIN d USING (r) CROSS JOIN s GROUP BY i, r)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM v JOIN d USING (r) WHERE score > 0) JOIN b USING (i) WHERE rank <= 50"""
+
+ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_mixing": _OP3, "op4_decontamination": _OP4, "op5_line_dedup": _OP5, "op11_weighted_lloyd": _OP11, "op12_ranked_search": _OP12}
