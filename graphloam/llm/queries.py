@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm import ann, decontaminate, hmm_lm, lang_id, line_dedup, mixing, near_dup, pii, ranked_search, secret_forest, sharding, weighted_lloyd
+from graphloam.llm import ann, decontaminate, hmm_lm, lang_id, line_dedup, mixing, near_dup, pii, prefix_free, ranked_search, secret_forest, sharding, weighted_lloyd
 from graphloam.llm.common import table
 
 SHARDS = 40
@@ -60,7 +60,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_decontamination, op5_line_dedup, op6_nearest, op7_surrogates, op8_language, op9_language_model, op10_secrets, op11_weighted_lloyd, op12_ranked_search)}
+def op13_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_mixing, op4_decontamination, op5_line_dedup, op6_nearest, op7_surrogates, op8_language, op9_language_model, op10_secrets, op11_weighted_lloyd, op12_ranked_search, op13_prefix_free)}
 
 # CRC-32 by half bytes; fixed values of the reflected polynomial 0xEDB88320.
 _CRC_TABLE = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
@@ -153,4 +157,17 @@ v AS (SELECT i, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (5
 SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM v JOIN d USING (r) WHERE score > 0) JOIN b USING (i) WHERE rank <= 50"""
 
-ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_mixing": _OP3, "op4_decontamination": _OP4, "op5_line_dedup": _OP5, "op11_weighted_lloyd": _OP11, "op12_ranked_search": _OP12}
+# All windows of every text, by their MD5; h has two digits for each byte.
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
+hit AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+runs AS (SELECT r, i, sum(gap) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, (i - lag(i, 1, -401) OVER (PARTITION BY r ORDER BY i) > 400)::INT AS gap FROM hit)),
+s AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, g),
+o AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS z FROM s),
+kept AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS front, max(b) AS last FROM o JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_mixing": _OP3, "op4_decontamination": _OP4, "op5_line_dedup": _OP5, "op11_weighted_lloyd": _OP11, "op12_ranked_search": _OP12, "op13_prefix_free": _OP13}
