@@ -25,7 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloam.llm.common import BROADCAST_ROWS, settle, shield, small_batches
@@ -44,6 +44,8 @@ MOST_MEMBERS = 50_000
 BLOCK = 8192
 #: Places in one row of the parse.
 PLACES = 65_536
+#: Bytes of texts that go to or come from Python at once; one longer text goes alone.
+BATCH_BYTES = 1 << 22
 _INSIDE = 15
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -293,6 +295,11 @@ def _holding(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(keys), "hash", "left_semi") if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else texts
 
 
+def _small_batches(spark: SparkSession) -> None:
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE, widths: int = WIDTHS, most_members: int = MOST_MEMBERS) -> DataFrame:
     """hash, size, spans, copies: for each distinct text (by MD5) with repeated strings of ``length`` bytes, the bytes that they cover.
 
@@ -300,7 +307,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE,
     Spans are half-open, in order, and do not touch. Null, empty and shorter texts have none.
     ``length`` must be more than 2 * TRIGGER and at most 16,000; 15 times ``widths`` must reach it.
     """
-    small_batches(docs.sparkSession)
+    _small_batches(docs.sparkSession)
     given = docs.select(F.monotonically_increasing_id().alias("id"), F.expr(_KEY).alias("hash"), "text").filter(F.octet_length("text") >= length)
     # ids are drawn once, here: the stored table is all that is read from now on
     parse = stored(given.mapInArrow(_parse(length, phrase, widths), "id long, hash binary, size long, place long, core long, whole long"), "parse")
@@ -348,19 +355,22 @@ def _once(texts: DataFrame) -> DataFrame:
     return texts.select("hash", "text").mapInArrow(run, "hash binary, text string")
 
 
-def _kept(columns: int):
-    """mapInArrow function: the last two columns are text and spans; the bytes outside the spans are added."""
+def _kept(text: int, spans: int):
+    """mapInArrow function: the columns, and the bytes of the column ``text`` outside the spans in column ``spans``, a few texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(columns), batch.column(columns + 1), strict=True):
-                data, parts, at = text.as_buffer().to_pybytes(), [], 0
-                for s in spans.as_py():
-                    parts.append(data[at : s["first"]])
-                    at = s["last"]
-                out.append(b"".join([*parts, data[at:]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], batch.column(columns + 1), pa.array(out, pa.binary())], [*batch.schema.names[:columns], "spans", "kept"])
+            at, out, held = 0, [], 0
+            for i, (one, lost) in enumerate(zip(batch.column(text), batch.column(spans), strict=True)):
+                data, parts, begin = one.as_buffer().to_pybytes(), [], 0
+                for s in lost.as_py():
+                    parts.append(data[begin : s["first"]])
+                    begin = s["last"]
+                out.append(b"".join([*parts, data[begin:]]))
+                held += len(data)
+                if held >= BATCH_BYTES or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(out)).columns, pa.array(out, pa.binary())], [*batch.schema.names, "kept"])
+                    at, out, held = i + 1, [], 0
 
     return run
 
@@ -385,8 +395,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **parts: int) -> DataF
     untouched = untouched.select(*inner.columns, "n_bytes", no_spans.alias("spans"), all_bytes.alias("kept"))
     counts = given.groupBy("hash").agg(F.count("*").alias("n")).join(spans.filter("NOT whole").select("hash", "spans"), "hash")
     cut = _joined(flagged.filter("NOT _whole"), settle(counts), ["hash"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*inner.columns, "n_bytes").schema.fields)
-    cut = cut.select(*inner.columns, "n_bytes", F.col("text").alias("_text"), "spans").mapInArrow(_kept(len(inner.columns) + 1), f"{schema}, spans {_SPANS}, kept binary")
+    cut = cut.select(*inner.columns, "n_bytes", "spans")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    cut = cut.mapInArrow(_kept(inner.columns.index("text"), len(inner.columns) + 1), f"{schema}, kept binary")
     return restore(untouched.unionByName(cut), "n_bytes", "spans", "kept")
 
 
