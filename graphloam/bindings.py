@@ -79,6 +79,19 @@ def trade(spark: SparkSession, folder: str, top: int = 2) -> DataFrame:
     return pairs.withColumn("_r", rank).filter(F.col("_r") <= top).select(F.col("a").alias("src"), F.col("b").alias("dst"), "n")
 
 
+def relays(spark: SparkSession, folder: str, size: int = 6) -> DataFrame:
+    """src, dst: from each order to the customer's next one, ``size`` at a time; a ring where the customer's key is even."""
+    from pyspark.sql import Window
+
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    blocks = orders.withColumn("block", F.floor(place / size))
+    by = Window.partitionBy("o_custkey", "block").orderBy("o_orderkey")
+    ring = F.when((F.col("o_custkey") % 2 == 0) & (F.first("o_orderkey").over(by) != F.col("o_orderkey")), F.first("o_orderkey").over(by))
+    steps = blocks.withColumn("next", F.coalesce(F.lead("o_orderkey").over(by), ring)).filter("next is not null")
+    return steps.select(tag("o:", "o_orderkey").alias("src"), tag("o:", "next").alias("dst"))
+
+
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """file (doc_id), line, line_text, source."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("file"), "source", "text")
@@ -109,6 +122,9 @@ SQL_PARENTS = """parents AS (SELECT 'c:' || c_custkey AS node, 'n:' || c_nationk
 SQL_TRADE = f"""{SQL_REFS}, {SQL_PLACES},
 pairs AS (SELECT op.nation AS a, sp.nation AS b, count(*) AS n FROM refs JOIN op ON src = op.node JOIN sp ON dst = sp.node WHERE op.nation <> sp.nation GROUP BY 1, 2),
 trade AS (SELECT a AS src, b AS dst, n FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs) WHERE r <= 2)"""
+SQL_RELAYS = """rb AS (SELECT o_orderkey AS o, o_custkey AS c, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 6 AS blk FROM orders),
+rn AS (SELECT *, lead(o) OVER w AS nxt, first(o) OVER w AS f FROM rb WINDOW w AS (PARTITION BY c, blk ORDER BY o)),
+relays AS (SELECT 'o:' || o AS src, 'o:' || coalesce(nxt, f) AS dst FROM rn WHERE nxt IS NOT NULL OR (c % 2 = 0 AND f <> o))"""
 SQL_LINES = "lines AS (SELECT file, source, i::INT AS line, l[i] AS line_text FROM (SELECT doc_id AS file, source, regexp_split_to_array(text, '\\r?\\n') AS l, unnest(range(1, len(regexp_split_to_array(text, '\\r?\\n')) + 1)) AS i FROM documents))"
 SQL_SYMBOLS = """docs AS (SELECT doc_id AS file, len(regexp_split_to_array(text, '\\r?\\n')) AS n FROM documents),
 symbols AS (SELECT file, kind || ':' || file || ':' || k AS id, kind, k * width + 1 AS start_line, least(k * width + width, n) AS end_line

@@ -103,6 +103,29 @@ def line_hunks(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
     return rows.select(key, (F.col("head") + F.when(F.col("old_lines") > 0, 1).otherwise(0)).alias("old_start"), "old_lines", (F.col("head") + F.when(F.col("new_lines") > 0, 1).otherwise(0)).alias("new_start"), "new_lines")
 
 
+def diff_hunks(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """key, old_start, old_lines, new_start, new_lines of every hunk between two versions of a text (columns by name).
+
+    Lines outside the hunks are a longest common subsequence. A null version is one empty line;
+    equal texts have no row.
+    """
+    from graphloam.functions.diff import line_diff
+
+    found = pairs.filter(~F.col(old).eqNullSafe(F.col(new))).select(key, F.explode(line_diff(old, new)).alias("h"))
+    return found.select(key, "h.*")
+
+
+def rewritten_lines(pairs: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """key, old_line, new_line: lines of a hunk that stand for each other, paired by what they share."""
+    from graphloam.functions.diff import line_diff, line_pairs
+    from graphloam.functions.text import lines
+
+    rows = pairs.filter(~F.col(old).eqNullSafe(F.col(new))).select(key, lines(F.coalesce(old, F.lit(""))).alias("_a"), lines(F.coalesce(new, F.lit(""))).alias("_b"), F.explode(line_diff(old, new)).alias("h"))
+    rows = rows.filter("h.old_lines > 0 and h.new_lines > 0").select(key, "h.*", F.expr("slice(_a, h.old_start, h.old_lines)").alias("_a"), F.expr("slice(_b, h.new_start, h.new_lines)").alias("_b"))
+    each = rows.select(key, "old_start", "new_start", F.explode(line_pairs("_a", "_b")).alias("p"))
+    return each.select(key, (F.col("old_start") + F.col("p.old")).alias("old_line"), (F.col("new_start") + F.col("p.new")).alias("new_line"))
+
+
 def lift_change(touched: DataFrame, ancestors: DataFrame) -> DataFrame:
     """box, files, lines: changes counted at every box above what was touched. touched(node, lines)."""
     return touched.join(ancestors.select("node", "ancestor"), "node").groupBy(F.col("ancestor").alias("box")).agg(F.count_distinct("node").alias("files"), F.sum("lines").alias("lines"))

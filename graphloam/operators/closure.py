@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloam.session import settle
+from graphloam.session import settle_round as settle
 
 #: Rounds after which the pairs found so far become one table.
 GATHER = 32
@@ -67,24 +68,120 @@ def ancestors(parents: DataFrame, max_rounds: int | None = None) -> DataFrame:
     return selves.unionByName(found.filter("seed <> node").select(F.col("seed").alias("node"), F.col("node").alias("ancestor"), F.col("depth").alias("level")))
 
 
+class _Merged(NamedTuple):
+    """What undoes a contraction: root of each node, the jumps by powers of two, and edges (w, t) into nodes that went."""
+
+    roots: DataFrame
+    jumps: list[DataFrame]
+    into: DataFrame
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, _Merged | None]:
+    """Nodes with one way out merged into where that way leads, along ways of any length; (edges left, how to undo it).
+
+    Every cycle through such a node goes on along its one way, so cycles among the others stay
+    as they are. Ways are followed by doubling: log2 of their length rounds.
+    """
+    one = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("to")).filter("n = 1").select("node", "to")
+    one = settle(one)
+    many = one.count()
+    if not many:
+        return edges, None
+    jumps, at = [one], one.withColumn("low", F.least("node", "to"))
+    for _ in range(many.bit_length()):
+        nxt = at.select(F.col("node").alias("to"), F.col("to").alias("_far"), F.col("low").alias("_low"))
+        at = settle(at.join(nxt, "to", "left").select("node", F.coalesce("_far", "to").alias("to"), F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_far").isNotNull().alias("on")))
+        moved = not at.filter("on").isEmpty()
+        at = at.drop("on")
+        if not moved:
+            break
+        jumps.append(at.select("node", "to"))
+    # ways that never leave run into a ring of such nodes: the least of the ring is its root
+    ring = at.select(F.col("node").alias("to"), F.col("low").alias("_ring"))
+    roots = settle(at.join(ring, "to", "left").select("node", F.coalesce("_ring", "to").alias("root")).filter("node <> root"))
+    gone = roots.select("node")
+    into = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("w"), F.col("dst").alias("t"))
+    a, b = roots.toDF("src", "_a"), roots.toDF("dst", "_b")
+    left = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("_a", "src").alias("src"), F.coalesce("_b", "dst").alias("dst")).filter("src <> dst").distinct()
+    return settle(left), _Merged(roots, jumps, settle(into))
+
+
+def _restored(parts: DataFrame, merged: _Merged) -> DataFrame:
+    """node, component with the merged nodes: those in their root's component to which a way from it leads back."""
+    name = lambda node, out: parts.select(F.col("node").alias(node), F.col("component").alias(out))
+    ends = merged.into.join(merged.roots.toDF("t", "root"), "t").join(name("w", "_w"), "w", "left").join(name("root", "_r"), "root", "left")
+    marked = settle(ends.filter(F.coalesce("_w", "w") == F.coalesce("_r", "root")).select(F.col("t").alias("node")).distinct())
+    for jump in merged.jumps:  # everything on the way from a marked node to the root
+        further = marked.join(jump, "node").select(F.col("to").alias("node"))
+        marked = settle(marked.union(further).distinct())
+    back = merged.roots.join(marked, "node", "left_semi").join(name("root", "_r"), "root", "left").select("node", F.coalesce("_r", "root").alias("component"))
+    return settle(parts.unionByName(back))
+
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges without those of nodes that have no way in or none out; once, not until nothing changes."""
+    both = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+    return settle(edges.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _coloured(edges: DataFrame, max_rounds: int | None) -> DataFrame:
+    """node, component by colours: the greatest name that reaches each node; of one colour, what leads back to that name is a component."""
+    found = None
+    for _ in rounds(max_rounds):
+        colour = settle(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            best = edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_c"))
+            nxt = settle(colour.join(best, "node", "left").select("node", F.greatest("colour", F.coalesce("_c", "colour")).alias("colour"), (F.col("_c") > F.col("colour")).alias("moved")))
+            colour = nxt.select("node", "colour")
+            if nxt.filter("moved").isEmpty():
+                break
+        inside = edges.join(colour.toDF("src", "_a"), "src").join(colour.toDF("dst", "_b"), "dst").filter("_a = _b").select("src", "dst")
+        back = settle(_turned(inside))
+        frontier = settle(colour.filter("node = colour").select("node", F.col("colour").alias("component")))
+        part = frontier
+        while not frontier.isEmpty():
+            step = frontier.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "component").distinct()
+            frontier = settle(step.join(part, "node", "left_anti"))
+            part = settle(part.unionByName(frontier))
+        found = part if found is None else settle(found.unionByName(part))
+        done = part.select("node")
+        edges = settle(edges.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        edges = _on_cycles(edges)
+        if edges.isEmpty():
+            return found
+
+
 def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """node, component: nodes that reach each other share the least of their names.
 
-    Nodes outside every cycle are trimmed first, so that the closure runs over cycles alone.
+    Nodes outside every cycle go, and nodes with one way out, or one way in, are merged along it,
+    in both directions in turn until neither makes the graph smaller. Long chains and rings
+    take the logarithm of their length in rounds, and no set of reachable pairs is made. What is left has
+    several ways in and out everywhere and is coloured; ``max_rounds`` bounds the colourings.
     """
     edges = settle(edges.select("src", "dst").filter("src <> dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    core = edges
-    for _ in rounds(max_rounds):
-        both = core.select(F.col("src").alias("node")).intersect(core.select(F.col("dst").alias("node")))
-        left = settle(core.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        if left.count() == core.count():
-            break
-        core = left
-    pairs = settle(closure(core, core.select(F.col("src").alias("seed"))).select("seed", "node"))
-    mutual = pairs.join(pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node")), ["seed", "node"], "left_semi")
-    low = mutual.groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("component"))
-    return nodes.join(low, "node", "left").select("node", F.least(F.coalesce("component", "node"), "node").alias("component"))
+    core, undo, size = _on_cycles(edges), [], None
+    while core.count() and core.count() != size:
+        size = core.count()
+        for _ in range(2):  # along ways out, then, turned, along ways in
+            core, merged = _contract(core)
+            undo.append(merged)
+            core = _turned(core)
+        core = _on_cycles(core)
+    parts = _coloured(core, max_rounds) if core.count() else None
+    if parts is None:
+        parts = settle(nodes.limit(0).withColumn("component", F.col("node")))
+    for merged in reversed(undo):
+        if merged is not None:
+            parts = _restored(parts, merged)
+    named = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("_c"))
+    low = named.groupBy("_c").agg(F.min("node").alias("component"))
+    return named.join(low, "_c").select("node", "component")
 
 
 def reading_order(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -115,8 +212,6 @@ def expand_tree(edges: DataFrame, roots: DataFrame, depth: int, children: int =
     edges = settle(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
     level = settle(roots.select(F.col("seed").alias("root"), F.col("seed").alias("node")).distinct().withColumn("parent", F.lit(None).cast(roots.schema["seed"].dataType)).withColumn("level", F.lit(0)).withColumn("more", F.lit(0).cast("long")))
     seen = level
-    from pyspark.sql import Window
-
     for d in range(1, depth + 1):
         found = level.filter(F.col("level") == d - 1).select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("src").alias("parent"), F.col("dst").alias("node"), "n")
         found = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
@@ -128,3 +223,67 @@ def expand_tree(edges: DataFrame, roots: DataFrame, depth: int, children: int =
             break
         seen = seen.unionByName(level)
     return seen
+
+
+def ref_tree(refs: DataFrame, hops: DataFrame, roots: DataFrame, depth: int, children: int = 15) -> DataFrame:
+    """A tree of references with free hops: root, parent, node, level, hop, note, n.
+
+    refs(src, dst), one row for each reference; hops(src, dst): from a declaration to what
+    stands for it (an implementation, an override), which costs no level; roots(seed). Of the
+    references of an element the first ``children`` by count and name are listed; a row with
+    note ``more`` and no node says how many are left. Hops are closed before the next level,
+    and hopped elements are expanded like others. An element is expanded once under a root, at
+    its least level, referred to before hopped to and then under its least parent; elsewhere
+    its note is ``cycle`` if it is above itself, or ``seen`` if something is listed below it
+    there. ``n`` counts references; 0 for a hop.
+    """
+    edges = settle(refs.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    free = settle(hops.select("src", "dst").distinct())
+    kind = roots.schema["seed"].dataType
+    start = roots.select(F.col("seed").alias("root"), F.col("seed").alias("node"), F.array("seed").alias("path")).distinct()
+    frontier = settle(start)
+    open_ = settle(frontier.select("root", "node"))
+    out = None
+    by = Window.partitionBy("root", "parent")
+    first = Window.partitionBy("root", "node").orderBy("parent")
+
+    def met(found: DataFrame, taken: DataFrame, last: bool) -> DataFrame:
+        """Notes of rows that meet elements: above them, expanded before, or met again in this round."""
+        known = found.join(taken.withColumn("_known", F.lit(True)), ["root", "node"], "left")
+        above = F.array_contains("path", F.col("node"))
+        again = F.lit(False) if last else F.row_number().over(first) > 1
+        fresh = known.withColumn("note", F.when(above, "cycle").when(F.col("_known"), "seen"))
+        new = fresh.filter("note is null").withColumn("note", F.when(again, "seen"))
+        return settle(fresh.filter("note is not null").unionByName(new).drop("_known"))
+
+    for level in range(1, depth + 1):
+        last = level == depth
+        found = frontier.select("root", F.col("node").alias("src"), "path").join(edges, "src").select("root", F.col("src").alias("parent"), F.col("dst").alias("node"), "n", "path")
+        ranked = settle(found.withColumn("_r", F.row_number().over(by.orderBy(F.desc("n"), "node"))).withColumn("_all", F.count("*").over(by)))
+        more = ranked.filter(f"_r = {children} and _all > {children}").select("root", "parent", F.lit(None).cast(kind).alias("node"), F.lit(False).alias("hop"), F.lit("more").alias("note"), (F.col("_all") - children).alias("n"))
+        rows = met(ranked.filter(F.col("_r") <= children).drop("_r", "_all"), open_, last)
+        listed = rows.select("root", "parent", "node", F.lit(False).alias("hop"), "note", "n").unionByName(more)
+        new = rows.filter("note is null").select("root", "node", F.concat("path", F.array("node")).alias("path"))
+        step = settle(new)
+        taken = open_ if last else settle(open_.unionByName(step.select("root", "node")))
+        while not free.isEmpty():
+            hopped = step.select("root", F.col("node").alias("src"), "path").join(free, "src").select("root", F.col("src").alias("parent"), F.col("dst").alias("node"), F.lit(0).cast("long").alias("n"), "path")
+            rows = met(hopped, taken, last)
+            listed = listed.unionByName(rows.select("root", "parent", "node", F.lit(True).alias("hop"), "note", "n"))
+            step = settle(rows.filter("note is null").select("root", "node", F.concat("path", F.array("node")).alias("path")))
+            if step.isEmpty():
+                break
+            new = new.unionByName(step)
+            if not last:
+                taken = settle(taken.unionByName(step.select("root", "node")))
+        part = settle(listed.withColumn("level", F.lit(level)))
+        out = part if out is None else out.unionByName(part)
+        frontier, open_ = settle(new), taken
+        if frontier.isEmpty():
+            break
+    if out is None:
+        return start.select("root", F.col("root").alias("parent"), "node", F.lit(0).alias("level"), F.lit(False).alias("hop"), F.lit("").alias("note"), F.lit(0).cast("long").alias("n")).limit(0)
+    # what has nothing below it is not marked as listed elsewhere
+    below = edges.select(F.col("src").alias("node")).union(free.select("src")).distinct().withColumn("_below", F.lit(True))
+    note = F.when((F.col("note") == "seen") & F.col("_below").isNull(), F.lit(None)).otherwise(F.col("note"))
+    return out.join(below, "node", "left").select("root", "parent", "node", "level", "hop", note.alias("note"), "n")

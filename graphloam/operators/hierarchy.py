@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloam.session import settle_round as settle
+
 
 def representative(ancestors: DataFrame, include: DataFrame, memberships: DataFrame | None = None) -> DataFrame:
     """node, rep: the nearest included element at or above each node.
@@ -76,17 +78,24 @@ def collapse(include: DataFrame, ancestors: DataFrame, element: str) -> DataFram
     return include.select("element").join(below, "element", "left_anti")
 
 
-def single_child_chain(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """node, last: where a chain of only children that starts at a node ends."""
-    from graphloam.session import settle
+def single_child_chain(parents: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """node, last: where a chain of only children that starts at a node ends.
+
+    With ``folders`` (column node) a chain runs from folder to folder only. Each round doubles
+    the length that is known of every chain, so a chain of n steps takes log2(n) rounds; only
+    children that are their own ancestors are an error.
+    """
+    from graphloam.operators.closure import rounds
 
     only = parents.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n"), F.min("node").alias("child")).filter("n = 1").select("parent", "child")
-    only = settle(only)
-    at = parents.select("node", F.col("node").alias("last")).distinct()
-    for _ in range(max_rounds):
-        step = at.join(only, F.col("last") == F.col("parent"), "left").select("node", F.coalesce("child", "last").alias("_to"), F.col("child").isNotNull().alias("_moved"))
-        step = settle(step)
-        at = step.select("node", F.col("_to").alias("last"))
-        if step.filter("_moved").isEmpty():
+    if folders is not None:
+        inside = folders.select("node").distinct()
+        only = only.join(inside.withColumnRenamed("node", "parent"), "parent", "left_semi").join(inside.withColumnRenamed("node", "child"), "child", "left_semi")
+    jump = settle(only.select("parent", "child"))
+    for _ in rounds(64):
+        step = jump.join(jump.select(F.col("parent").alias("at"), F.col("child").alias("to")), F.col("child") == F.col("at"), "left")
+        step = settle(step.select("parent", F.coalesce("to", "child").alias("child"), F.col("to").isNotNull().alias("moved")))
+        jump = step.select("parent", "child")
+        if step.filter("moved").isEmpty():
             break
-    return at
+    return parents.select("node").distinct().join(jump, F.col("node") == F.col("parent"), "left").select("node", F.coalesce("child", "node").alias("last"))

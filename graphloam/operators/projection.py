@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloam.session import settle_round as settle
+
 
 def common_or_mixed(column: str) -> Column:
     """The one value of a group, or 'mixed'."""
@@ -107,10 +111,22 @@ def exclude_refs(refs: DataFrame, excluded: DataFrame) -> DataFrame:
     return refs.join(gone.withColumnRenamed("file", "src_file"), "src_file", "left_anti").join(gone.withColumnRenamed("file", "dst_file"), "dst_file", "left_anti")
 
 
-def distinguish(paths: DataFrame, group: str, path: str, separator: str = "/", most: int = 8) -> DataFrame:
-    """The shortest ends of paths that are unique in their group (at most ``most`` parts)."""
+def distinguish(paths: DataFrame, group: str, path: str, separator: str = "/") -> DataFrame:
+    """group, path, label: the shortest ends of paths that no other path of their group has; else the whole path.
+
+    Each round takes one more part of the paths that are not told apart yet, until all are or
+    are whole.
+    """
     parts = F.split(F.col(path), separator)
-    tails = paths.withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most))))).withColumn("_tail", F.array_join(F.slice(parts, F.size(parts) - F.col("_k") + 1, F.col("_k")), separator))
-    same = F.count("*").over(Window.partitionBy(group, "_k", "_tail"))
-    best = tails.withColumn("_n", same).groupBy(group, path).agg(F.coalesce(F.min(F.when(F.col("_n") == 1, F.struct("_k", "_tail")))["_tail"], F.max(F.struct("_k", "_tail"))["_tail"]).alias("label"))
-    return best
+    left = settle(paths.select(group, path).distinct())
+    out = None
+    for k in count(1):
+        tail = left.withColumn("label", F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), F.least(F.size(parts), F.lit(k))), separator))
+        # what is told apart by fewer parts, or whole, shares no longer end with those that are left
+        same = F.count("*").over(Window.partitionBy(group, "label"))
+        step = settle(tail.withColumn("_done", (same == 1) | (F.size(parts) <= k)))
+        done = step.filter("_done").select(group, path, "label")
+        out = done if out is None else out.unionByName(done)
+        left = step.filter("not _done").select(group, path)
+        if left.isEmpty():
+            return out

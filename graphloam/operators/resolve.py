@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloam.session import settle
+from graphloam.session import settle_round as settle
 
 
 def first_tier(sites: DataFrame, tiers: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
@@ -54,11 +56,12 @@ def exported_names(wanted: DataFrame, direct: DataFrame, exports: DataFrame, sta
 
     wanted(file, name); direct(file, name, target); exports(file, name, from_file, from_name);
     stars(file, from_file). A direct symbol comes before an explicit re-export, that before a
-    star. Each (file, name) is visited once for each start, at most ``max_depth`` steps deep.
+    star. Each (file, name) is visited once for each start. As a rule of resolution, names that
+    stand up to ``max_depth`` files further on are found and others are not.
     """
     at = settle(wanted.select(F.col("file").alias("f"), F.col("name").alias("n")).distinct().select("f", "n", F.col("f").alias("file"), F.col("n").alias("name"), F.lit("").alias("way")))
     seen, found = at.select("f", "n", "file", "name"), None
-    for _ in range(max_depth):
+    for _ in range(max_depth + 1):
         hit = at.join(direct, ["file", "name"]).select("f", "n", "way", "target")
         found = hit if found is None else found.unionByName(hit)
         named = at.join(exports, ["file", "name"]).select("f", "n", F.col("from_file").alias("file"), F.col("from_name").alias("name"), F.concat("way", F.lit("1")).alias("way"))
@@ -152,15 +155,56 @@ def implementers(refs: DataFrame, interfaces: DataFrame, max_rounds: int | None
     return lifted.groupBy(F.col("dst").alias("type"), F.col("src").alias("implementer")).agg(best.alias("resolution"))
 
 
-def overridden_by(methods: DataFrame, bases: DataFrame, max_depth: int = 64) -> DataFrame:
+def _near(wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """The member at file and path, or else at that path in another file of the same folder and language, least name first.
+
+    wanted(file, folder, language, path, ...); members(id, file, folder, language, path).
+    """
+    names = [c for c in wanted.columns if c not in ("file", "folder", "language", "path")]
+    place = members.select(F.col("id").alias("_id"), F.col("file").alias("_file"), "folder", "language", "path")
+    found = wanted.join(place, ["folder", "language", "path"])
+    best = F.min(F.struct((F.col("_file") != F.col("file")).alias("far"), "_file", "_id"))
+    return found.groupBy("file", "folder", "language", "path", *names).agg(best["_id"].alias("member"))
+
+
+def implementations(symbols: DataFrame, refs: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """id, implementation, resolution of every type and every member that something implements.
+
+    symbols(id, file, folder, language, path, kind), a path being the names of what holds a
+    symbol and its own, with dots; refs(src, dst, kind, resolution). A type is implemented by
+    what names it, or an interface that extends it. A method or variable is implemented by what
+    names it, and by the member of the same name of each type that implements its owner: in that
+    type's file, else in a file of the same folder and language. The owner is the symbol at the
+    path above, in the member's own file first. The better resolution wins; nothing implements itself.
+    """
+    known = symbols.select("id")
+    own = refs.filter("kind = 'implements'").join(known.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("implementation"), "resolution")
+    types = settle(implementers(refs.join(known.withColumnRenamed("id", "src"), "src", "left_semi"), symbols.filter("kind = 'interface'").select("id"), max_rounds))
+    is_member = F.col("kind").isin("method", "variable")
+    name = F.regexp_replace(F.substring_index("path", ".", -1), r"~\d+$", "")
+    members = symbols.filter(is_member & F.col("path").contains("."))
+    above = F.expr("substr(path, 1, length(path) - length(substring_index(path, '.', -1)) - 1)")
+    wanted = members.select(F.col("id").alias("of"), "file", "folder", "language", above.alias("path"), name.alias("name"))
+    owners = _near(wanted, symbols).select("of", "name", F.col("member").alias("type"))
+    place = symbols.select(F.col("id").alias("implementer"), "file", "folder", "language", F.col("path").alias("_path"))
+    there = owners.join(types, "type").join(place, "implementer").select("of", "resolution", "file", "folder", "language", F.concat("_path", F.lit("."), "name").alias("path"))
+    through = _near(there, symbols).select(F.col("of").alias("id"), F.col("member").alias("implementation"), "resolution")
+    direct = types.join(symbols.filter(~is_member).select(F.col("id").alias("type")), "type", "left_semi").select(F.col("type").alias("id"), F.col("implementer").alias("implementation"), "resolution")
+    best = F.when(F.max((F.col("resolution") == "precise").cast("int")) == 1, "precise").otherwise("heuristic")
+    rows = own.join(known, "id", "left_semi").unionByName(direct).unionByName(through).filter("id <> implementation")
+    return rows.groupBy("id", "implementation").agg(best.alias("resolution"))
+
+
+def overridden_by(methods: DataFrame, bases: DataFrame, max_depth: int | None = None) -> DataFrame:
     """method, overrides, precise: the nearest base class that has a method of the same name.
 
-    methods(id, type, name); bases(type, base, precise). Breadth first; trust holds over every step.
+    methods(id, type, name); bases(type, base, precise). Breadth first; trust holds over every
+    step. Cycles of bases end by themselves; ``max_depth`` bounds the steps only if it is given.
     """
     at = settle(methods.select("id", "type", "name", F.lit(True).alias("precise")))
     own = methods.select("type", "name", F.col("id").alias("overrides"))
     done, seen = None, at.select("id", "type")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = at.join(bases.withColumnRenamed("precise", "_p"), "type").select("id", F.col("base").alias("type"), "name", (F.col("precise") & F.col("_p")).alias("precise"))
         step = step.groupBy("id", "type", "name").agg(F.max("precise").alias("precise"))
         at = settle(step.join(seen, ["id", "type"], "left_anti"))

@@ -134,13 +134,14 @@ def removed_boxes(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("file").distinct().join(after.select("file").distinct(), "file", "left_anti").groupBy(dir_of(F.col("file")).alias("dir")).agg(F.count("*").alias("n"))
 
 
-def type_groups(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """node, grp: connected types share the least of their names. links(src, dst). Labels flow until none changes."""
-    from graphloam.session import settle
+def type_groups(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """node, grp: connected types share the least of their names. links(src, dst). Labels flow until none changes; ``max_rounds`` that do not suffice are an error."""
+    from graphloam.operators.closure import rounds
+    from graphloam.session import settle_round as settle
 
     both = settle(links.select("src", "dst").union(links.select("dst", "src")).distinct())
     label = both.select(F.col("src").alias("node"), F.col("src").alias("grp")).distinct()
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         near = both.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("grp").alias("_g"))
         nxt = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("grp", F.coalesce("_g", "grp")).alias("_n"), "grp")
         # a label is itself a node: its own label is at least as small

@@ -169,32 +169,69 @@ def trade(spark, sf):
     return b.trade(spark, sf)
 
 
-@query(f"""WITH RECURSIVE {b.SQL_TRADE}, walk AS (SELECT src AS seed, dst AS node, 1 AS depth FROM trade UNION SELECT seed, dst, depth + 1 FROM walk JOIN trade ON node = src WHERE depth < 30)
+@query(f"""WITH RECURSIVE {b.SQL_RELAYS}, walk AS (SELECT src AS seed, dst AS node, 1 AS depth FROM relays UNION ALL SELECT seed, dst, depth + 1 FROM walk JOIN relays ON node = src WHERE depth < 6)
 SELECT seed, node, min(depth)::INT AS depth FROM walk GROUP BY seed, node""")
 def closure(spark, sf):
-    edges = b.trade(spark, sf)
+    edges = b.relays(spark, sf)
     return cl.closure(edges, edges.select(F.col("src").alias("seed")))
 
 
-@query(f"""WITH RECURSIVE {b.SQL_TRADE}, walk AS (SELECT src AS seed, dst AS node FROM trade UNION SELECT seed, dst FROM walk JOIN trade ON node = src)
-SELECT src AS seed, (SELECT count(*) FROM walk WHERE seed = src AND node <> src) AS n FROM (SELECT DISTINCT src FROM trade)""")
+@query(f"""WITH RECURSIVE {b.SQL_RELAYS}, walk AS (SELECT src AS seed, dst AS node, 1 AS depth FROM relays UNION ALL SELECT seed, dst, depth + 1 FROM walk JOIN relays ON node = src WHERE depth < 6)
+SELECT seed, count(DISTINCT node) FILTER (node <> seed) AS n FROM walk GROUP BY seed""")
 def reach_count(spark, sf):
-    edges = b.trade(spark, sf)
+    edges = b.relays(spark, sf)
     return cl.reach_count(edges, edges.select(F.col("src").alias("seed")))
 
 
-@query(f"""WITH RECURSIVE {b.SQL_TRADE}, walk AS (SELECT src AS seed, dst AS node FROM trade UNION SELECT seed, dst FROM walk JOIN trade ON node = src),
-nodes AS (SELECT src AS node FROM trade UNION SELECT dst FROM trade)
-SELECT node, least(node, coalesce((SELECT min(x.node) FROM walk x JOIN walk y ON x.seed = y.node AND x.node = y.seed WHERE x.seed = nodes.node), node)) AS component FROM nodes""")
+#: Relays, and a chain over all customers through their first orders.
+_LINKED = f"""{b.SQL_RELAYS}, fo AS (SELECT c, min(o) AS o FROM rb GROUP BY c), hand AS (SELECT 'o:' || o AS src, 'o:' || lead(o) OVER (ORDER BY c) AS dst FROM fo),
+linked AS (SELECT * FROM relays UNION SELECT * FROM hand WHERE dst IS NOT NULL),
+ln AS (SELECT src AS node FROM linked UNION SELECT dst FROM linked),
+comp AS (SELECT node, CASE WHEN c % 2 = 0 THEN min('o:' || o) OVER (PARTITION BY c, blk) ELSE node END AS component FROM rb JOIN ln ON node = 'o:' || o)"""
+
+
+def _linked(spark, sf):
+    from pyspark.sql import Window
+
+    # the key of the next customer that has orders; customers are few against what they order
+    first = b.table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o"))
+    bounds = first.withColumn("b", F.floor(F.col("o_custkey") / 512))
+    inside = bounds.withColumn("next", F.lead("o").over(Window.partitionBy("b").orderBy("o_custkey")))
+    heads = bounds.groupBy("b").agg(F.min(F.struct("o_custkey", "o"))["o"].alias("head")).withColumn("after", F.lead("head").over(Window.orderBy("b"))).select("b", "after")
+    hand = inside.join(F.broadcast(heads), "b").withColumn("to", F.coalesce("next", "after")).filter("to is not null").select(b.tag("o:", "o").alias("src"), b.tag("o:", "to").alias("dst"))
+    return b.relays(spark, sf).union(hand).distinct()
+
+
+@query(f"WITH {_LINKED} SELECT node, component FROM comp")
 def strong_components(spark, sf):
-    return cl.strong_components(b.trade(spark, sf))
+    return cl.strong_components(_linked(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {b.SQL_TRADE}, walk AS (SELECT 'n:0' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN trade ON node = src WHERE depth < 30)
+@query(f"""WITH RECURSIVE {b.SQL_RELAYS}, seeds AS (SELECT 'o:' || min(o) AS node FROM rb GROUP BY c), walk AS (SELECT node, 0 AS depth FROM seeds UNION ALL SELECT dst, depth + 1 FROM walk JOIN relays ON node = src WHERE depth < 6)
 SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
 def reach_of(spark, sf):
-    start = spark.createDataFrame([("n:0",)], "seed string")
-    return cl.reach_of(b.trade(spark, sf), start)[0]
+    start = b.table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o")).select(b.tag("o:", "o").alias("seed"))
+    return cl.reach_of(b.relays(spark, sf), start)[0]
+
+
+_TREE = """ln AS (SELECT 'o:' || l_orderkey AS o, 'p:' || l_partkey AS p, 's:' || min(l_suppkey) OVER (PARTITION BY l_partkey) AS s FROM lineitem),
+e AS (SELECT o, p, count(*) AS n, any_value(s) AS s FROM ln GROUP BY o, p),
+r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n DESC, p) AS rk, count(*) OVER (PARTITION BY o) AS total FROM e),
+a AS (SELECT o, p, s, n FROM r WHERE rk <= 3),
+h AS (SELECT o, p, s, row_number() OVER (PARTITION BY o, s ORDER BY p) AS again FROM a)"""
+
+
+@query(f"""WITH {_TREE} SELECT o AS root, o AS parent, p AS node, 1 AS level, false AS hop, NULL::VARCHAR AS note, n FROM a
+UNION ALL SELECT o, o, NULL, 1, false, 'more', total - 3 FROM r WHERE rk = 3 AND total > 3
+UNION ALL SELECT o, p, s, 1, true, CASE WHEN again > 1 THEN 'seen' END, 0 FROM h
+UNION ALL SELECT o, s, 'n:' || s_nationkey, 2, false, NULL, 1 FROM h JOIN supplier ON s = 's:' || s_suppkey WHERE again = 1""")
+def ref_tree(spark, sf):
+    """Orders and their parts; a part stands for its first supplier, as an interface for what implements it; suppliers and their nations."""
+    line = b.table(spark, sf, "lineitem").select(b.tag("o:", "l_orderkey").alias("src"), b.tag("p:", "l_partkey").alias("dst"))
+    nations = b.table(spark, sf, "supplier").select(b.tag("s:", "s_suppkey").alias("src"), b.tag("n:", "s_nationkey").alias("dst"))
+    hops = b.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s")).select(b.tag("p:", "l_partkey").alias("src"), b.tag("s:", "s").alias("dst"))
+    roots = b.table(spark, sf, "orders").select(b.tag("o:", "o_orderkey").alias("seed"))
+    return cl.ref_tree(line.unionByName(nations), hops, roots, 2, 3)
 
 
 @query(f"""WITH {_R}, {_P}, c1 AS (SELECT op.customer AS node, 1 AS k, count(*) AS n FROM refs JOIN op ON src = op.node WHERE dst = 's:1' GROUP BY 1)

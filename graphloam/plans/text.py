@@ -117,6 +117,33 @@ def line_hunks(spark, sf):
     return ch.line_hunks(pairs, "doc_id", "old", "new").select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("old_start", "old_lines", "new_start", "new_lines")])
 
 
+# Lines with their numbers in front stand once, so what differs is what was edited: every seventh rewritten, others dropped or added.
+_EDITED = """l AS (SELECT doc_id, i, i || '|' || l[i] AS old FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+e AS (SELECT doc_id, i, old, CASE WHEN i % 11 = 5 THEN 'drop' WHEN i % 7 = 3 THEN 'edit' WHEN i % 13 = 6 THEN 'grow' ELSE 'keep' END AS act FROM l),
+n AS (SELECT *, (act <> 'drop')::INT + (act = 'grow')::INT AS gives, sum((act <> 'drop')::INT + (act = 'grow')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum((act IN ('keep'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e)"""
+
+
+def _edited(spark, sf):
+    docs = b.table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    old = F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit("|"), x))
+    rows = docs.withColumn("a", old)
+    new = F.flatten(F.transform("a", lambda x, k: F.when((k + 1) % 11 == 5, F.array().cast("array<string>")).when((k + 1) % 7 == 3, F.array(F.concat(x, F.lit(" edited")))).when((k + 1) % 13 == 6, F.array(x, F.concat(F.lit("new "), x))).otherwise(F.array(x))))
+    return rows.select("doc_id", F.array_join("a", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
+
+
+# A line that only grows stays, and the new line after it is part of the run that follows.
+_RUNS = f"""WITH {_EDITED.replace("act IN ('keep')", "act IN ('keep', 'grow')")},
+g AS (SELECT *, run - (act IN ('keep', 'grow'))::INT + (act = 'grow')::INT AS grp FROM n),
+part AS (SELECT doc_id, run AS grp, i, (act IN ('drop', 'edit'))::INT AS o, (act = 'edit')::INT + (act = 'grow')::INT AS w, upto, act FROM n),
+h AS (SELECT doc_id, grp, sum(o) AS ol, sum(w) AS nl, min(CASE WHEN o = 1 THEN i END) AS fo, max(CASE WHEN act IN ('keep', 'grow') THEN i END) AS before, max(CASE WHEN act IN ('keep', 'grow') THEN upto - (act = 'grow')::INT END) AS kept FROM part GROUP BY doc_id, grp)
+SELECT doc_id, (coalesce(before, 0) + (ol > 0)::INT)::INT AS old_start, ol::INT AS old_lines, (coalesce(kept, 0) + (nl > 0)::INT)::INT AS new_start, nl::INT AS new_lines FROM h WHERE ol + nl > 0"""
+
+
+@query(_RUNS)
+def diff_hunks(spark, sf):
+    return ch.diff_hunks(_edited(spark, sf), "doc_id", "old", "new")
+
+
 _LH = f"{_L}, h AS (SELECT file, line, 'sha256-v2:' || substr(sha256(line_text), 1, 12) AS hash FROM lines)"
 
 

@@ -59,3 +59,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_round(df: DataFrame) -> DataFrame:
+    """``settle`` for loops: a table in the checkpoint folder, whose size Spark reads from its files.
+
+    A checkpoint keeps the size that its plan was estimated at. Joins multiply estimates, so a
+    loop of joins would double their digits in each round until planning takes longer than the work.
+    """
+    return stored(df, "round")
+
+
+#: A side of a join is broadcast on purpose only when its settled row count is at most this.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which must be settled, with a broadcast hint if it has at most ``limit`` rows; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
