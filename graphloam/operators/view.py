@@ -277,14 +277,14 @@ def default_include(parents: DataFrame, folders: DataFrame, depth: int = 1, root
     if depth < 1:
         return known.select(F.col("node").alias("element")).distinct()
     level = known.select("node").distinct().join(ends, "node").select(F.col("last").alias("node"))
-    below = settle(parents.filter("parent is not null").join(ends, "node").select("parent", F.col("last").alias("node")))
+    below = settle(parents.filter("parent is not null").join(ends, "node").select(F.col("parent").alias("above"), F.col("last").alias("child")))
     out = None
     for d in range(1, depth + 1):
-        step = settle(level.join(below, F.col("parent") == level["node"]).select(below["node"]).distinct())
+        step = settle(level.join(below, F.col("above") == F.col("node")).select(F.col("child").alias("node")).distinct())
         if d == depth:
             done = step
         else:
-            has = step.join(below.select(F.col("parent").alias("node")), "node", "left_semi")
+            has = step.join(below.select(F.col("above").alias("node")), "node", "left_semi")
             done, level = step.join(has, "node", "left_anti"), has
         out = done if out is None else out.union(done)
     out = settle(out.select(F.col("node").alias("element")).distinct())
