@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Kinds of stored references and the arrows they become.
+# Kinds of stored references and the arrows they become, kinds of symbols, and (below) the kinds of
+# reference that count as a use of a symbol, by its kind; calls for the kinds not named.
 EDGE_KINDS = {"call": "calls", "import": "imports", "extends": "extends", "implements": "implements", "type-ref": "references", "read": "reads", "write": "writes", "request": "requests"}
 SYMBOL_KINDS = ("class", "interface", "function", "method", "type", "variable", "enum", "key", "other")
-#: Reference kinds that count as a use of a symbol, by its kind; calls for the kinds not named.
 USE_KINDS = {"variable": ("read", "write"), "key": ("read", "write"), "type": ("type-ref", "extends", "implements", "read"), "interface": ("type-ref", "extends", "implements", "read"), "enum": ("type-ref", "extends", "implements", "read"), "other": ("call", "read", "write", "type-ref", "extends", "implements")}
 CONSTRUCTORS = ("__init__", "__new__", "constructor")
 DEFAULT_EDGE_KINDS = ("calls", "extends", "implements")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.functions.ids import last_segment, parent_path
@@ -26,8 +26,11 @@ def resolve_anchors(anchors: DataFrame, files: DataFrame) -> DataFrame:
     settled = first.withColumn("_ok", F.coalesce(F.col("_here") == F.col("hash"), F.lit(False)))
     # only anchors that are not at their place look further
     lost = settled.filter(~F.col("_ok") & versioned & F.col("lines").isNotNull() & (F.size("lines") >= F.col("size")))
-    places = lost.select("anchor", "hash", "size", "lines", "_at", F.explode(F.sequence(F.lit(1), F.size("lines") - F.col("size") + 1)).alias("_s"))
-    found = places.filter(hash_range(F.col("lines"), F.col("_s"), F.col("_s") + F.col("size") - 1) == F.col("hash"))
+    # each window of a size is hashed once for a file, and only its hash goes on
+    sizes = lost.select("file", "size").distinct().join(files.select("file", "lines"), "file")
+    starts = F.sequence(F.lit(1), F.size("lines") - F.col("size") + 1)
+    windows = sizes.select("file", "size", F.posexplode(F.transform(starts, lambda s: hash_range(F.col("lines"), s, s + F.col("size") - 1))).alias("_p", "hash"))
+    found = lost.select("anchor", "file", "hash", "size", "_at").join(windows, ["file", "size", "hash"]).withColumn("_s", F.col("_p") + 1)
     near = found.groupBy("anchor").agg(F.min(F.struct(F.abs(F.col("_s") - F.col("_at")).alias("d"), F.col("_s").alias("s")))["s"].alias("_new"))
     out = settled.join(near, "anchor", "left")
     status = (
@@ -93,13 +96,30 @@ def suggest_symbols(wanted: DataFrame, symbols: DataFrame, most: int = 5) -> Dat
     return best.withColumn("place", place).filter(F.col("place") <= most).select("wanted", "id", "tier", "score", "place")
 
 
+def _grams(text: Column, n: int = 3) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
 def suggest_files(wanted: DataFrame, files: DataFrame, most: int = 5) -> DataFrame:
-    """wanted, file, tier: files of the same base name, then files that hold the wanted name in their own."""
+    """wanted, file, tier: files of the same base name (0), then files whose base name holds the wanted one without its ending (1).
+
+    Names meet by their rarest run of three characters, so a wanted name is compared with the
+    files that share it and no others. Shorter names meet by all of their one or two
+    characters; names that are nothing but an ending have files of the same base name only.
+    """
     base = lambda c: F.substring_index(c, "/", -1)
-    f = files.select("file", base(F.col("file")).alias("_base"))
-    same = wanted.withColumn("_base", base(F.col("wanted"))).join(f, "_base").select("wanted", "file", F.lit(0).alias("tier"))
-    part = wanted.join(f, F.col("_base").contains(F.regexp_replace(base(F.col("wanted")), r"\.[^.]*$", ""))).select("wanted", "file", F.lit(1).alias("tier"))
-    best = same.unionByName(part).groupBy("wanted", "file").agg(F.min("tier").alias("tier"))
+    f = files.select("file", base(F.col("file")).alias("_base")).distinct()
+    w = wanted.select("wanted").distinct().select("wanted", base(F.col("wanted")).alias("_base"), F.regexp_replace(base(F.col("wanted")), r"\.[^.]*$", "").alias("_stem"))
+    same = w.join(f, "_base").select("wanted", "file", F.lit(0).alias("tier"))
+    found = same
+    for n in (1, 2, 3):
+        mine = w.filter(F.length("_stem") == n if n < 3 else F.length("_stem") >= n).select("wanted", "_stem", F.explode(_grams(F.col("_stem"), n)).alias("_gram"))
+        index = f.filter(F.length("_base") >= n).select("file", "_base", F.explode(_grams(F.col("_base"), n)).alias("_gram"))
+        often = index.join(mine.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+        rare = mine.join(often, "_gram", "left").groupBy("wanted", "_stem").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram"))["_gram"].alias("_gram"))
+        found = found.unionByName(rare.join(index, "_gram").filter(F.contains(F.col("_base"), F.col("_stem"))).select("wanted", "file", F.lit(1).alias("tier")))
+    best = found.groupBy("wanted", "file").agg(F.min("tier").alias("tier"))
     return best.withColumn("_r", F.row_number().over(Window.partitionBy("wanted").orderBy("tier", "file"))).filter(F.col("_r") <= most).drop("_r")
 
 

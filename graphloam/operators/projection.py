@@ -65,6 +65,7 @@ def plan_stubs(found: DataFrame, mode: str = "top", most: int = 8) -> DataFrame:
         return found.limit(0)
     if mode == "all":
         return found
+    found = settle(found)  # a row for each box and outside element; the references behind it are read once
     totals = found.groupBy("ghost").agg(F.sum("n").alias("_total"))
     kept = totals.orderBy(F.desc("_total"), "ghost").limit(most).select("ghost", F.lit(True).alias("_keep"))
     named = found.join(F.broadcast(kept), "ghost", "left").withColumn("ghost", F.when(F.col("_keep"), F.col("ghost")).otherwise(F.concat(F.lit("more:"), "direction")))

@@ -5,25 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloam.operators.closure import ancestors
 from graphloam.operators.merge import round_robin
+from graphloam.session import settle_round as settle
+from graphloam.session import small
+
+
+def kept_refs(symbols: DataFrame, refs: DataFrame, files: DataFrame, keep_kinds: tuple[str, ...] = ("extends", "implements")) -> DataFrame:
+    """References with an end in an embedded file (both ends for reads), and those of kinds that are always kept.
+
+    symbols(id, file); refs(src, dst, kind); files(file): embedded. References to unknown
+    symbols are dropped. Only the symbols of embedded files are looked up for an end that is in one.
+    """
+    inside = symbols.select("id", "file").join(files.select("file").distinct(), "file", "left_semi").select("id", F.lit(True).alias("_in"))
+    inside = small(settle(inside))
+    ends = refs.join(inside.toDF("src", "_a"), "src", "left").join(inside.toDF("dst", "_b"), "dst", "left")
+    touches = F.when(F.col("kind") == "read", F.col("_a") & F.col("_b")).otherwise(F.coalesce("_a", F.lit(False)) | F.coalesce("_b", F.lit(False)))
+    kept = ends.filter(F.coalesce(touches, F.lit(False)) | F.col("kind").isin(*keep_kinds)).select(*refs.columns)
+    known = symbols.select("id")
+    return kept.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi").select(*refs.columns)
+
+
+def with_parents(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id: the wanted symbols (id) and everything above them (symbols: id, parent), level by level from what is wanted."""
+    frontier = settle(wanted.select("id").distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        up = symbols.join(frontier, "id", "left_semi").filter("parent is not null").select(F.col("parent").alias("id")).distinct()
+        frontier = settle(up.join(seen, "id", "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def prune(symbols: DataFrame, refs: DataFrame, files: DataFrame, named: DataFrame, keep_kinds: tuple[str, ...] = ("extends", "implements")) -> tuple[DataFrame, DataFrame]:
     """(symbols, refs) that keep every projection of the embedded files.
 
     symbols(id, file, parent); refs(src, dst, kind); files(file): embedded; named(id): symbols
-    that are named somewhere. A reference stays if an end lies in an embedded file (both ends
-    for reads) or its kind is always kept. Symbols stay if embedded, named, or an end of a
-    reference that stays; and so do all their parents.
+    that are named somewhere. References are those of ``kept_refs``. Symbols stay if embedded,
+    named, or an end of a reference that stays; and so do all their parents.
     """
-    place = symbols.select("id", "file").join(files.select("file").distinct().withColumn("_in", F.lit(True)), "file", "left").select("id", F.coalesce("_in", F.lit(False)).alias("_in"))
-    ends = refs.join(place.toDF("src", "_a"), "src").join(place.toDF("dst", "_b"), "dst")
-    touches = F.when(F.col("kind") == "read", F.col("_a") & F.col("_b")).otherwise(F.col("_a") | F.col("_b"))
-    kept = ends.filter(touches | F.col("kind").isin(*keep_kinds)).select(*refs.columns)
-    wanted = place.filter("_in").select("id").union(named.select("id")).union(kept.select("src")).union(kept.select("dst")).distinct()
-    up = ancestors(symbols.select(F.col("id").alias("node"), "parent")).join(wanted.withColumnRenamed("id", "node"), "node", "left_semi")
-    return symbols.join(up.select(F.col("ancestor").alias("id")).distinct(), "id", "left_semi"), kept
+    kept = settle(kept_refs(symbols, refs, files, keep_kinds))
+    inside = symbols.join(files.select("file").distinct(), "file", "left_semi").select("id")
+    wanted = inside.union(named.select("id")).union(kept.select("src")).union(kept.select("dst")).distinct()
+    wanted = wanted.join(symbols.select("id"), "id", "left_semi")
+    return symbols.join(with_parents(symbols, wanted), "id", "left_semi"), kept
 
 
 def boundary_files(anchored: DataFrame, refs: DataFrame, symbols: DataFrame, tests: DataFrame, most: int = 40) -> DataFrame:

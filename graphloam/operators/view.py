@@ -253,7 +253,7 @@ def _stubs(found: DataFrame, nodes: DataFrame, cover: DataFrame, gone: DataFrame
         keyed = keyed.join(small(gone).withColumnRenamed("element", column), column, "left_anti")
     # many targets may share a ghost
     summed = keyed.groupBy("direction", "inside", "ghost").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
-    planned = plan_stubs(settle(summed), mode, most)
+    planned = plan_stubs(summed, mode, most)
     return planned.join(small(gone).withColumnRenamed("element", "ghost"), "ghost", "left_anti").select("direction", "inside", "ghost", "n", "kinds")
 
 

@@ -10,6 +10,8 @@ from graphloam.operators.intervals import innermost, point_in_range
 
 #: Columns of a line in one position: line * LINE + column.
 LINE = 1 << 20
+#: Lines that a range and a point meet by.
+BUCKET = 64
 
 
 def file_of(ids: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -63,7 +65,11 @@ def is_entry(path: Column, language: Column | None = None, text: Column | None =
     """Whether nothing needs to refer to a file: by its name, its folders, or a main function in its text."""
     base = F.substring_index(path, "/", -1)
     folders = F.split(F.substring(path, F.lit(1), F.length(path) - F.length(base)), "/")
-    settings = base.startswith(".") | base.contains(".config.") | base.contains(".config-") | base.endswith(".d.ts")
+    # the parts of the name after its first: a settings file has one of them, a file of types ends in two
+    parts = F.split(base, r"\.")
+    rest = F.slice(parts, 2, F.size(parts))
+    kinds = F.exists(rest, lambda p: p.startswith("config-")) | F.array_contains(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0))), "config")
+    settings = (F.get(parts, 0) == "") | kinds | (F.slice(rest, F.greatest(F.size(rest) - 1, F.lit(1)), F.lit(2)) == F.array(F.lit("d"), F.lit("ts")))
     out = settings | F.substring_index(base, ".", 1).isin(*ENTRY_STEMS) | F.arrays_overlap(folders, F.array(*[F.lit(d) for d in ENTRY_DIRS]))
     if language is not None and text is not None:
         for name, patterns in ENTRY_TEXT.items():
@@ -91,9 +97,10 @@ def innermost_at(points: DataFrame, ranges: DataFrame, ids: list[str]) -> DataFr
     """The innermost range around a (line, col): ranges(file, id, s_line, s_col, e_line, e_col)."""
     placed = points.withColumn("pos", F.col("line").cast("long") * LINE + F.col("col"))
     spans = ranges.select("file", "id", (F.col("s_line").cast("long") * LINE + F.col("s_col")).alias("start_line"), (F.col("e_line").cast("long") * LINE + F.col("e_col")).alias("end_line"))
-    # buckets of lines, not of positions: a position is a line and a column in it
-    left = placed.withColumn("_b", F.col("line").cast("long"))
-    right = spans.withColumn("_b", F.explode(F.sequence((F.col("start_line") / LINE).cast("long"), (F.col("end_line") / LINE).cast("long"))))
+    # buckets of 64 lines, not of positions: a position is a line and a column in it
+    bucket = lambda line: F.floor(line / BUCKET).cast("long")
+    left = placed.withColumn("_b", bucket(F.col("line")))
+    right = spans.withColumn("_b", F.explode(F.sequence(bucket(F.floor(F.col("start_line") / LINE)), bucket(F.floor(F.col("end_line") / LINE)))))
     found = left.join(right, ["file", "_b"]).filter(F.col("pos").between(F.col("start_line"), F.col("end_line")))
     best = F.max(F.struct((F.col("start_line") - F.col("end_line")).alias("k"), F.col("start_line"), F.col("id")))
     return found.groupBy(*ids, "file", "line", "col").agg(best["id"].alias("id"))

@@ -25,14 +25,14 @@ def first_tier(spark, sf):
     return rs.first_tier(sites, [suppliers, bound, parts, nation], ["site"], ["ord"])
 
 
-@query("""WITH have AS (SELECT DISTINCT l_suppkey AS owner, p_brand AS member FROM lineitem JOIN part ON l_partkey = p_partkey),
-need AS (SELECT DISTINCT p_type || '/' || p_partkey % 100 AS demander, p_brand AS member FROM part)
-SELECT owner, demander FROM have JOIN need USING (member) GROUP BY owner, demander HAVING count(*) = (SELECT count(*) FROM need n WHERE n.demander = need.demander)""")
+@query("""WITH have AS (SELECT DISTINCT l_suppkey AS owner, p_type || '/' || p_size AS member FROM lineitem JOIN part ON l_partkey = p_partkey),
+need AS (SELECT DISTINCT p_partkey // 3 AS demander, p_type || '/' || p_size AS member FROM part), n AS (SELECT demander, count(*) AS n FROM need GROUP BY demander)
+SELECT owner, demander FROM have JOIN need USING (member) JOIN n USING (demander) GROUP BY owner, demander, n HAVING count(*) = n""")
 def divides(spark, sf):
-    """Suppliers that deliver every brand that a kind of part asks for."""
-    parts = b.table(spark, sf, "part")
-    have = b.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), "l_partkey").distinct().join(parts.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("member")), "l_partkey")
-    need = parts.select(F.concat("p_type", F.lit("/"), (F.col("p_partkey") % 100).cast("string")).alias("demander"), F.col("p_brand").alias("member"))
+    """Suppliers that deliver every kind of part, by type and size, that three parts in a row stand for."""
+    parts = b.table(spark, sf, "part").select("p_partkey", F.concat("p_type", F.lit("/"), F.col("p_size").cast("string")).alias("member"))
+    have = b.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("p_partkey")).distinct().join(parts, "p_partkey")
+    need = parts.select(F.floor(F.col("p_partkey") / 3).cast("long").alias("demander"), "member")
     return rs.divides(have, need, "owner", "member", "demander")
 
 
@@ -170,11 +170,13 @@ ends AS (SELECT refs.*, a.file = 'c:7' OR a.file = 'c:8' AS x, c.file = 'n:3' AS
 kept AS (SELECT src, dst, kind FROM ends WHERE CASE WHEN kind = 'N' THEN x AND y ELSE x OR y END)"""
 
 
-def _world(spark, sf):
+def _world(spark, sf, only_refs=False):
     orders = b.table(spark, sf, "orders").select(b.tag("o:", "o_orderkey").alias("id"), b.tag("c:", "o_custkey").alias("parent"))
     syms = orders.withColumn("file", F.col("parent")).unionByName(b.parents(spark, sf).select(F.col("node").alias("id"), "parent", F.coalesce("parent", "node").alias("file")))
     refs = b.refs(spark, sf).withColumn("kind", F.when(F.col("kind") == "N", "read").otherwise("call"))
     files = spark.createDataFrame([("c:7",), ("c:8",), ("n:3",)], "file string")
+    if only_refs:
+        return None, pn.kept_refs(syms, refs, files)
     return pn.prune(syms, refs, files, spark.createDataFrame([("c:1",)], "id string"))
 
 
@@ -183,7 +185,7 @@ _WORLD = _WORLD.replace("a.file = 'c:7' OR a.file = 'c:8' AS x", "a.file IN ('c:
 
 @query(f"WITH {_WORLD} SELECT src, dst, count(*) AS n FROM kept GROUP BY src, dst")
 def prune_refs(spark, sf):
-    return _world(spark, sf)[1].groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return _world(spark, sf, only_refs=True)[1].groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {_WORLD}, w AS (SELECT id FROM syms WHERE file IN ('c:7', 'c:8', 'n:3') UNION SELECT 'c:1' UNION SELECT src FROM kept UNION SELECT dst FROM kept),

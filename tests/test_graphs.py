@@ -9,6 +9,7 @@ import pytest
 from graphloam.functions import diff as df
 from graphloam.operators import change as ch
 from graphloam.operators import closure as cl
+from graphloam.operators import drift
 from graphloam.operators import hierarchy as hi
 from graphloam.operators import projection as pr
 from graphloam.operators import resolve as rs
@@ -432,3 +433,19 @@ def test_default_view_and_stubs_that_open(spark):
     include = spark.createDataFrame([("file:x",)], "element string")
     assert rows(vw.expand_stub(include, "dir:src")) == [("dir:src",), ("file:x",)] and rows(vw.expand_stub(include, "rest:file:y")) == [("file:x",)]
     assert views.type_groups(spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")).select("grp").distinct().count() == 1
+
+
+def test_file_suggestions_against_all_pairs(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))
+    files = sorted({f"{rng.choice('xyz')}/{name()}.{rng.choice(['ts', 'py'])}" for _ in range(300)}) + [".env", "a/.env"]
+    wanted = [f"q/{name()}.ts" for _ in range(60)] + ["q/.env"]
+    expected = []
+    for w in set(wanted):
+        base = w.split("/")[-1]
+        stem = base.rsplit(".", 1)[0]
+        tiers = sorted((0 if f.split("/")[-1] == base else 1, f) for f in files if f.split("/")[-1] == base or (stem and stem in f.split("/")[-1]))
+        expected += [(w, f, t) for t, f in tiers[:5]]
+    got = drift.suggest_files(spark.createDataFrame([(w,) for w in wanted], "wanted string"), spark.createDataFrame([(f,) for f in files], "file string"))
+    assert rows(got.select("wanted", "file", "tier")) == sorted(expected, key=str)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
