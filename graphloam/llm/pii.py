@@ -3,7 +3,7 @@
 Entities of whole texts are found by one pattern, brought to a canonical form, and counted over
 the corpus. Each distinct entity gets one surrogate of its own type, drawn by a keyed hash:
 digits stay digits in their places, letters letters of the same script and case, given names
-names of the same gender, mail addresses of one domain addresses of one domain, private network
+made names with an ending of the same gender, account numbers ones with right check digits, mail addresses of one domain addresses of one domain, private network
 addresses private. A person's name is a title, given names and a family name with a surrogate
 each, so that "Frau Schmidt" and "Anna Schmidt" still share theirs; a telephone number is its national
 part, so that spellings with and without the country agree. The table of entities is then
@@ -40,7 +40,8 @@ CYRILLIC_LETTERS = "абвгдежзиклмнопрстуфхцчшэюя"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 _TITLED = rf"(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.? ){{1,3}}"
-_WORD = r"\p{Lu}[\p{Ll}\p{M}'’]{1,30}(?:-\p{Lu}\p{Ll}{1,30})?"
+#: A capitalised word of any length, with what stands before a second capital in family names, and a second part after a hyphen.
+_WORD = r"(?:\p{Lu}['’]|Mc|Mac)?\p{Lu}[\p{Ll}\p{M}'’]++(?:-\p{Lu}\p{Ll}++)?"
 _PLAIN_WORD = r"[\p{Lo}\p{M}]{2,20}"
 _NAME = (
     rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}|[гдп])(?:{_TITLED}{_WORD}(?: {_WORD})?|(?:{'|'.join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) {_WORD}|(?<=(?:{'|'.join(CUES)})){_WORD}(?: {_WORD}){{0,2}})(?![\p{{L}}\p{{N}}])"
@@ -135,12 +136,27 @@ def _family(word: Column, digest: Column, attempt: Column) -> Column:
     return made
 
 
+#: What surrogates of given names are made of, by script: consonants, vowels, and endings of female and male names.
+SYLLABLES = {
+    "Latin": ("bdfglmnprstvz", "aeiou", ("ala", "ara", "elia", "ena", "etta", "ina", "isa", "ora"), ("ald", "ard", "emir", "eno", "ic", "imar", "olf", "os")),
+    "Cyrillic": ("бвгдзлмнпрст", "аеиоу", ("алия", "ана", "елла", "ина", "ора", "уся"), ("ан", "ар", "ег", "им", "ислав", "ор")),
+}
+
+
 def _given(word: Column, gender: Column, digest: Column, attempt: Column) -> Column:
-    """A given name of the same script and gender; from the fifth draw on with drawn letters at its end."""
-    more = lambda letters: F.when(attempt > 3, _letters(letters, digest, F.greatest(attempt - 2, F.lit(2)))).otherwise("")
-    pick = lambda female, male: F.when(gender == 1, _pick(female, digest, 1)).when(gender == 2, _pick(male, digest, 1)).otherwise(_pick(female + male, digest, 1))
-    latin, cyrillic = F.concat(pick(FEMALE, MALE), more(LOWER)), F.concat(pick(FEMALE_CYRILLIC, MALE_CYRILLIC), more(CYRILLIC_LETTERS))
-    return F.when(word.rlike(r"\p{IsCyrillic}"), cyrillic).when(word.rlike(r"\p{IsLatin}"), latin).otherwise(_family(word, digest, attempt))
+    """A made given name of the same script, with an ending of the same gender, where that is known.
+
+    Names are two syllables and an ending, and one syllable more for every two draws, so there are enough for
+    any number of entities, whichever names the texts hold.
+    """
+    value = lambda i: F.conv(F.substring(F.sha2(F.concat(digest, F.lit("given"), i.cast("string")), 256), 1, 6), 16, 10).cast("int")
+    one = lambda letters, n: F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))
+    out = _family(word, digest, attempt)
+    for script, (consonants, vowels, female, male) in SYLLABLES.items():
+        pairs = F.transform(F.sequence(F.lit(1), F.lit(1) + F.floor(attempt / 2).cast("int")), lambda i: F.concat(one(consonants, value(i * 3)), one(vowels, value(i * 3 + 1))))  # noqa: B023
+        end = F.when(gender == 1, _pick(list(female), digest, 1)).when(gender == 2, _pick(list(male), digest, 1)).otherwise(_pick([*female, *male], digest, 1))
+        out = F.when(word.rlike(rf"\p{{Is{script}}}"), F.initcap(F.concat(F.array_join(pairs, ""), one(consonants, value(F.lit(2))), end))).otherwise(out)
+    return out
 
 
 def _octets(canon: Column, digest: Column, attempt: Column) -> Column:
@@ -175,6 +191,14 @@ def _luhn(digits: Column) -> Column:
     return F.concat(body, (F.pmod(10 - total % 10, F.lit(10))).cast("string"))
 
 
+def _checked(iban: Column) -> Column:
+    """An account number with the two check digits that leave a remainder of 1 by 97."""
+    country, body = F.substring(iban, 1, 2), F.substring(iban, 5, 400)
+    digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+
 #: Draws in the usual range of a kind, and draws of the usual length; later ones are wider.
 NEAR, PLAIN = 20, 60
 
@@ -188,7 +212,7 @@ def surrogate(kind: Column, canon: Column, gender: Column, key: str, attempt: Co
     number = (
         F.when(kind == "ip", _octets(canon, digest, attempt))
         .when(kind == "card", _luhn(behind(1, F.substring(canon, 1, 1))))
-        .when(kind == "iban", behind(2, F.substring(canon, 1, 2)))
+        .when(kind == "iban", _checked(behind(2, F.substring(canon, 1, 2))))
         .when((kind == "phone") & (F.length(canon) >= 10) & (attempt < NEAR), behind(1, F.substring(canon, 1, 1)))
         .when((kind == "ssn") & (attempt < NEAR), behind(1, F.lit("9")))
         .otherwise(shaped)

@@ -128,7 +128,10 @@ def test_surrogates(spark):
     digits = [int(c) for c in reversed(cards[1].surrogate)]
     assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
     names = [e.surrogate for e in by[3].entities]
-    assert names[0].startswith("Mrs. ") and names[1].split()[0] in pii.FEMALE and names[2].startswith("Mr ") and names[3].split()[0] in pii.FEMALE_CYRILLIC
+    female = {script: parts[2] for script, parts in pii.SYLLABLES.items()}
+    assert names[0].startswith("Mrs. ") and names[1].split()[0].endswith(female["Latin"]) and names[2].startswith("Mr ") and names[3].split()[0].endswith(female["Cyrillic"])
+    iban = re.sub(" ", "", two["iban"].surrogate)
+    assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert by[3].clean_text.endswith("Clean words 12 and 3.14 stay.")
     assert by[4].clean_text is None and by[5].clean_text == "" and by[6].clean_text == "nothing here"
     assert by[7].entities[0].surrogate == one.entities[1].surrogate  # the same everywhere
@@ -199,6 +202,25 @@ def test_surrogates_against_brute_force(spark, sf, monkeypatch):
         assert not real & {(k, v) for (k, _), v in there.items()}
 
 
+def test_given_names_keep_their_gender_when_all_listed_ones_occur(spark):
+    rows = [(i, f"{n} Okonkwo") for i, n in enumerate([*pii.FEMALE, *pii.MALE, *pii.FEMALE_CYRILLIC, *pii.MALE_CYRILLIC])]
+    made = [r.clean_text.split()[0] for r in sorted(pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    listed = {t.split()[0] for _, t in rows}
+    assert len(set(made)) == len(rows) and not set(made) & listed
+    ends, at = [], 0
+    for script, names in (("Latin", (pii.FEMALE, pii.MALE)), ("Cyrillic", (pii.FEMALE_CYRILLIC, pii.MALE_CYRILLIC))):
+        for gender, of in enumerate(names):
+            ends += [pii.SYLLABLES[script][2 + gender]] * len(of)
+    assert all(m.endswith(e) for m, e in zip(made, ends, strict=True))
+
+
+def test_names_with_second_capitals_and_of_any_length(spark):
+    long = "W" + "o" * 200
+    rows = [(1, "Mr. O'Brien came."), (2, "Mrs McDonald and Dr. MacLeod-Smith left."), (3, f"Signed: Herr {long}, today"), (4, "name is Anna O’Neill")]
+    found = {r.doc_id: [e.entity for e in r.entities] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ["Mr. O'Brien"], 2: ["Mrs McDonald", "Dr. MacLeod-Smith"], 3: [f"Herr {long}"], 4: ["Anna O’Neill"]}
+
+
 def test_surrogates_never_collide(spark):
     entities = spark.range(600).selectExpr("'given' as kind", "concat(char(65 + id % 26), lower(hex(id))) as canon", "cast(id % 3 as int) as gender")
     made = pii.surrogate_table(entities, "k").collect()
