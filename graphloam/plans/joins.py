@@ -99,6 +99,29 @@ def implementers(spark, sf):
     return rs.implementers(extends.unionByName(own), types.select(F.col("type").cast("string").alias("id")).union(types.select(F.col("base").cast("string"))).distinct())
 
 
+@query("""WITH RECURSIVE base AS (SELECT n_nationkey AS t, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0), up AS (SELECT t, b FROM base UNION SELECT up.t, base.b FROM up JOIN base ON up.b = base.t),
+own AS (SELECT c_custkey AS c, c_nationkey AS t, c_custkey % 2 AS h FROM customer), ti AS (SELECT c, t, h FROM own UNION ALL SELECT c, up.b, h FROM own JOIN up USING (t)),
+im AS (SELECT DISTINCT s_nationkey AS t, s_suppkey % 7 AS m FROM supplier), cm AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 7 AS m FROM orders),
+r AS (SELECT 'N' || t AS id, 'C' || c AS implementation, h FROM ti UNION ALL SELECT 'N' || t || '.m' || m, 'C' || c || '.m' || m, h FROM ti JOIN im USING (t) JOIN cm USING (c, m))
+SELECT id, implementation, CASE WHEN min(h) = 0 THEN 'precise' ELSE 'heuristic' END AS resolution FROM r GROUP BY id, implementation""")
+def implementations(spark, sf):
+    """Nations as interfaces that extend each other, with members from suppliers; customers as classes that implement them, with members from orders."""
+    key = b.tag
+    nations = b.table(spark, sf, "nation").select(key("N", "n_nationkey").alias("path"))
+    customers = b.table(spark, sf, "customer").select(key("C", "c_custkey").alias("path"))
+    member = lambda rows: rows.select(F.concat_ws(".", "o", b.tag("m", "m")).alias("path")).distinct()
+    im = member(b.table(spark, sf, "supplier").select(key("N", "s_nationkey").alias("o"), (F.col("s_suppkey") % 7).alias("m")))
+    cm = member(b.table(spark, sf, "orders").select(key("C", "o_custkey").alias("o"), (F.col("o_orderkey") % 7).alias("m")))
+    symbols = None
+    for rows, kind in ((nations, "interface"), (customers, "class"), (im, "method"), (cm, "method")):
+        part = rows.select(F.col("path").alias("id"), F.concat(F.substring_index("path", ".", 1), F.lit(".go")).alias("file"), F.substring("path", 1, 1).alias("folder"), F.lit("go").alias("language"), "path", F.lit(kind).alias("kind"))
+        symbols = part if symbols is None else symbols.unionByName(part)
+    k = F.col("n_nationkey")
+    extends = b.table(spark, sf, "nation").filter(k > 0).select(key("N", "n_nationkey").alias("src"), F.concat(F.lit("N"), F.floor(k / 2).cast("string")).alias("dst"), F.lit("extends").alias("kind"), F.lit("precise").alias("resolution"))
+    own = b.table(spark, sf, "customer").select(key("C", "c_custkey").alias("src"), key("N", "c_nationkey").alias("dst"), F.lit("implements").alias("kind"), F.when(F.col("c_custkey") % 2 == 0, "precise").otherwise("heuristic").alias("resolution"))
+    return rs.implementations(symbols, extends.unionByName(own))
+
+
 @query("""WITH i AS (SELECT doc_id AS file, source || '.' || lang || '.x' AS module FROM documents), c(prefix, system) AS (VALUES ('src1', 'one'), ('src1.en', 'one-en'), ('src2', 'two'), ('src', 'none'))
 SELECT DISTINCT file, module, CASE WHEN starts_with(module, 'src1.en.') THEN 'one-en' WHEN starts_with(module, 'src1.') THEN 'one' ELSE 'two' END AS system FROM i WHERE (starts_with(module, 'src1.') OR starts_with(module, 'src2.')) AND NOT starts_with(module, 'src2.de.')""")
 def outside_systems(spark, sf):

@@ -123,11 +123,11 @@ e AS (SELECT doc_id, i, old, CASE WHEN i % 11 = 5 THEN 'drop' WHEN i % 7 = 3 THE
 n AS (SELECT *, (act <> 'drop')::INT + (act = 'grow')::INT AS gives, sum((act <> 'drop')::INT + (act = 'grow')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum((act IN ('keep'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e)"""
 
 
-def _edited(spark, sf):
+def _edited(spark, sf, drop=(11, 5), edit=(7, 3), grow=(13, 6)):
     docs = b.table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
     old = F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit("|"), x))
     rows = docs.withColumn("a", old)
-    new = F.flatten(F.transform("a", lambda x, k: F.when((k + 1) % 11 == 5, F.array().cast("array<string>")).when((k + 1) % 7 == 3, F.array(F.concat(x, F.lit(" edited")))).when((k + 1) % 13 == 6, F.array(x, F.concat(F.lit("new "), x))).otherwise(F.array(x))))
+    new = F.flatten(F.transform("a", lambda x, k: F.when((k + 1) % drop[0] == drop[1], F.array().cast("array<string>")).when((k + 1) % edit[0] == edit[1], F.array(F.concat(x, F.lit(" edited")))).when((k + 1) % grow[0] == grow[1], F.array(x, F.concat(F.lit("new "), x))).otherwise(F.array(x))))
     return rows.select("doc_id", F.array_join("a", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
 
 
@@ -144,6 +144,15 @@ def diff_hunks(spark, sf):
     return ch.diff_hunks(_edited(spark, sf), "doc_id", "old", "new")
 
 
+# Edits that stand alone: each removed line of theirs was rewritten to the added one.
+_APART = _EDITED.replace("i % 11 = 5", "i % 12 = 6").replace("i % 7 = 3", "i % 12 = 3").replace("i % 13 = 6", "i % 12 = 9")
+
+
+@query(f"WITH {_APART} SELECT doc_id, i::INT AS old_line, upto::INT AS new_line FROM n WHERE act = 'edit'")
+def rewritten_lines(spark, sf):
+    return ch.rewritten_lines(_edited(spark, sf, (12, 6), (12, 3), (12, 9)), "doc_id", "old", "new")
+
+
 _LH = f"{_L}, h AS (SELECT file, line, 'sha256-v2:' || substr(sha256(line_text), 1, 12) AS hash FROM lines)"
 
 
