@@ -150,41 +150,41 @@ def callers(spark, sf):
     return ch.callers(syms.filter("cast(substr(id, 3) as int) % 5 = 0"), refs, syms)
 
 
-_GRAPH = """calls AS (SELECT DISTINCT 'n:' || op AS src, 'n:' || sp AS dst FROM (SELECT c_nationkey % 8 AS op, s_suppkey % 40 + 10 AS sp FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
-UNION SELECT 'n:' || (s_suppkey % 40 + 10), 'n:' || (s_suppkey % 90 + 50) FROM supplier)"""
+#: Customers call their orders and one supplier, orders call the suppliers of their items; every tenth customer is a test, every supplier has changed.
+_GRAPH = """calls AS (SELECT 'o:' || l_orderkey AS src, 's:' || l_suppkey AS dst FROM lineitem UNION SELECT 'c:' || o_custkey, 'o:' || o_orderkey FROM orders UNION SELECT 'c:' || c_custkey, 's:' || (c_custkey // 7) FROM customer),
+t AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 10 = 0), ch AS (SELECT 's:' || s_suppkey AS id FROM supplier)"""
 
 
 def _call_graph(spark, sf):
-    orders = b.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(b.table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
-    line = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    up = line.join(orders, "o_orderkey").join(b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey").select((F.col("c_nationkey") % 8).cast("long").alias("a"), (F.col("l_suppkey") % 40 + 10).alias("b")).distinct()
-    down = b.table(spark, sf, "supplier").select((F.col("s_suppkey") % 40 + 10).alias("a"), (F.col("s_suppkey") % 90 + 50).alias("b")).distinct()
-    return up.unionByName(down).distinct().select(b.tag("n:", "a").alias("src"), b.tag("n:", "b").alias("dst"), F.lit("call").alias("kind"))
+    line = b.table(spark, sf, "lineitem").select(b.tag("o:", "l_orderkey").alias("src"), b.tag("s:", "l_suppkey").alias("dst"))
+    orders = b.table(spark, sf, "orders").select(b.tag("c:", "o_custkey").alias("src"), b.tag("o:", "o_orderkey").alias("dst"))
+    k = F.col("c_custkey")
+    direct = b.table(spark, sf, "customer").select(b.tag("c:", "c_custkey").alias("src"), F.concat(F.lit("s:"), F.floor(k / 7).cast("string")).alias("dst"))
+    calls = line.union(orders).union(direct).distinct().withColumn("kind", F.lit("call"))
+    changed = b.table(spark, sf, "supplier").select(b.tag("s:", "s_suppkey").alias("id"))
+    return calls, changed, b.table(spark, sf, "customer").filter(k % 10 == 0).select(b.tag("c:", "c_custkey").alias("id"))
 
 
-@query(f"""WITH {_GRAPH}, t AS (SELECT 'n:' || i AS id FROM range(0, 4) r(i)), ch AS (SELECT DISTINCT dst AS id FROM calls WHERE substr(dst, 3)::INT % 3 = 0),
-direct AS (SELECT DISTINCT ch.id, src AS test FROM ch JOIN calls ON ch.id = dst WHERE src IN (SELECT id FROM t)),
+@query(f"""WITH {_GRAPH}, direct AS (SELECT DISTINCT ch.id, src AS test FROM ch JOIN calls ON ch.id = dst WHERE src IN (SELECT id FROM t)),
 hop AS (SELECT ch.id, b.src AS test, min(a.src) AS via FROM ch JOIN calls a ON a.dst = ch.id JOIN calls b ON b.dst = a.src WHERE a.src <> ch.id AND a.src NOT IN (SELECT id FROM t) AND b.src IN (SELECT id FROM t) GROUP BY 1, 2)
-SELECT id, test, NULL::VARCHAR AS via FROM direct UNION ALL SELECT id, test, via FROM hop WHERE (id, test) NOT IN (SELECT id, test FROM direct)""")
+SELECT id, test, NULL::VARCHAR AS via FROM direct UNION ALL SELECT id, test, via FROM hop WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.id = hop.id AND d.test = hop.test)""")
 def tests_of(spark, sf):
-    graph = _call_graph(spark, sf)
-    changed = graph.filter("cast(substr(dst, 3) as int) % 3 = 0").select(F.col("dst").alias("id")).distinct()
-    return ch.tests_of(changed, graph, spark.createDataFrame([(f"n:{i}",) for i in range(4)], "id string"))
+    calls, changed, tests = _call_graph(spark, sf)
+    return ch.tests_of(changed, calls, tests)
 
 
-@query(f"""WITH {_GRAPH}, ch AS (SELECT DISTINCT dst AS id FROM calls WHERE substr(dst, 3)::INT % 3 = 0), two AS (SELECT ch.id, a.src AS caller, c.src AS outer_ FROM ch JOIN calls a ON a.dst = ch.id JOIN calls c ON c.dst = a.src WHERE c.src <> ch.id AND a.src <> a.dst AND c.src <> c.dst)
+@query(f"""WITH {_GRAPH}, two AS (SELECT ch.id, a.src AS caller, c.src AS outer_ FROM ch JOIN calls a ON a.dst = ch.id JOIN calls c ON c.dst = a.src WHERE c.src <> ch.id AND a.src <> a.dst AND c.src <> c.dst)
 SELECT id, caller, outer_ AS "outer" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY caller, outer_) AS r FROM two) WHERE r <= 10""")
 def call_paths(spark, sf):
-    graph = _call_graph(spark, sf)
-    changed = graph.filter("cast(substr(dst, 3) as int) % 3 = 0").select(F.col("dst").alias("id")).distinct()
-    return ch.call_paths(changed, graph, 10)
+    calls, changed, _ = _call_graph(spark, sf)
+    return ch.call_paths(changed, calls, 10)
 
 
-@query(f"""WITH {_GRAPH}, ch AS (SELECT DISTINCT dst AS id FROM calls) SELECT id FROM ch WHERE id NOT IN (SELECT dst FROM calls WHERE substr(src, 3)::INT < 4)""")
+@query(f"WITH {_GRAPH} SELECT id FROM ch WHERE id NOT IN (SELECT dst FROM calls WHERE src IN (SELECT id FROM t))")
 def untested(spark, sf):
-    graph = _call_graph(spark, sf)
-    tested = graph.filter("cast(substr(src, 3) as int) < 4").select(F.col("dst").alias("id"))
-    return ch.untested(graph.select(F.col("dst").alias("id")), tested)
+    calls, changed, tests = _call_graph(spark, sf)
+    tested = calls.join(tests.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))
+    return ch.untested(changed, tested)
 
 
 _WORLD = f"""{b.SQL_REFS}, {b.SQL_PARENTS}, op AS (SELECT 'o:' || o_orderkey AS id, 'c:' || o_custkey AS parent FROM orders),

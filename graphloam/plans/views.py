@@ -36,11 +36,9 @@ def removed_boxes(spark, sf):
     return vw.removed_boxes(docs.select("file"), docs.filter("doc_id % 5 <> 0").select("file"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 's:' || s_suppkey AS a, 's:' || (s_suppkey * 3 % 50) AS b FROM supplier), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT a, b FROM two UNION SELECT w.a, two.b FROM w JOIN two ON w.b = two.a) SELECT a AS node, least(a, min(b)) AS grp FROM w GROUP BY a""")
+@query(f"""WITH {b.SQL_RELAYS} SELECT 'o:' || o AS node, min('o:' || o) OVER (PARTITION BY c, blk) AS grp FROM rb QUALIFY count(*) OVER (PARTITION BY c, blk) > 1""")
 def type_groups(spark, sf):
-    k = F.col("s_suppkey")
-    return vw.type_groups(b.table(spark, sf, "supplier").select(b.tag("s:", "s_suppkey").alias("src"), F.concat(F.lit("s:"), (k * 3 % 50).cast("string")).alias("dst")))
+    return vw.type_groups(b.relays(spark, sf))
 
 
 @query("""WITH u AS (SELECT user_id AS function, event_id AS line, event_type AS state, CASE WHEN event_id % 2 = 0 THEN 'test' ELSE 'set' END AS action FROM events),
