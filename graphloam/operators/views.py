@@ -172,6 +172,38 @@ def state_transitions(uses: DataFrame) -> DataFrame:
     return found.groupBy("src_state", F.col("state").alias("dst_state"), "function").agg(F.count("*").alias("n"))
 
 
+def block_ends(lines: DataFrame) -> DataFrame:
+    """file, line, end_line: where the block under each line ends: before the next line that is indented no further.
+
+    lines(file, line, indent), without blank lines. A line looks for the next one at each level of
+    indentation that its file has from its own up, so rows are lines times the depth of nesting,
+    and each window holds the lines of one level. The block under a line without deeper lines is the line itself.
+    """
+    levels = lines.select("file", F.col("indent").alias("level")).distinct()
+    # a line stops the blocks of all levels from its own indentation up
+    each = lines.join(levels, "file").filter("level >= indent")
+    nxt = F.lead("line").over(Window.partitionBy("file", "level").orderBy("line"))
+    stops = each.withColumn("_next", nxt).filter("level = indent").select("file", "line", "_next")
+    last = lines.groupBy("file").agg(F.max("line").alias("_last"))
+    return stops.join(last, "file").select("file", "line", F.coalesce(F.col("_next") - 1, "_last").alias("end_line"))
+
+
+def block_transitions(lines: DataFrame, uses: DataFrame) -> DataFrame:
+    """src_state, dst_state, file, n: states that are set inside the block of a test of another state.
+
+    lines(file, line, indent) as for ``block_ends``; uses(file, line, state, action), action being test or set.
+    Blocks nest, so the test that counts is the last one whose block still holds the set; a set
+    on the line of a test is not in its block.
+    """
+    tests = uses.filter("action = 'test'").groupBy("file", "line").agg(F.min("state").alias("src_state"))
+    held = tests.join(block_ends(lines), ["file", "line"]).filter("end_line > line").select("file", (F.col("line") + 1).alias("start_line"), "end_line", "src_state")
+    sets = uses.filter("action = 'set'").select("file", "line", F.col("state").alias("dst_state"))
+    found = innermost(sets.distinct(), held, "file", "line", ["dst_state"], order="start_line")
+    counted = sets.groupBy("file", "line", "dst_state").agg(F.count("*").alias("_times"))
+    joined = found.join(counted, ["file", "line", "dst_state"]).filter("src_state <> dst_state")
+    return joined.groupBy("src_state", "dst_state", "file").agg(F.sum("_times").alias("n"))
+
+
 def type_hierarchy(bases: DataFrame, roots: DataFrame, down: int = 2) -> DataFrame:
     """root, type, depth: all ancestors of each root (negative depths) and descendants ``down`` levels deep. bases(type, base)."""
     up = bases.select(F.col("type").alias("src"), F.col("base").alias("dst"))

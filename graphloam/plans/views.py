@@ -49,6 +49,16 @@ def state_transitions(spark, sf):
     return vw.state_transitions(uses)
 
 
+@query(f"""WITH {b.SQL_LINES}, l AS (SELECT file, line, length(line_text) % 4 AS indent, 's' || length(line_text) % 5 AS state, CASE WHEN line % 3 = 1 THEN 'test' ELSE 'set' END AS action FROM lines WHERE line_text <> ''),
+t AS (SELECT *, coalesce((SELECT min(x.line) FROM l x WHERE x.file = l.file AND x.line > l.line AND x.indent <= l.indent), 1000000000) AS stop FROM l WHERE action = 'test'),
+h AS (SELECT s.file, s.line, s.state AS dst_state, arg_max(t.state, t.line) AS src_state FROM l s JOIN t ON s.file = t.file AND s.line > t.line AND s.line < t.stop WHERE s.action = 'set' GROUP BY ALL)
+SELECT src_state, dst_state, file, count(*) AS n FROM h WHERE src_state <> dst_state GROUP BY ALL""")
+def block_transitions(spark, sf):
+    lines = b.document_lines(spark, sf).filter("line_text <> ''")
+    rows = lines.select("file", "line", (F.length("line_text") % 4).alias("indent"), F.concat(F.lit("s"), (F.length("line_text") % 5).cast("string")).alias("state"), F.when(F.col("line") % 3 == 1, "test").otherwise("set").alias("action"))
+    return vw.block_transitions(rows, rows)
+
+
 @query("""WITH RECURSIVE t AS (SELECT n_nationkey::VARCHAR AS type, (n_nationkey // 2)::VARCHAR AS base FROM nation WHERE n_nationkey > 0),
 up AS (SELECT '5' AS type, 0 AS d UNION ALL SELECT base, d - 1 FROM up JOIN t USING (type)), down AS (SELECT '5' AS type, 0 AS d UNION ALL SELECT t.type, d + 1 FROM down JOIN t ON t.base = down.type WHERE d < 2)
 SELECT '5' AS root, type, d::INT AS depth FROM (SELECT * FROM up UNION ALL SELECT * FROM down) WHERE d <> 0""")

@@ -449,3 +449,22 @@ def test_file_suggestions_against_all_pairs(spark):
     got = drift.suggest_files(spark.createDataFrame([(w,) for w in wanted], "wanted string"), spark.createDataFrame([(f,) for f in files], "file string"))
     assert rows(got.select("wanted", "file", "tier")) == sorted(expected, key=str)
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+
+def test_states_inside_blocks(spark):
+    rng = random.Random(12)
+    lines, uses, expected = [], [], Counter()
+    for f in range(4):
+        own = [(f, n, rng.randrange(4) * 2, rng.choice("abc"), rng.choice(["test", "set", "none"])) for n in range(1, 120) if rng.random() < 0.9]
+        lines += [r[:3] for r in own]
+        uses += [(r[0], r[1], r[3], r[4]) for r in own if r[4] != "none"]
+        for i, (_, n, _, state, action) in enumerate(own):
+            if action == "set":
+                for j in range(i - 1, -1, -1):
+                    _, _, level, before, what = own[j]
+                    if what == "test" and all(r[2] > level for r in own[j + 1 : i + 1]):
+                        if before != state:
+                            expected[before, state, f] += 1
+                        break
+    got = views.block_transitions(spark.createDataFrame(lines, "file int, line int, indent int"), spark.createDataFrame(uses, "file int, line int, state string, action string"))
+    assert rows(got) == sorted(((*k, n) for k, n in expected.items()), key=str)
