@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,6 +220,52 @@ def overridden_by(methods: DataFrame, bases: DataFrame, max_depth: int | None =
     return empty if done is None else done
 
 
+def merged_order(name: str, orders: list[list[str]], bases: list[str]) -> list[str] | None:
+    """A type before its bases, each base's own order kept, and bases in the order they are written; None if these contradict."""
+    left, out = [list(x) for x in (*orders, bases) if len(x)], [name]
+    while left:
+        # the first head that no list has further on
+        head = next((x[0] for x in left if not any(x[0] in y[1:] for y in left)), None)
+        if head is None:
+            return None
+        out.append(head)
+        left = [y for x in left if (y := x[1:] if x[0] == head else x)]
+    return out
+
+
+def method_order(types: DataFrame, bases: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """type, order: the linear order in which a type and its bases are asked for a member; null where there is none.
+
+    types(type); bases(type, base, ord): ord is the place of a base as it is written. A round
+    orders all types whose bases are ordered, so rounds are as many as the hierarchy is deep.
+    Types that contradict themselves, or stand on a cycle or on such types, have no order.
+    Bases that are no types of the table count as types without bases.
+    """
+    def merge(name: pd.Series, orders: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([merged_order(n, [list(o) for o in x], list(b)) for n, x, b in zip(name, orders, own, strict=True)], dtype=object)
+
+    ordered = F.pandas_udf(merge, "array<string>")
+    edges = settle(bases.select("type", "base", "ord").distinct())
+    known = types.select("type").union(edges.select("type")).union(edges.select("base")).distinct()
+    need = settle(edges.groupBy("type").agg(F.count("*").alias("need")))
+    done = settle(known.join(need, "type", "left_anti").select("type", F.array("type").alias("order")))
+    left, news = need, done
+    for depth in count(1):
+        if max_rounds is not None and depth > max_rounds:
+            raise RuntimeError(f"not settled in {max_rounds} rounds")
+        # only types over what the last round ordered can be ready
+        near = edges.join(news.select(F.col("type").alias("base")), "base", "left_semi").select("type").distinct()
+        rows = edges.join(near, "type", "left_semi").join(left, "type").join(done.select(F.col("type").alias("base"), "order"), "base")
+        ready = rows.groupBy("type", "need").agg(F.sort_array(F.collect_list(F.struct("ord", "base", "order"))).alias("x")).filter(F.size("x") == F.col("need"))
+        made = settle(ready.select("type", ordered("type", F.transform("x", lambda v: v["order"]), F.transform("x", lambda v: v["base"])).alias("order")))
+        if made.isEmpty():
+            break
+        news = made.filter("order is not null")
+        left = settle(left.join(made.select("type"), "type", "left_anti"))
+        done = settle(done.unionByName(news))
+    return known.join(done, "type", "left").select("type", "order")
+
+
 def outside_systems(imports: DataFrame, catalogue: DataFrame, own: DataFrame) -> DataFrame:
     """file, module, system: imports of modules that a catalogue names, by whole leading parts; own modules left out.
 

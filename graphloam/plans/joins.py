@@ -99,6 +99,21 @@ def implementers(spark, sf):
     return rs.implementers(extends.unionByName(own), types.select(F.col("type").cast("string").alias("id")).union(types.select(F.col("base").cast("string"))).distinct())
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, 'c' || c_custkey AS c, ['c' || c_custkey, 'n' || c_nationkey, 'r' || n_regionkey, 'all'] AS o FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'o' || o_orderkey AS type, ['o' || o_orderkey] || o[1:3] || [o_orderpriority, 'all'] AS "order" FROM orders JOIN c ON o_custkey = k UNION ALL SELECT c, o FROM c
+UNION ALL SELECT 'n' || n_nationkey, ['n' || n_nationkey, 'r' || n_regionkey, 'all'] FROM nation UNION ALL SELECT 'r' || r_regionkey, ['r' || r_regionkey, 'all'] FROM region
+UNION ALL SELECT DISTINCT o_orderpriority, [o_orderpriority, 'all'] FROM orders UNION ALL SELECT 'all', ['all']""")
+def method_order(spark, sf):
+    """Orders derive from their customer and their priority, customers from nations, nations from regions; regions and priorities from one type."""
+    t = lambda name: b.table(spark, sf, name)
+    pair = lambda rows, a, c, n: rows.select(a.alias("type"), c.alias("base"), F.lit(n).alias("ord"))
+    top = F.lit("all")
+    bases = pair(t("orders"), b.tag("o", "o_orderkey"), b.tag("c", "o_custkey"), 0).unionByName(pair(t("orders"), b.tag("o", "o_orderkey"), F.col("o_orderpriority"), 1))
+    for rows in (pair(t("customer"), b.tag("c", "c_custkey"), b.tag("n", "c_nationkey"), 0), pair(t("nation"), b.tag("n", "n_nationkey"), b.tag("r", "n_regionkey"), 0), pair(t("region"), b.tag("r", "r_regionkey"), top, 0), pair(t("orders"), F.col("o_orderpriority"), top, 0)):
+        bases = bases.unionByName(rows)
+    return rs.method_order(bases.select("type").distinct(), bases)
+
+
 @query("""WITH RECURSIVE base AS (SELECT n_nationkey AS t, n_nationkey // 2 AS b FROM nation WHERE n_nationkey > 0), up AS (SELECT t, b FROM base UNION SELECT up.t, base.b FROM up JOIN base ON up.b = base.t),
 own AS (SELECT c_custkey AS c, c_nationkey AS t, c_custkey % 2 AS h FROM customer), ti AS (SELECT c, t, h FROM own UNION ALL SELECT c, up.b, h FROM own JOIN up USING (t)),
 im AS (SELECT DISTINCT s_nationkey AS t, s_suppkey % 7 AS m FROM supplier), cm AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 7 AS m FROM orders),

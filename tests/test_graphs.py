@@ -468,3 +468,21 @@ def test_states_inside_blocks(spark):
                         break
     got = views.block_transitions(spark.createDataFrame(lines, "file int, line int, indent int"), spark.createDataFrame(uses, "file int, line int, state string, action string"))
     assert rows(got) == sorted(((*k, n) for k, n in expected.items()), key=str)
+
+
+def test_method_order_is_that_of_python(spark):
+    rng = random.Random(21)
+    made, bases, expected = {"object": object}, [], {"object": ["object"]}
+    for i in range(60):
+        name, own = f"t{i}", rng.sample(sorted(set(made) - {"object"}), min(rng.randrange(4), len(made) - 1)) or ["object"]
+        bases += [(name, b, n) for n, b in enumerate(own)]
+        try:
+            made[name] = type(name, tuple(made[b] for b in own), {})
+            expected[name] = [c.__name__ for c in made[name].__mro__]
+        except TypeError:
+            expected[name] = None
+    bases += [("bad", "loop", 0), ("loop", "bad", 0), ("over", "loop", 0)]
+    expected |= {"bad": None, "loop": None, "over": None, "alone": ["alone"]}
+    assert None in [v for k, v in expected.items() if k.startswith("t")]
+    got = rs.method_order(spark.createDataFrame([("alone",)], "type string"), spark.createDataFrame(bases, "type string, base string, ord int"))
+    assert {r.type: r.order for r in got.collect()} == expected
