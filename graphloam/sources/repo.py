@@ -38,15 +38,26 @@ def content_exclusion(content: Column, size: Column) -> Column:
     return F.when(size > MAX_BYTES, "oversized").when(F.instr(F.hex(F.substring(content, 1, SNIFF_BYTES)), "00").cast("boolean") & F.hex(F.substring(content, 1, SNIFF_BYTES)).rlike("^(?:..)*?00"), "binary")
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, rules: bool = False, ignore_file: str = ".gitignore") -> DataFrame:
     """path, size, content and reason (null if it is read) of every file below a folder of any Hadoop store.
 
-    Folders that a walk skips are left out. Content is read only where path and size allow it.
+    Without ``rules`` this is a walk: folders that a walk skips and those with a dot in front are
+    left out. With ``rules`` the ignore files of the folder decide instead, and only what belongs to
+    the version control itself is left out. Content is read only where path and size allow it.
     """
+    from graphloam.sources.ignore import ignore_rules, not_ignored
+
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), r"^[a-z]+:/*", "/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit(r"^\Q"), F.regexp_replace(base, "/+$", ""), F.lit(r"\E/+")), "")
-    kept = found.withColumn("path", path).filter(~F.col("path").rlike(rf"(?:^|/)(?:{'|'.join(d.replace('.', chr(92) + '.') for d in SKIPPED_DIRS)})/"))
+    named = found.withColumn("path", path)
+    if rules:
+        kept = named.filter(~F.col("path").rlike(r"(?:^|/)\.git/"))
+        texts = kept.filter(F.substring_index("path", "/", -1) == ignore_file).select("path", F.decode("content", "utf-8").alias("text"))
+        kept = not_ignored(kept, ignore_rules(texts))
+    else:
+        skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
+        kept = named.filter(~F.col("path").rlike(rf"(?:^|/)(?:{skipped}|\.[^/]*)/"))
     return kept.select("path", F.col("length").alias("size"), "content", F.coalesce(path_exclusion(F.col("path")), content_exclusion(F.col("content"), F.col("length"))).alias("reason"))
 
 
