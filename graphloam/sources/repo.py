@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloam.functions.ids import dir_of
 from graphloam.functions.text import hash_text, lines
+from graphloam.session import settle
 
 MAX_BYTES = 1024 * 1024
 SNIFF_BYTES = 8192
@@ -38,8 +44,89 @@ def content_exclusion(content: Column, size: Column) -> Column:
     return F.when(size > MAX_BYTES, "oversized").when(F.instr(F.hex(F.substring(content, 1, SNIFF_BYTES)), "00").cast("boolean") & F.hex(F.substring(content, 1, SNIFF_BYTES)).rlike("^(?:..)*?00"), "binary")
 
 
+def _store(root: str):
+    """(file system, folder) of a path or address, as tasks open it."""
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(root if "://" in root or root.startswith("/") else re.sub("^file:/*", "/", root))
+    return store, folder.rstrip("/")
+
+
+def _children(root: str):
+    """Arrow batches of folders below ``root`` to path, size, kind (folder, file, non-file, unreadable) of what is in them."""
+
+    def listing(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = _store(root)
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                try:
+                    infos = store.get_file_info(fs.FileSelector(f"{top}/{folder}" if folder else top or "/"))
+                except OSError:
+                    if not folder:
+                        raise
+                    rows.append((folder, 0, "unreadable"))
+                    continue
+                for info in infos:
+                    link = isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path)
+                    kind = "non-file" if link else {fs.FileType.Directory: "folder", fs.FileType.File: "file"}.get(info.type, "non-file")
+                    rows.append((f"{folder}/{info.base_name}" if folder else info.base_name, info.size or 0, kind))
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 10_000]], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "size", "kind"])
+
+    return listing
+
+
+def _contents(root: str):
+    """Arrow batches of path, size, reason to the same with content where there is no reason; a file that cannot be read is unreadable."""
+
+    def reading(batches):
+        import pyarrow as pa
+
+        store, top = _store(root)
+        for batch in batches:
+            paths, sizes, reasons = (c.to_pylist() for c in batch.columns)
+            held, room = [], 0
+            for i, path in enumerate(paths):
+                data, reason = None, reasons[i]
+                if reason is None:
+                    try:
+                        with store.open_input_stream(f"{top}/{path}") as f:
+                            data = f.read()
+                    except OSError:
+                        reason = "unreadable"
+                held.append((path, sizes[i], data, reason))
+                room += len(data or b"")
+                if room > 8 * MAX_BYTES or i == len(paths) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.string()))], ["path", "size", "content", "reason"])
+                    held, room = [], 0
+
+    return reading
+
+
+def walk(spark: SparkSession, root: str, opened: Callable[[Column], Column]) -> DataFrame:
+    """path, size, kind of everything below a folder, in folders for whose path ``opened`` holds.
+
+    One round for each level: tasks list the folders that the round before found, so that a folder
+    that is left out is never opened and no task walks a whole tree. Links are not followed. Spark's own
+    listing cannot be used: it passes over names that begin with a dot or an underscore.
+    """
+    frontier, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        found = settle(frontier.mapInArrow(_children(root), "path string, size long, kind string"))
+        levels.append(found.filter("kind <> 'folder'"))
+        frontier = found.filter("kind = 'folder'").select("path").filter(opened(F.col("path")))
+        n = frontier.count()
+        if not n:
+            return reduce(DataFrame.unionByName, levels)
+        frontier = frontier.repartition(min(-(-n // 16), spark.sparkContext.defaultParallelism * 8))
+
+
 def scan(spark: SparkSession, root: str, rules: bool = False, ignore_file: str = ".gitignore") -> DataFrame:
-    """path, size, content and reason (null if it is read) of every file below a folder of any Hadoop store.
+    """path, size, content and reason (null if it is read) of every file below a folder of any store that Arrow opens.
 
     Without ``rules`` this is a walk: folders that a walk skips and those with a dot in front are
     left out. With ``rules`` the ignore files of the folder decide instead, and only what belongs to
@@ -47,18 +134,15 @@ def scan(spark: SparkSession, root: str, rules: bool = False, ignore_file: str =
     """
     from graphloam.sources.ignore import ignore_rules, not_ignored
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root), r"^[a-z]+:/*", "/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), F.concat(F.lit(r"^\Q"), F.regexp_replace(base, "/+$", ""), F.lit(r"\E/+")), "")
-    named = found.withColumn("path", path)
+    name = lambda path: F.substring_index(path, "/", -1)
+    found = walk(spark, root, (lambda p: name(p) != ".git") if rules else (lambda p: ~name(p).isin(*SKIPPED_DIRS) & ~name(p).startswith(".")))
+    other = F.when(F.col("kind") != "file", F.col("kind"))
+    named = found.select("path", "size", F.coalesce(other, path_exclusion(F.col("path")), F.when(F.col("size") > MAX_BYTES, "oversized")).alias("reason"))
+    read = lambda df: df.mapInArrow(_contents(root), "path string, size long, content binary, reason string")
     if rules:
-        kept = named.filter(~F.col("path").rlike(r"(?:^|/)\.git/"))
-        texts = kept.filter(F.substring_index("path", "/", -1) == ignore_file).select("path", F.decode("content", "utf-8").alias("text"))
-        kept = not_ignored(kept, ignore_rules(texts))
-    else:
-        skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
-        kept = named.filter(~F.col("path").rlike(rf"(?:^|/)(?:{skipped}|\.[^/]*)/"))
-    return kept.select("path", F.col("length").alias("size"), "content", F.coalesce(path_exclusion(F.col("path")), content_exclusion(F.col("content"), F.col("length"))).alias("reason"))
+        texts = read(named.filter(name(F.col("path")) == ignore_file)).select("path", F.decode("content", "utf-8").alias("text"))
+        named = not_ignored(named, ignore_rules(texts))
+    return read(named).select("path", "size", "content", F.coalesce("reason", content_exclusion(F.col("content"), F.col("size"))).alias("reason"))
 
 
 def source_files(scanned: DataFrame) -> DataFrame:
@@ -103,8 +187,6 @@ def pack(rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """
     values = rows.select(F.col(column).alias("value")).distinct()
     ranged = values.repartitionByRange("value").sortWithinPartitions("value").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from graphloam.session import settle
-
     ranged = settle(ranged)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     offsets = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

@@ -75,8 +75,26 @@ def test_as_git(spark, tmp_path):
 
 
 def test_scan_skips(spark, tmp_path):
-    for path, text in {".gitignore": "*.log\n", "a.py": "x", "a.log": "x", ".hidden/b.py": "x", "sub/.gitignore": "!a.log\n", "sub/a.log": "x", "build/c.py": "x", ".env": "x"}.items():
+    texts = {".gitignore": "*.log\n", "a.py": "x", "a.log": "x", ".hidden/b.py": "x", "sub/.gitignore": "!a.log\n", "sub/a.log": "x", "build/c.py": "x", ".env": "x", "sub/deep/__init__.py": "x", "_priv.py": "x"}
+    for path, text in texts.items():
         (tmp_path / path).parent.mkdir(exist_ok=True)
         (tmp_path / path).write_text(text)
-    assert {r.path for r in repo.scan(spark, str(tmp_path)).collect()} == {".gitignore", "a.py", "a.log", "sub/.gitignore", "sub/a.log", ".env"}
-    assert {r.path for r in repo.scan(spark, str(tmp_path), rules=True).collect()} == {".gitignore", "a.py", "sub/.gitignore", "sub/a.log", ".env", "build/c.py"}
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "big.py").write_bytes(b"x" * (repo.MAX_BYTES + 1))
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        walked = {r.path: r.reason for r in repo.scan(spark, folder).collect()}
+        assert {p for p, r in walked.items() if r is None} == {p for p in texts if not p.startswith((".hidden", "build"))}
+        assert {p: r for p, r in walked.items() if r} == {"loop": "non-file", "big.py": "oversized"}
+    by_rules = repo.scan(spark, str(tmp_path), rules=True)
+    assert {r.path for r in by_rules.filter("reason is null").collect()} == set(texts) - {"a.log"}
+    assert by_rules.filter("reason = 'oversized'").select("content").collect() == [(None,)]
+
+
+def test_walk_of_many_levels(spark, tmp_path):
+    deep = tmp_path.joinpath(*[f"d{i}" for i in range(12)])
+    deep.mkdir(parents=True)
+    for i in range(40):
+        (deep / f"{i}.py").write_text(str(i))
+    assert sorted(int(r.content.decode()) for r in repo.scan(spark, str(tmp_path)).collect()) == list(range(40))
+    (tmp_path / "none").mkdir()
+    assert repo.scan(spark, str(tmp_path / "none")).count() == 0
