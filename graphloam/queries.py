@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloam.plans import derived, graph, joins, placement, rows, rules, scalars, text, view, views  # noqa: F401  each registers its queries
+from graphloam.plans import derived, graph, guides, joins, placement, rows, rules, scalars, text, view, views  # noqa: F401  each registers its queries
 from graphloam.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
