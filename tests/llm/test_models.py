@@ -39,6 +39,26 @@ def test_nearest_recall_and_scores(spark):
     assert hits / (5 * len(best)) >= 0.95 and all(sorted(x) == [1, 2, 3, 4, 5] for x in found.values())
 
 
+def test_nearest_of_crowded_vectors(spark):
+    rng = np.random.default_rng(5)
+    crowd = (np.array([3.0, -1.0, 2.0, 5.0, 1.0, 1.0, 0.5, -4.0]) + 1e-4 * rng.normal(size=(1500, 8))).astype(np.float32)  # closer to each other than codes tell
+    wide = rng.normal(size=(300, 8)).astype(np.float32)
+    scaled = (np.outer(2.0 ** rng.integers(-3, 4, 600), wide[0]) * np.repeat([1, 3], 300)[:, None]).astype(np.float32)
+    vectors = dict(enumerate(np.concatenate([crowd, wide, scaled]).tolist()))
+    found = {}
+    for r in ann.nearest(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = np.array(list(vectors.values()), np.float64)
+    for q, rows in found.items():
+        dot, norm = np.zeros(len(x)), np.zeros(len(x))
+        for column in x.T:
+            dot, norm = dot + column * column[q], norm + column * column
+        score = dot / (np.sqrt(norm) * np.sqrt(norm[q]))
+        best = sorted((-s, i) for i, s in enumerate(score.tolist()) if i != q)[:5]
+        assert sorted(rows) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert len(found) == len(vectors) // 50
+
+
 def test_nearest_edges(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
