@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.session import settle_round as settle
+from graphloam.session import small
 
 
 def first_tier(sites: DataFrame, tiers: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
@@ -102,16 +103,41 @@ def closest_unique(candidates: DataFrame, site: str, rank: str, target: str) ->
 def divides(owners: DataFrame, required: DataFrame, owner: str, member: str, demander: str) -> DataFrame:
     """owner, demander: owners whose members cover all that a demander requires (relational division).
 
-    Only owners of a demander's rarest member are looked at further, so that a member which
-    everything has does not pair everything with everything.
+    Owners of the same members are one class, and so are demanders of the same requirements; classes are divided, and
+    what fits is expanded where the owners are, in as many tasks as there are shuffle partitions. Only
+    classes with a demander's rarest member are looked at further, so that a member which everything has
+    does not pair everything with everything, and a pair is tested on the two sets themselves, so
+    that it stays one row. A requirement of null is never met; no demander is none.
     """
-    owners, required = owners.select(owner, member).distinct(), required.select(demander, member).distinct()
-    common = owners.groupBy(member).agg(F.count("*").alias("_have"))
-    need = required.join(common, member, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
-    rarest = need.groupBy(demander).agg(F.min(F.struct("_have", member)).alias("_r"), F.count("*").alias("_need")).select(demander, F.col(f"_r.{member}").alias(member), "_need")
-    probes = rarest.join(owners, member).select(demander, "_need", owner)
-    matched = probes.join(required, demander).join(owners, [owner, member]).groupBy(owner, demander, "_need").agg(F.count("*").alias("_got"))
-    return matched.filter("_got = _need").select(owner, demander)
+    spark = owners.sparkSession
+    has = _sets(owners.filter(F.col(member).isNotNull()), owner, member)
+    lacks = required.filter(F.col(member).isNull()).select(demander).distinct()
+    needs = _sets(required.filter(F.col(member).isNotNull() & F.col(demander).isNotNull()).join(lacks, demander, "left_anti"), demander, member)
+    have, need = _classes(has, "_have"), _classes(needs, "_need")
+    held = have.select("_have", F.explode("_set").alias("_m"))
+    common = held.groupBy("_m").agg(F.count("*").alias("_n"))
+    wanted = need.select("_need", F.explode("_set").alias("_m")).join(common, "_m", "left")
+    rarest = wanted.groupBy("_need").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_m")).alias("_r")).select("_need", F.col("_r._m").alias("_m"))
+    probes = rarest.join(held, "_m").select("_need", "_have").join(need.withColumnRenamed("_set", "_w"), "_need").join(have, "_have")
+    fits = settle(probes.filter(F.size(F.array_except("_w", "_set")) == 0).select("_have", "_need"))
+    # an owner and what its class covers, then the demanders of that
+    met = _named(needs, need, "_need").select(demander, "_need")
+    named = _named(has, have, "_have").select(owner, "_have").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return named.join(small(fits), "_have").join(small(settle(met)), "_need").select(owner, demander)
+
+
+def _sets(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """key, _set: all members of each key, in order."""
+    return settle(rows.select(key, member).distinct().groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("_set")))
+
+
+def _classes(sets: DataFrame, name: str) -> DataFrame:
+    """name, _set: one number for each distinct set."""
+    return settle(sets.select("_set").distinct().withColumn(name, F.monotonically_increasing_id()))
+
+
+def _named(sets: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    return sets.join(small(classes), "_set")
 
 
 def match_requests(requests: DataFrame, routes: DataFrame) -> DataFrame:

@@ -275,3 +275,16 @@ def test_word_diff_keeps_a_longest_common_subsequence(monkeypatch):
     assert diff.changed_words("", "a b") == ([], ["a", "b"]) and diff.changed_words("a b", "a b") == ([], [])
     monkeypatch.setattr(diff, "MOST_CELLS", 4)
     assert diff.changed_words("a b x y c d", "a b z c d") == (["x", "y"], ["z"])
+
+
+def test_divides_by_classes_of_equal_sets(spark):
+    members = [f"m{i}" for i in range(12)]
+    owners = [(o, m) for o in [None, *range(40)] for m in members if o is None or o % 5 or m != "m3"] + [(99, None), (98, "m3"), (98, "m3")]
+    required = [(d, m) for d in range(30) for m in (members if d % 2 else members[:3])] + [(50, "m3"), (51, "m0"), (51, None), (52, "other"), (None, "m0")]
+    have, need = {}, {}
+    for table, rows in ((have, owners), (need, required)):
+        for k, m in rows:
+            table.setdefault(k, set()).add(m)
+    expected = {(o, d) for o in have for d in need if d is not None and None not in need[d] and need[d] <= have[o]}
+    got = resolve.divides(spark.createDataFrame(owners, "owner int, member string"), spark.createDataFrame(required, "demander int, member string"), "owner", "member", "demander").collect()
+    assert len(got) == len(expected) and {(r.owner, r.demander) for r in got} == expected
