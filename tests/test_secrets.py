@@ -51,3 +51,17 @@ def test_findings_by_kind_of_file(spark):
 @pytest.mark.parametrize("path,entry", [("a/vite.config.ts", True), ("a/.eslintrc", True), ("a/x.d.ts", True), ("a/x.config-dev.js", True), ("a/config.py", False), ("a/x.config", False), ("a/xd.ts", False), ("bin/tool", True), ("src/index.ts", True)])
 def test_entry_files(spark, path, entry):
     assert spark.createDataFrame([(path,)], "p string").select(vw.is_entry(F.col("p"))).first()[0] is entry
+
+
+def test_query_of_secrets_says_what_its_sql_says(spark, tmp_path):
+    from parity import difference
+
+    from graphloam.queries import ORACLES, QUERIES
+
+    lines = [
+        "key AKIA" + "1234567890ABCDEF", "password = 'abcd1234efgh' # AKIA" + "1234567890ABCDEF", "token: \"changeme123\"", "my.api-key => `example1value`",
+        "--secret='a1b2c3d4'", "épassword='a1b2c3d4'", "pwd := \"short1\"", "token == 'abcd1234efgh'", "password = 'with space 12'", "password='UPPER1234' secret='lower1234'",
+        "passwords='abcd1234'", "access_key\"\t:\t\"abcdefgh1\"", "to\u212aen='abcd1234efgh'", "x" * 50 + "secret_key='" + "a1" * 100 + "'", "secretkey='" + "a1" * 101 + "'", "https://u:abcdef12@h/", "token='é1é1é1é1a'", "PASSWD='a1234567\u00a08'",
+    ]
+    spark.createDataFrame([(1, "en", "s", "\n".join(lines)), (2, "en", "s", None), (3, "en", "s", "\r\n".join(lines[::-1]))], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert difference(QUERIES["secret_scan"](spark, str(tmp_path)), ORACLES["secret_scan"], str(tmp_path)) is None
