@@ -486,3 +486,11 @@ def test_method_order_is_that_of_python(spark):
     assert None in [v for k, v in expected.items() if k.startswith("t")]
     got = rs.method_order(spark.createDataFrame([("alone",)], "type string"), spark.createDataFrame(bases, "type string, base string, ord int"))
     assert {r.type: r.order for r in got.collect()} == expected
+
+
+def test_rounds_of_a_contraction_go_by_length_not_by_nodes(spark):
+    ring = [(f"r{r:03}{i}", f"r{r:03}{(i + 1) % 6}") for r in range(200) for i in range(6)]
+    left, merged = cl._contract(spark.createDataFrame(ring + [(f"c{i}", f"c{i + 1}") for i in range(6)], "src string, dst string"))
+    assert left.isEmpty() and len(merged.jumps) <= 4
+    roots = dict(rows(merged.roots))
+    assert roots == {a: a[:4] + "0" for a, _ in ring if a[4] != "0"} | {f"c{i}": "c6" for i in range(6)}
