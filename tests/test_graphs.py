@@ -494,3 +494,13 @@ def test_rounds_of_a_contraction_go_by_length_not_by_nodes(spark):
     assert left.isEmpty() and len(merged.jumps) <= 4
     roots = dict(rows(merged.roots))
     assert roots == {a: a[:4] + "0" for a, _ in ring if a[4] != "0"} | {f"c{i}": "c6" for i in range(6)}
+
+
+def test_ref_tree_writes_only_what_was_joined(spark, monkeypatch):
+    written, settle = [], cl.settle
+    monkeypatch.setattr(cl, "settle", lambda df: written.append(settle(df)) or written[-1])
+    refs, hops = [("a", "b"), ("a", "c"), ("b", "d"), ("x", "d"), ("d", "e")], [("b", "x")]
+    tree = cl.ref_tree(spark.createDataFrame(refs, "src string, dst string"), spark.createDataFrame(hops, "src string, dst string"), spark.createDataFrame([("a",)], "seed string"), 2)
+    # the three inputs, two for each level, and one for each round of hops: two on the first level, one on the second
+    assert len(written) == 3 + 2 * 2 + 3
+    assert {(r.parent, r.node, r.level, r.hop) for r in tree.collect()} == {("a", "b", 1, False), ("a", "c", 1, False), ("b", "x", 1, True), ("b", "d", 2, False), ("x", "d", 2, False)}
