@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloam.functions.ids import dir_of, directories
-from graphloam.session import settle, small
+from graphloam.session import BROADCAST_ROWS, settle
 
 #: The pieces of a pattern: an escaped sign, a set, folders at the start of a segment, all below at the end, stars, one sign.
 _PIECES = r"\\.|\[[!^]?\]?[^\]]*\]|(?:^|(?<=/))\*\*/|(?<=/)\*\*$|\*+|."
 
 
+#: Folders with rules that are met without a shuffle, if there are too many to broadcast them all: those above most paths.
+HOT_FOLDERS = 10_000
+
+
 def _quoted(sign: Column) -> Column:
     return F.concat(F.lit(r"\Q"), sign, F.lit(r"\E"))
 
@@ -62,15 +66,28 @@ def ignore_rules(files: DataFrame) -> DataFrame:
     return rows.select("dir", "ord", pattern_regex(F.col("line")).alias("regex"), "negated", "folders")
 
 
+def _by_folder(rows: DataFrame, table: DataFrame, folder: str, how: str = "inner") -> DataFrame:
+    """Join of rows, one for each folder above a path, with a settled table that has a folder once.
+
+    The top and its folders stand above nearly all paths, so that a join by folder would put all of them
+    into one task. A table that is too large to broadcast is cut: its folders above most paths are broadcast, the others shuffled.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), folder, how)
+    heat = rows.groupBy(folder).agg(F.count("*").alias("_n")).join(table.select(folder), folder, "left_semi")
+    keys = F.broadcast(settle(heat.orderBy(F.desc("_n")).limit(HOT_FOLDERS).select(folder)))
+    hot = rows.join(F.broadcast(table.join(keys, folder, "left_semi")), folder, how)
+    return hot.unionByName(rows.join(keys, folder, "left_anti").join(table, folder, how))
+
+
 def _decided(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """path of the entries (path, is_folder) that the rules themselves ignore, whatever stands above them."""
     by_dir = settle(rules.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("ord", "regex", "negated", "folders"))).alias("rules")))
     holds = entries.select("path", "is_folder", F.explode(F.concat(F.array(F.lit("")), directories(F.col("path")))).alias("dir"))
     below = F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(dir) + 2)"))
-    met = holds.join(small(by_dir), "dir").withColumn("_below", below)
-    last = F.element_at(F.filter("rules", lambda r: (~r["folders"] | F.col("is_folder")) & F.regexp_like(F.col("_below"), r["regex"])), -1)
-    # with no rule that matches, element_at of an empty array would be an error in strict sessions
-    last = F.when(F.exists("rules", lambda r: (~r["folders"] | F.col("is_folder")) & F.regexp_like(F.col("_below"), r["regex"])), last)
+    met = _by_folder(holds, by_dir, "dir").withColumn("_below", below)
+    # null with no rule that matches
+    last = F.try_element_at(F.filter("rules", lambda r: (~r["folders"] | F.col("is_folder")) & F.regexp_like(F.col("_below"), r["regex"])), F.lit(-1))
     said = met.select("path", F.length("dir").alias("_deep"), last.alias("_last")).filter("_last is not null")
     return said.groupBy("path").agg(F.max_by("_last.negated", "_deep").alias("_kept")).filter("not _kept").select("path")
 
@@ -84,7 +101,8 @@ def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     files = settle(paths.select("path").filter("path is not null").distinct())
     above = files.select(F.explode(directories(F.col("path"))).alias("path")).distinct()
     closed = settle(_decided(above.withColumn("is_folder", F.lit(True)), rules))
-    inside = files.select("path", F.explode(directories(F.col("path"))).alias("_above")).join(small(closed.withColumnRenamed("path", "_above")), "_above", "left_semi").select("path")
+    each = files.select("path", F.explode(directories(F.col("path"))).alias("_above"))
+    inside = _by_folder(each, closed.withColumnRenamed("path", "_above"), "_above", "left_semi").select("path")
     return _decided(files.withColumn("is_folder", F.lit(False)), rules).unionByName(inside).distinct()
 
 

@@ -39,6 +39,20 @@ def test_edges(spark):
     assert sorted((r.path or "", r.rules) for r in ignore.not_ignored(rows, rules).collect()) == [("", 3), ("b", 2), ("b", 2)]
 
 
+def test_hot_folders(spark, monkeypatch):
+    files = HAND | {f"sub/d{i}/.gitignore": "!*.log" for i in range(5)}
+    paths = [*PATHS, *[f"sub/d{i}/{j}.log" for i in range(5) for j in range(4)], *[f"sub/e/{j}.log" for j in range(40)]]
+    want = _ignored(spark, paths, _rules(spark, files))
+    monkeypatch.setattr(ignore, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(ignore, "HOT_FOLDERS", 2)
+    assert _ignored(spark, paths, _rules(spark, files)) == want and "sub/e/0.log" in want and "sub/d1/0.log" not in want
+    # rows of the folder above most paths stay in the tasks that have them
+    rows = spark.range(800, numPartitions=4).selectExpr("if(id % 100 = 99, cast(id as string), 'top') as dir", "id")
+    table = spark.createDataFrame([("top", 1), *[(str(i), 2) for i in range(99, 800, 100)]], "dir string, rule int").localCheckpoint()
+    met = ignore._by_folder(rows, table, "dir").selectExpr("*", "spark_partition_id() as p")
+    assert met.count() == 800 and met.filter("dir = 'top'").select("p").distinct().count() == 4
+
+
 @pytest.mark.skipif(shutil.which("git") is None, reason="needs git")
 def test_as_git(spark, tmp_path):
     rng = random.Random(5)
