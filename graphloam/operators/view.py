@@ -8,7 +8,8 @@ containers, what they cover) is settled and broadcast if its size allows.
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +23,26 @@ from graphloam.session import small
 ROOT = "repo"
 
 
-class View(NamedTuple):
-    """nodes(id, parent, container), edges(id, kind, a, b, n, resolution, stored, label), stubs(direction, inside, ghost, n, kinds)."""
+class View:
+    """nodes(id, parent, container), edges(id, kind, a, b, n, resolution, stored, label), stubs(direction, inside, ghost, n, kinds).
 
-    nodes: DataFrame
-    edges: DataFrame
-    stubs: DataFrame
+    Each is made when it is first asked for: boxes need no reference, and arrows no ghosts.
+    """
+
+    def __init__(self, nodes: Callable[[], DataFrame], edges: Callable[[], DataFrame], stubs: Callable[[], DataFrame]) -> None:
+        self._nodes, self._edges, self._stubs = nodes, edges, stubs
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._nodes()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._edges()
+
+    @cached_property
+    def stubs(self) -> DataFrame:
+        return self._stubs()
 
 
 def edge_id(kind: Column, a: Column, b: Column) -> Column:
@@ -110,7 +125,9 @@ def _flows(refs: DataFrame, reps: DataFrame) -> DataFrame:
     loop = "a = b and not (kind = 'calls' and src = dst and src = a)"
     seen = both.filter(f"a is null or b is null or not ({loop})")
     outside = F.when(F.col("a").isNull(), F.col("src")).when(F.col("b").isNull(), F.col("dst"))
-    return settle(seen.groupBy("kind", "a", "b", outside.alias("outside")).agg(F.count("*").alias("n"), F.min("resolution").alias("least"), F.max("resolution").alias("most")))
+    # references are counted by hash; least and greatest of texts are sorted for, so they are taken of the counts
+    counts = seen.groupBy("kind", "a", "b", outside.alias("outside"), "resolution").agg(F.count("*").alias("n"))
+    return settle(counts.groupBy("kind", "a", "b", "outside").agg(F.sum("n").alias("n"), F.min("resolution").alias("least"), F.max("resolution").alias("most")))
 
 
 def _dispatched(refs: DataFrame, reps: DataFrame, dispatch: DataFrame) -> DataFrame:
@@ -122,7 +139,8 @@ def _dispatched(refs: DataFrame, reps: DataFrame, dispatch: DataFrame) -> DataFr
     a, b = reps.select(F.col("node").alias("src"), F.col("rep").alias("a")), reps.select(F.col("node").alias("dst"), F.col("rep").alias("b"))
     found = calls.join(a, "src").join(b, "dst", "left").filter("c <> a and (b is null or c <> b)")
     trust = F.when(F.col("trust") == "precise", F.col("resolution")).otherwise("heuristic")
-    return found.groupBy("kind", "a", F.col("c").alias("b")).agg(F.count("*").alias("n"), F.min(trust).alias("least"), F.max(trust).alias("most"))
+    counts = found.groupBy("kind", "a", F.col("c").alias("b"), trust.alias("trust")).agg(F.count("*").alias("n"))
+    return counts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min("trust").alias("least"), F.max("trust").alias("most"))
 
 
 def ghost_targets_of(outside: DataFrame, held: DataFrame, cover: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -169,51 +187,67 @@ def derive_graph(
     drawn = settle(include.select("element").distinct().join(nodes.select(F.col("id").alias("element")), "element", "left_semi"))
     view = small(drawn)
     held = containers(ancestors, memberships)
-    best = held.join(view, "element", "left_semi").groupBy("node").agg(F.min(F.struct("level", "sub", "element"))["element"].alias("rep"))
-    reps = settle(best)
     parents = box_parents(view, held)
     inside = drawn_inside(parents)
     gone = settle(hidden.select("element").distinct()) if hidden is not None else drawn.limit(0)
-
-    used = refs if kinds is None else refs.filter(F.col("kind").isin(kinds))
-    if excluded is not None:
-        named = named_files(view, nodes, memberships)
-        used = without_files(used, excluded, named)
-        if dispatch is not None:
-            dispatch = dispatch.join(small(settle(excluded.join(named, "file", "left_anti").select(F.col("file").alias("target_file")))), "target_file", "left_anti")
-    flows = _flows(used, reps)
-    arrows = flows.filter("outside is null").select("kind", "a", "b", "n", "least", "most")
-    if dispatch is not None:
-        arrows = arrows.unionByName(_dispatched(used, reps, dispatch))
-    summed = not_nested(arrows, inside).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    common = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("mixed")
-    edges = summed.select(edge_id(F.col("kind"), F.col("a"), F.col("b")).alias("id"), "kind", "a", "b", "n", common.alias("resolution"), F.lit(False).alias("stored"), F.lit(None).cast("string").alias("label"))
-
-    touching = flows.filter("outside is not null").select(F.when(F.col("a").isNull(), "in").otherwise("out").alias("direction"), F.coalesce("a", "b").alias("inside"), F.col("outside").alias("node"), "kind", "n")
-    if stored is not None:
-        edges, more, through = _with_stored(edges, stored, nodes, reps, inside)
-        # what a stored path names in between is part of its arrow and no stub
-        ways = held.join(touching.select("node").distinct(), "node", "left_semi").join(through.select("via").distinct(), F.col("element") == F.col("via"), "left_semi")
-        part = touching.select("inside", "node").distinct().join(ways.select("node", F.col("element").alias("via")), "node").join(through, ["inside", "via"], "left_semi").select("inside", "node").distinct()
-        touching = touching.join(part, ["inside", "node"], "left_anti").unionByName(more)
-
-    touching, cover = settle(touching), settle(covered(view, ancestors, memberships))
-    targets = settle(ghost_targets_of(touching, held, cover, nodes))
-    found = touching.join(targets, "node").groupBy("direction", "inside", "target").agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("kind")).alias("kinds"))
-    # no place outside holds the box itself, or is in it
-    above = settle(held.join(view.select(F.col("element").alias("node")), "node", "left_semi").select(F.col("node").alias("inside"), F.col("element").alias("target")).distinct())
-    below = held.join(view, "element", "left_semi").select(F.col("element").alias("inside"), F.col("node").alias("target"))
-    found = settle(found.join(small(above), ["inside", "target"], "left_anti").join(below, ["inside", "target"], "left_anti"))
-    stubs = _stubs(found, nodes, cover, gone, stub_mode, most)
-
     left = small(gone)
-    edges = edges.join(left.withColumnRenamed("element", "a"), "a", "left_anti").join(left.withColumnRenamed("element", "b"), "b", "left_anti").join(left.withColumnRenamed("element", "id"), "id", "left_anti")
-    seen = drawn.join(left, "element", "left_anti").select(F.col("element").alias("id"))
-    open_ = inside.join(left.withColumnRenamed("element", "outer"), "outer", "left_anti").groupBy(F.col("inner").alias("id")).agg(F.min(F.struct("depth", "outer"))["outer"].alias("parent"))
-    placed = seen.join(open_, "id", "left")
-    full = placed.filter("parent is not null").select(F.col("parent").alias("id"), F.lit(True).alias("full")).distinct()
-    boxes = placed.join(full, "id", "left").select("id", "parent", F.coalesce("full", F.lit(False)).alias("container"))
-    return View(boxes, edges.select("id", "kind", "a", "b", "n", "resolution", "stored", "label"), stubs)
+
+    @cache
+    def counted() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """reps; derived arrows; references between a box and what is in none."""
+        reps = settle(held.join(view, "element", "left_semi").groupBy("node").agg(F.min(F.struct("level", "sub", "element"))["element"].alias("rep")))
+        used = refs if kinds is None else refs.filter(F.col("kind").isin(kinds))
+        calls = dispatch
+        if excluded is not None:
+            named = named_files(view, nodes, memberships)
+            used = without_files(used, excluded, named)
+            if dispatch is not None:
+                calls = dispatch.join(small(settle(excluded.join(named, "file", "left_anti").select(F.col("file").alias("target_file")))), "target_file", "left_anti")
+        flows = _flows(used, reps)
+        arrows = flows.filter("outside is null").select("kind", "a", "b", "n", "least", "most")
+        if calls is not None:
+            arrows = arrows.unionByName(_dispatched(used, reps, calls))
+        summed = not_nested(arrows, inside).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        common = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("mixed")
+        edges = summed.select(edge_id(F.col("kind"), F.col("a"), F.col("b")).alias("id"), "kind", "a", "b", "n", common.alias("resolution"), F.lit(False).alias("stored"), F.lit(None).cast("string").alias("label"))
+        touching = flows.filter("outside is not null").select(F.when(F.col("a").isNull(), "in").otherwise("out").alias("direction"), F.coalesce("a", "b").alias("inside"), F.col("outside").alias("node"), "kind", "n")
+        return reps, settle(edges), touching
+
+    @cache
+    def with_stored() -> tuple[DataFrame, DataFrame, DataFrame]:
+        reps, edges, _ = counted()
+        return _with_stored(edges, stored, nodes, reps, inside)
+
+    def shown_edges() -> DataFrame:
+        edges = counted()[1] if stored is None else with_stored()[0]
+        edges = edges.join(left.withColumnRenamed("element", "a"), "a", "left_anti").join(left.withColumnRenamed("element", "b"), "b", "left_anti").join(left.withColumnRenamed("element", "id"), "id", "left_anti")
+        return edges.select("id", "kind", "a", "b", "n", "resolution", "stored", "label")
+
+    def shown_stubs() -> DataFrame:
+        touching = counted()[2]
+        if stored is not None:
+            _, more, through = with_stored()
+            # what a stored path names in between is part of its arrow and no stub
+            ways = held.join(touching.select("node").distinct(), "node", "left_semi").join(through.select("via").distinct(), F.col("element") == F.col("via"), "left_semi")
+            part = touching.select("inside", "node").distinct().join(ways.select("node", F.col("element").alias("via")), "node").join(through, ["inside", "via"], "left_semi").select("inside", "node").distinct()
+            touching = touching.join(part, ["inside", "node"], "left_anti").unionByName(more)
+        touching, cover = settle(touching), settle(covered(view, ancestors, memberships))
+        targets = settle(ghost_targets_of(touching, held, cover, nodes))
+        found = touching.join(targets, "node").groupBy("direction", "inside", "target").agg(F.sum("n").alias("n"), F.sort_array(F.collect_set("kind")).alias("kinds"))
+        # no place outside holds the box itself, or is in it
+        above = settle(held.join(view.select(F.col("element").alias("node")), "node", "left_semi").select(F.col("node").alias("inside"), F.col("element").alias("target")).distinct())
+        below = held.join(view, "element", "left_semi").select(F.col("element").alias("inside"), F.col("node").alias("target"))
+        found = settle(found.join(small(above), ["inside", "target"], "left_anti").join(below, ["inside", "target"], "left_anti"))
+        return _stubs(found, nodes, cover, gone, stub_mode, most)
+
+    def shown_boxes() -> DataFrame:
+        seen = drawn.join(left, "element", "left_anti").select(F.col("element").alias("id"))
+        open_ = inside.join(left.withColumnRenamed("element", "outer"), "outer", "left_anti").groupBy(F.col("inner").alias("id")).agg(F.min(F.struct("depth", "outer"))["outer"].alias("parent"))
+        placed = seen.join(open_, "id", "left")
+        full = placed.filter("parent is not null").select(F.col("parent").alias("id"), F.lit(True).alias("full")).distinct()
+        return placed.join(full, "id", "left").select("id", "parent", F.coalesce("full", F.lit(False)).alias("container"))
+
+    return View(shown_boxes, shown_edges, shown_stubs)
 
 
 def _with_stored(edges: DataFrame, stored: DataFrame, nodes: DataFrame, reps: DataFrame, inside: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloam import bindings as b
 from graphloam.operators import view as v
 from graphloam.plans.registry import query
+from graphloam.session import settle_round as settle
 
 _KINDS = {"R": "calls", "A": "reads", "N": "references"}
 
@@ -38,7 +39,8 @@ def _view(spark, sf):
     nations = table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("rk"))
     cust = table("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(F.broadcast(nations), "c_nationkey")
     root = F.lit(v.ROOT).alias("root")
-    orders, supp = b.order_places(spark, sf), b.supplier_places(spark, sf)
+    # read for ancestors, elements and files alike
+    orders, supp = settle(b.order_places(spark, sf)), b.supplier_places(spark, sf)
     customers = cust.select(b.tag("c:", "c_custkey").alias("node"), b.tag("n:", "c_nationkey").alias("nation"), b.tag("r:", "rk").alias("region"))
     lands = nations.select(b.tag("n:", "c_nationkey").alias("node"), b.tag("r:", "rk").alias("region"))
     regions = table("region").select(b.tag("r:", "r_regionkey").alias("node"))

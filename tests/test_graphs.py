@@ -423,6 +423,21 @@ def test_view_against_the_rules_one_by_one(spark, seed):
     assert rows(got.stubs) == expected[2]
 
 
+def test_view_makes_what_is_asked_for(spark, monkeypatch):
+    frame = spark.createDataFrame
+    nodes = frame([("repo", "dir", None), ("file:a", "file", "file:a"), ("file:b", "file", "file:b"), ("file:c", "file", "file:c")], "id string, kind string, file string")
+    above = frame([(f"file:{x}", *y) for x in "abc" for y in ((f"file:{x}", 0), ("repo", 1))] + [("repo", "repo", 0)], "node string, ancestor string, level int")
+    refs = frame([("file:a", "file:b", "calls", "precise", "file:a", "file:b"), ("file:a", "file:b", "calls", "heuristic", "file:a", "file:b"), ("file:a", "file:c", "calls", None, "file:a", "file:c")], "src string, dst string, kind string, resolution string, src_file string, dst_file string")
+    include = frame([("file:a",), ("file:b",)], "element string")
+    unread = refs.withColumn("kind", vw.F.raise_error(vw.F.lit("references were read")).cast("string"))
+    assert rows(vw.derive_graph(nodes, above, unread, include).nodes) == [("file:a", None, False), ("file:b", None, False)]
+    got = vw.derive_graph(nodes, above, refs, include)
+    with monkeypatch.context() as patch:
+        patch.delattr(vw, "ghost_targets_of")
+        assert [r[1:6] for r in rows(got.edges)] == [("calls", "file:a", "file:b", 2, "mixed")]
+    assert rows(got.stubs) == [("out", "file:a", "file:c", 1, ["calls"])]
+
+
 def test_default_view_and_stubs_that_open(spark):
     tree = [("repo", None), ("dir:src", "repo"), ("dir:src/app", "dir:src"), ("dir:src/app/a", "dir:src/app"), ("file:x", "dir:src/app"), ("file:y", "dir:src/app/a"), ("sym:y.f", "file:y")]
     parents = spark.createDataFrame(tree, "node string, parent string")
