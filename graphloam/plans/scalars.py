@@ -128,4 +128,6 @@ AND list_sum(list_transform(list_distinct(regexp_extract_all(v, '.')), lambda c:
 FROM (SELECT p_partkey, p_retailprice, substr(md5(p_name), 1, 4 + (p_partkey % 20)::INT) || CASE WHEN p_partkey % 3 = 0 THEN 'Q' ELSE '' END AS v FROM part)""")
 def looks_secret(spark, sf):
     v = F.concat(F.expr("substr(md5(p_name), 1, cast(4 + p_partkey % 20 as int))"), F.when(F.col("p_partkey") % 3 == 0, "Q").otherwise(""))
-    return table(spark, sf, "part").select("p_partkey", ((F.col("p_retailprice") > 0) & tx.looks_secret(v)).alias("secret"))
+    # a file of names is small for the work on them, so it would be one task
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.select("p_partkey", ((F.col("p_retailprice") > 0) & tx.looks_secret(v)).alias("secret"))

@@ -301,3 +301,9 @@ def test_divides_asks_for_brands_of_whole_kinds(spark, sf):
     for r in parts.collect():
         need.setdefault(f"{r.p_type}/{r.p_partkey % 100}", set()).add(r.p_brand)
     assert {tuple(r) for r in QUERIES["divides"](spark, sf).collect()} == {(o, d) for o in have for d in need if need[d] <= have[o]}
+
+
+def test_looks_secret_in_many_tasks(spark, sf):
+    from graphloam.plans import scalars
+
+    assert scalars.looks_secret(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
