@@ -97,7 +97,8 @@ def closest_unique(candidates: DataFrame, site: str, rank: str, target: str) ->
     """The candidate of the least rank of each site, if it is the only one of that rank."""
     least = F.min(rank).over(Window.partitionBy(site))
     best = candidates.withColumn("_least", least).filter(F.col(rank) == F.col("_least"))
-    return best.groupBy(site, rank).agg(F.count_distinct(target).alias("_n"), F.min(target).alias(target)).filter("_n = 1").drop("_n")
+    # least and greatest alike: one candidate, without a table of the different ones
+    return best.groupBy(site, rank).agg(F.max(target).alias("_last"), F.min(target).alias(target)).filter(F.col("_last") == F.col(target)).drop("_last")
 
 
 def divides(owners: DataFrame, required: DataFrame, owner: str, member: str, demander: str) -> DataFrame:

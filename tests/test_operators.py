@@ -307,3 +307,15 @@ def test_looks_secret_in_many_tasks(spark, sf):
     from graphloam.plans import scalars
 
     assert scalars.looks_secret(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_closest_unique_meets_the_ends_of_a_block(spark, sf, monkeypatch):
+    from graphloam import bindings
+    from graphloam.operators import resolve
+    from graphloam.plans import joins
+
+    met = []
+    monkeypatch.setattr(resolve, "closest_unique", lambda candidates, *names: met.append(candidates) or candidates)
+    joins.closest_unique(spark, sf)
+    orders = bindings.table(spark, sf, "orders").count()
+    assert 0 < met[0].count() <= 2 * orders
