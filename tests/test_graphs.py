@@ -519,3 +519,14 @@ def test_ref_tree_writes_only_what_was_joined(spark, monkeypatch):
     # the three inputs, two for each level, and one for each round of hops: two on the first level, one on the second
     assert len(written) == 3 + 2 * 2 + 3
     assert {(r.parent, r.node, r.level, r.hop) for r in tree.collect()} == {("a", "b", 1, False), ("a", "c", 1, False), ("b", "x", 1, True), ("b", "d", 2, False), ("x", "d", 2, False)}
+
+
+def test_type_groups_make_their_links_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def next_of(i):
+        made.add(1)
+        return i + 1
+
+    links = spark.range(0, 60, 2).select(vw.F.col("id").alias("src"), vw.F.udf(next_of, "long").asNondeterministic()("id").alias("dst"))
+    assert rows(views.type_groups(links)) == sorted(((i + j, i) for i in range(0, 60, 2) for j in (0, 1)), key=str) and made.value == 30
