@@ -530,3 +530,36 @@ def test_type_groups_make_their_links_once(spark):
 
     links = spark.range(0, 60, 2).select(vw.F.col("id").alias("src"), vw.F.udf(next_of, "long").asNondeterministic()("id").alias("dst"))
     assert rows(views.type_groups(links)) == sorted(((i + j, i) for i in range(0, 60, 2) for j in (0, 1)), key=str) and made.value == 30
+
+
+def plain_trail(views, most=None):
+    """Views above each view by level, nearest level last; of several ways the shortest."""
+    up = defaultdict(set)
+    for v, p in views:
+        up[v] |= {p} - {None}
+    out = []
+    for v in {v for v, _ in views}:
+        seen, level, trail, depth = {v}, {v} - {None}, [], 0
+        while level and (most is None or depth < most):
+            level, depth = {p for x in level for p in up[x]} - seen, depth + 1
+            seen |= level
+            trail = sorted(level) + trail
+        out.append((v, trail))
+    return sorted(out, key=str)
+
+
+def test_trails_by_doubling(spark, monkeypatch):
+    chain = [(f"v{i}", f"v{i - 1}" if i else None) for i in range(20)]
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("into", "a"), ("self", "self"), ("below", "self")]
+    odd = [("out", "unknown"), (None, "a"), ("v3", None), ("a", "b")]
+    for seed in range(3):
+        rng = random.Random(seed)
+        worlds = chain + ring + odd + [(f"r{i}", f"r{rng.randrange(12)}") for i in range(12)]
+        for most in (None, 1, 3):
+            df = spark.createDataFrame(worlds, "view string, parent string")
+            with monkeypatch.context() as m:
+                m.setattr(views, "closure", None)  # one parent each: no set of all pairs is made
+                assert sorted(((r.view, r.trail) for r in views.zoom_trail(df, most).collect()), key=str) == plain_trail(worlds, most)
+    two = [("x", "y"), ("x", "z"), ("y", "top"), ("z", "top"), ("top", None), ("end", "x")]
+    got = views.zoom_trail(spark.createDataFrame(two, "view string, parent string")).collect()
+    assert sorted(((r.view, r.trail) for r in got), key=str) == plain_trail(two)
