@@ -265,4 +265,4 @@ def lift_change(spark, sf):
     from graphloam.operators.change import lift_change as lift
 
     touched = b.refs(spark, sf).filter("kind = 'R'").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("lines"))
-    return lift(touched, b.ancestor_rows(b.order_places(spark, sf), ["node", "customer", "nation", "region"]))
+    return lift(touched, b.order_places(spark, sf).select("node", F.array("node", "customer", "nation", "region").alias("chain")))

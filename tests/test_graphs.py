@@ -563,3 +563,13 @@ def test_trails_by_doubling(spark, monkeypatch):
     two = [("x", "y"), ("x", "z"), ("y", "top"), ("z", "top"), ("top", None), ("end", "x")]
     got = views.zoom_trail(spark.createDataFrame(two, "view string, parent string")).collect()
     assert sorted(((r.view, r.trail) for r in got), key=str) == plain_trail(two)
+
+
+def test_changes_are_counted_without_a_distinct(spark):
+    touched = spark.createDataFrame([("a", 2), ("a", 3), ("b", 1), ("gone", 9)], "node string, lines long")
+    chains = spark.createDataFrame([("a", ["a", "d", "top", "d"]), ("b", ["b", "top"]), ("c", ["c", "d"])], "node string, chain array<string>")
+    got = ch.lift_change(touched, chains)
+    assert rows(got) == [("a", 1, 5), ("b", 1, 1), ("d", 1, 5), ("top", 2, 6)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # the chain is unfolded after the join: a row for a node is shuffled and sorted, not one for each box
+    assert "Generate" in plan.split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]
