@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloam.operators.closure import GATHER
 from graphloam.session import settle_round as settle
-from graphloam.session import small
+from graphloam.session import small, stored
 
 
 def first_tier(sites: DataFrame, tiers: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
@@ -267,30 +268,44 @@ def method_order(types: DataFrame, bases: DataFrame, max_rounds: int | None = No
     orders all types whose bases are ordered, so rounds are as many as the hierarchy is deep.
     Types that contradict themselves, or stand on a cycle or on such types, have no order.
     Bases that are no types of the table count as types without bases.
+
+    Types with the same list of bases are one class, merged once, in the round that orders the last of its bases.
     """
-    def merge(name: pd.Series, orders: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([merged_order(n, [list(o) for o in x], list(b)) for n, x, b in zip(name, orders, own, strict=True)], dtype=object)
+    def merge(orders: pd.Series, own: pd.Series) -> pd.Series:
+        merged = [merged_order("", [list(o) for o in x], list(b)) for x, b in zip(orders, own, strict=True)]
+        return pd.Series([m if m is None else m[1:] for m in merged], dtype=object)
 
     ordered = F.pandas_udf(merge, "array<string>")
-    edges = settle(bases.select("type", "base", "ord").distinct())
-    known = types.select("type").union(edges.select("type")).union(edges.select("base")).distinct()
-    need = settle(edges.groupBy("type").agg(F.count("*").alias("need")))
-    done = settle(known.join(need, "type", "left_anti").select("type", F.array("type").alias("order")))
-    left, news = need, done
+    kin = stored(bases.groupBy("type").agg(F.transform(F.array_sort(F.collect_set(F.struct("ord", "base"))), lambda x: x["base"]).alias("bases")), "kin")
+    # ids are drawn once, here: the stored table is all that is read from now on
+    classes = stored(kin.select("bases").distinct().withColumn("id", F.monotonically_increasing_id()), "classes")
+    links = settle(classes.select("id", F.posexplode("bases").alias("pos", "base")))
+    named = settle(links.select("base").filter("base is not null").distinct())
+    inner = settle(kin.join(named.withColumnRenamed("base", "type"), "type", "left_semi").join(classes, "bases").select("id", F.col("type").alias("base")))
+    news = settle(named.join(inner.select("base"), "base", "left_anti").select("base", F.array("base").alias("order")))
+    done, tails, waiting = news, None, links
     for depth in count(1):
         if max_rounds is not None and depth > max_rounds:
             raise RuntimeError(f"not settled in {max_rounds} rounds")
-        # only types over what the last round ordered can be ready
-        near = edges.join(news.select(F.col("type").alias("base")), "base", "left_semi").select("type").distinct()
-        rows = edges.join(near, "type", "left_semi").join(left, "type").join(done.select(F.col("type").alias("base"), "order"), "base")
-        ready = rows.groupBy("type", "need").agg(F.sort_array(F.collect_list(F.struct("ord", "base", "order"))).alias("x")).filter(F.size("x") == F.col("need"))
-        made = settle(ready.select("type", ordered("type", F.transform("x", lambda v: v["order"]), F.transform("x", lambda v: v["base"])).alias("order")))
+        fresh = small(news).select("base")
+        rest = settle(waiting.join(fresh, "base", "left_anti"))
+        # only classes over what the last round ordered can be ready
+        ready = waiting.join(fresh, "base", "left_semi").select("id").distinct().join(rest.select("id"), "id", "left_anti")
+        parts = links.join(ready, "id").join(done, "base").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "base", "order"))).alias("x"))
+        made = settle(parts.select("id", ordered(F.transform("x", lambda v: v["order"]), F.transform("x", lambda v: v["base"])).alias("tail")))
         if made.isEmpty():
             break
-        news = made.filter("order is not null")
-        left = settle(left.join(made.select("type"), "type", "left_anti"))
-        done = settle(done.unionByName(news))
-    return known.join(done, "type", "left").select("type", "order")
+        tails = made if tails is None else tails.unionByName(made)
+        news = settle(inner.join(made.filter("tail is not null"), "id").select("base", F.concat(F.array("base"), "tail").alias("order")))
+        done, waiting = done.unionByName(news), rest
+        if depth % GATHER == 0:
+            done, tails = settle(done), settle(tails)
+    alone = types.select("type").union(links.select("base")).alias("a").join(kin.select("type").alias("k"), F.expr("a.type <=> k.type"), "left_anti").distinct()
+    alone = alone.select("type", F.when(F.col("type").isNotNull(), F.array("type")).alias("order"))
+    if tails is None:
+        return alone.unionByName(kin.select("type", F.lit(None).cast("array<string>").alias("order")))
+    own = kin.join(classes.join(tails, "id").select("bases", "tail"), "bases", "left")
+    return alone.unionByName(own.select("type", F.when(F.col("type").isNotNull(), F.concat(F.array("type"), "tail")).alias("order")))
 
 
 def outside_systems(imports: DataFrame, catalogue: DataFrame, own: DataFrame) -> DataFrame:

@@ -503,6 +503,21 @@ def test_method_order_is_that_of_python(spark):
     assert {r.type: r.order for r in got.collect()} == expected
 
 
+def test_types_with_the_same_bases_are_merged_once(spark, monkeypatch):
+    shared = [(f"x{i}", b, n) for i in range(40) for n, b in enumerate(("left", "right"))]
+    bases = shared + [("left", "mid", 0), ("mid", "top", 0), ("right", "top", 0), ("odd", None, 0), (None, "top", 0), ("twice", "top", 0), ("twice", "top", 1)]
+    stages = []
+    real = rs.settle
+    monkeypatch.setattr(rs, "settle", lambda df: stages.append(real(df)) or stages[-1])
+    got = rs.method_order(spark.createDataFrame([("alone",), (None,)], "type string"), spark.createDataFrame(bases, "type string, base string, ord int"))
+    out = [(r.type, r.order) for r in got.collect()]
+    expected = {f"x{i}": [f"x{i}", "left", "mid", "right", "top"] for i in range(40)}
+    expected |= {"left": ["left", "mid", "top"], "mid": ["mid", "top"], "right": ["right", "top"], "top": ["top"], "alone": ["alone"], "odd": None, None: None}
+    assert dict(out) == expected | {"twice": dict(out)["twice"]} and len(out) == len(expected) + 1
+    merged = [df for df in stages if "tail" in df.columns or ("order" in df.columns and "type" in df.columns)]
+    assert sum(df.count() for df in merged) <= 5  # [top], [mid], [left, right], [top, top]; before, a row for each of the 40
+
+
 def test_rounds_of_a_contraction_go_by_length_not_by_nodes(spark):
     ring = [(f"r{r:03}{i}", f"r{r:03}{(i + 1) % 6}") for r in range(200) for i in range(6)]
     left, merged = cl._contract(spark.createDataFrame(ring + [(f"c{i}", f"c{i + 1}") for i in range(6)], "src string, dst string"))
