@@ -14,7 +14,7 @@ from graphloam.functions.globs import glob_match, is_test_file
 from graphloam.functions.ids import dir_of, directories
 from graphloam.operators.change import range_status
 from graphloam.operators.closure import closure
-from graphloam.session import settle
+from graphloam.session import settle, small
 from graphloam.sources.repo import LANGUAGES
 
 #: Languages whose files are data, not code.
@@ -87,12 +87,21 @@ def held_files(boxes: DataFrame, edges: DataFrame, touched: DataFrame, changed:
 
     ``edges`` as of ``holding``, ``touched`` as of ``touched_ranges``. Rings of boxes end by themselves.
     """
-    seeds = boxes.select("element").filter("element is not null").distinct()
-    reached = closure(edges, seeds.select(F.col("element").alias("seed"))).select(F.col("seed").alias("element"), "node")
-    reached = reached.unionByName(seeds.select("element", F.col("element").alias("node"))).distinct()
-    own = changed.filter("path is not null").select(F.explode(elements_of(F.col("path"))).alias("node"), "path").distinct()
-    own = own.unionByName(touched.select(F.col("element").alias("node"), "path"))
-    return reached.join(own, "node").select("element", "path").distinct()
+    seeds = settle(boxes.select("element").filter("element is not null").distinct())
+    edges = settle(edges.select("src", "dst"))
+    holders = small(settle(edges.select(F.col("src").alias("element")).distinct()))
+    # most boxes open nothing: they hold what stands under their own id, and need neither a closure nor a distinct
+    opening = settle(seeds.join(holders, "element", "left_semi"))
+    reached = closure(edges, opening.select(F.col("element").alias("seed"))).select(F.col("seed").alias("element"), "node")
+    reached = settle(reached.unionByName(opening.select("element", F.col("element").alias("node"))).distinct())
+    alone = seeds.join(holders, "element", "left_anti").select("element", F.col("element").alias("node"))
+    # of the places of a path (distinct in themselves) only kinds that some box reaches are made
+    kinds = [r[0] for r in seeds.select(_kind().alias("k")).union(reached.select(_kind("node").alias("k"))).filter(F.col("k").isin("file", "gone", "dir", "repo")).distinct().collect()]  # four at most
+    places = F.filter(elements_of(F.col("path")), lambda e: F.substring_index(e, ":", 1).isin(*kinds)) if kinds else F.array().cast("array<string>")
+    own = changed.filter("path is not null").select("path").distinct().select("path", F.explode(places).alias("node"))
+    said = touched.filter(~F.coalesce(F.array_contains(elements_of(F.col("path")), F.col("element")), F.lit(False))).select(F.col("element").alias("node"), "path").distinct()
+    own = own.unionByName(said)
+    return alone.join(own, "node").select("element", "path").unionByName(reached.join(own, "node").select("element", "path").distinct())
 
 
 def whole_new(elements: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:

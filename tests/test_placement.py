@@ -105,3 +105,18 @@ def test_ranges_parts_and_places(spark):
     files = df([("a/x.py", "python"), ("a/x_test.py", "python"), ("b/y.py", "python"), ("c/z.json", "json"), ("d/w.py", None), ("e/v.py", "python")], "path string, language string")
     fresh = files.selectExpr("path", "'added' as status").unionByName(files.selectExpr("path", "'added' as status"))
     assert {r.path for r in pl.unassigned_files(fresh, df([("design:1", "dir:b"), ("design:1", "dir:a/x")], "box string, member string"), files, ("e/**",)).collect()} == {"a/x.py"}
+
+
+def test_boxes_that_open_nothing_need_no_closure(spark, monkeypatch):
+    df, seen = spark.createDataFrame, []
+    real = pl.closure
+    monkeypatch.setattr(pl, "closure", lambda edges, seeds, *a, **k: seen.append(sorted(r.seed for r in seeds.collect())) or real(edges, seeds, *a, **k))
+    changed = df([("a/b/x.py",), ("a/y.py",), ("a/y.py",), (None,)], "path string")
+    touched = df([("sym:f", "a/y.py", "new"), ("sym:f", "a/y.py", "new"), ("file:a/y.py", "a/y.py", "changed")], "element string, path string, status string")
+    boxes = df([("file:a/y.py",), ("dir:a",), ("dir:a",), ("dir:a/b",), ("grp:g",), ("sym:f",), ("gone:a/y.py",), (None,)], "element string")
+    edges = df([("grp:g", "dir:a/b"), ("grp:g", "sym:f"), ("grp:g", "dir:a"), ("other", "dir:a")], "src string, dst string")
+    held = sorted(tuple(r) for r in pl.held_files(boxes, edges, touched, changed).collect())
+    assert held == [("dir:a", "a/b/x.py"), ("dir:a", "a/y.py"), ("dir:a/b", "a/b/x.py"), ("file:a/y.py", "a/y.py"), ("gone:a/y.py", "a/y.py"), ("grp:g", "a/b/x.py"), ("grp:g", "a/y.py"), ("sym:f", "a/y.py")]
+    assert seen == [["grp:g"]]
+    whole = pl.held_files(df([("repo",)], "element string"), edges, touched, changed)
+    assert sorted(tuple(r) for r in whole.collect()) == [("repo", "a/b/x.py"), ("repo", "a/y.py")]
