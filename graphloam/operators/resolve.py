@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloam.operators.closure import GATHER
 from graphloam.session import settle_round as settle
-from graphloam.session import small, stored
+from graphloam.session import dealt, small, stored
 
 
 def first_tier(sites: DataFrame, tiers: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
@@ -178,8 +178,9 @@ def implementers(refs: DataFrame, interfaces: DataFrame, max_rounds: int | None
     extends = refs.filter("kind = 'extends'").join(interfaces.select(F.col("id").alias("src")), "src", "left_semi")
     up = extends.select("src", "dst")
     reach = closure(up, up.select(F.col("src").alias("seed")), max_rounds).select(F.col("seed").alias("dst"), F.col("node").alias("type"))
-    own = refs.filter("kind = 'implements'").select("src", "dst", "resolution")
-    lifted = own.join(reach, "dst").select("src", F.col("type").alias("dst"), "resolution").unionByName(own)
+    own = settle(refs.filter("kind = 'implements'").select("src", "dst", "resolution"))
+    lifted = own.join(small(reach), "dst").select("src", F.col("type").alias("dst"), "resolution").unionByName(own)
+    lifted = dealt(lifted, lifted.count(), "dst", "src")
     best = F.when(F.max((F.col("resolution") == "precise").cast("int")) == 1, "precise").otherwise("heuristic")
     return lifted.groupBy(F.col("dst").alias("type"), F.col("src").alias("implementer")).agg(best.alias("resolution"))
 
@@ -206,22 +207,43 @@ def implementations(symbols: DataFrame, refs: DataFrame, max_rounds: int | None
     type's file, else in a file of the same folder and language. The owner is the symbol at the
     path above, in the member's own file first. The better resolution wins; nothing implements itself.
     """
-    known = symbols.select("id")
-    own = refs.filter("kind = 'implements'").join(known.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("implementation"), "resolution")
-    types = settle(implementers(refs.join(known.withColumnRenamed("id", "src"), "src", "left_semi"), symbols.filter("kind = 'interface'").select("id"), max_rounds))
+    said = refs.filter("kind in ('implements', 'extends')").select("src", "dst", "kind", "resolution")
+    symbols = settle(symbols.select("id", "file", "folder", "language", "path", "kind"))
+    n = symbols.count()
+    # what refers to a type, and where it stands: the only symbols that are looked up by id one by one
+    starts = said.groupBy(F.col("src").alias("id")).agg(F.max(F.col("kind") == "implements").alias("implements"))
+    sources = settle(dealt(symbols, n, "id").join(starts, "id"))
+    said = settle(said.join(sources.select(F.col("id").alias("src")), "src", "left_semi"))
+    types = settle(implementers(said, sources.filter("kind = 'interface'").select("id"), max_rounds))
+    ends = settle(said.select(F.col("dst").alias("id")).distinct())
+    targets = settle(symbols.join(small(ends), "id"))
     is_member = F.col("kind").isin("method", "variable")
-    name = F.regexp_replace(F.substring_index("path", ".", -1), r"~\d+$", "")
-    members = symbols.filter(is_member & F.col("path").contains("."))
+    last = F.substring_index("path", ".", -1)
     above = F.expr("substr(path, 1, length(path) - length(substring_index(path, '.', -1)) - 1)")
-    wanted = members.select(F.col("id").alias("of"), "file", "folder", "language", above.alias("path"), name.alias("name"))
-    owners = _near(wanted, symbols).select("of", "name", F.col("member").alias("type"))
-    place = symbols.select(F.col("id").alias("implementer"), "file", "folder", "language", F.col("path").alias("_path"))
-    there = owners.join(types, "type").join(place, "implementer").select("of", "resolution", "file", "folder", "language", F.concat("_path", F.lit("."), "name").alias("path"))
-    through = _near(there, symbols).select(F.col("of").alias("id"), F.col("member").alias("implementation"), "resolution")
-    direct = types.join(symbols.filter(~is_member).select(F.col("id").alias("type")), "type", "left_semi").select(F.col("type").alias("id"), F.col("implementer").alias("implementation"), "resolution")
+    inner = symbols.filter(F.col("path").contains(".")).select("id", "file", "folder", "language", above.alias("path"), last.alias("last"), "kind")
+    # only members of what is implemented need their owner
+    place = ["folder", "language", "path"]
+    spots = small(settle(targets.select(place).distinct()))
+    wanted = inner.filter(is_member).join(spots, place, "left_semi").select(F.col("id").alias("of"), "file", *place, F.regexp_replace("last", r"~\d+$", "").alias("name"))
+    owners = _near(wanted, symbols.join(spots, place, "left_semi")).select("of", "name", F.col("member").alias("type"))
+    owners = settle(owners.join(small(ends).withColumnRenamed("id", "type"), "type", "left_semi"))
+    # the member of each implementer and name is looked for once, whatever types it implements
+    names = small(settle(owners.select(F.col("name").alias("last")).distinct()))
+    at = sources.filter("implements").select(F.col("id").alias("implementer"), "file", *place)
+    below = inner.join(names, "last", "left_semi").select(F.col("id").alias("_id"), F.col("file").alias("_file"), *place, F.col("last").alias("name"))
+    best = F.min(F.struct((F.col("_file") != F.col("file")).alias("far"), "_file", "_id"))
+    found = dealt(at, n, *place).join(dealt(below, n, *place), place).groupBy("implementer", "file", *place, "name").agg(best["_id"].alias("member"))
+    met = types.count()
+    through = dealt(found.select("implementer", "name", "member"), n + met, "implementer").join(dealt(types, n + met, "implementer"), "implementer").join(small(owners), ["type", "name"])
+    through = through.select(F.col("of").alias("id"), F.col("member").alias("implementation"), "resolution")
+    held = lambda rows: small(settle(rows.select("id").distinct()))
+    own = said.filter("kind = 'implements'").select(F.col("dst").alias("id"), F.col("src").alias("implementation"), "resolution").join(held(targets), "id", "left_semi")
+    direct = types.select(F.col("type").alias("id"), F.col("implementer").alias("implementation"), "resolution").join(held(targets.filter(~is_member)), "id", "left_semi")
+    # no more than each implementer with each member of its types
+    most = types.groupBy("type").agg(F.count("*").alias("_n")).join(owners.groupBy("type").agg(F.count("*").alias("_m")), "type").agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
     best = F.when(F.max((F.col("resolution") == "precise").cast("int")) == 1, "precise").otherwise("heuristic")
-    rows = own.join(known, "id", "left_semi").unionByName(direct).unionByName(through).filter("id <> implementation")
-    return rows.groupBy("id", "implementation").agg(best.alias("resolution"))
+    rows = own.unionByName(direct).unionByName(through).filter("id <> implementation")
+    return dealt(rows, most + 2 * met, "id", "implementation").groupBy("id", "implementation").agg(best.alias("resolution"))
 
 
 def overridden_by(methods: DataFrame, bases: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -608,3 +608,62 @@ def test_tests_of_starts_from_the_tests(spark, monkeypatch):
     got = ch.tests_of(one(changed), spark.createDataFrame(refs, "src string, dst string, kind string"), one(tests + tests[:2]))
     assert rows(got) == sorted(((c, t, v) for (c, t), v in expected.items()), key=str)
     assert {r.src for df in kept for r in df.collect()} <= set(tests)
+
+
+def plain_implementations(symbols, refs):
+    known = {s[0] for s in symbols}
+    refs = [r for r in refs if r[0] in known]
+    interfaces = {s[0] for s in symbols if s[5] == "interface"}
+    up = defaultdict(set)
+    for a, b, k, _ in refs:
+        if k == "extends" and a in interfaces:
+            up[a].add(b)
+    types, out = defaultdict(set), defaultdict(set)
+    for a, b, k, how in refs:
+        if k == "implements":
+            todo, seen = [b], {b}
+            while todo:
+                for y in up[todo.pop()] - seen:
+                    seen.add(y)
+                    todo.append(y)
+            for t in seen:
+                types[t, a].add(how)
+            if b in known:
+                out[b, a].add(how)
+
+    def near(file, folder, language, path):
+        found = [(f != file, f, i) for i, f, d, g, p, _ in symbols if (d, g, p) == (folder, language, path)]
+        return min(found)[2] if found else None
+
+    for i, f, d, g, p, k in symbols:
+        member = k in ("method", "variable")
+        for (t, a), how in types.items():
+            if t == i and not member:
+                out[i, a] |= how
+            if member and "." in p and near(f, d, g, p.rpartition(".")[0]) == t:
+                name = p.rpartition(".")[2].split("~")[0]
+                for s in symbols:
+                    if s[0] == a and (x := near(*s[1:4], f"{s[4]}.{name}")):
+                        out[i, x] |= how
+    return [(i, x, "precise" if "precise" in how else "heuristic") for (i, x), how in out.items() if i != x]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_implementations_look_only_for_what_is_implemented(spark, monkeypatch, seed):
+    rng, asked, near = random.Random(seed), [], rs._near
+    monkeypatch.setattr(rs, "_near", lambda wanted, members: asked.append(wanted.count()) or near(wanted, members))
+    monkeypatch.setattr("graphloam.session.TASK_ROWS", 2, raising=False)
+    symbols, paths = [], ["A", "B", "C", "A.m", "B.m", "C.m", "A.n", "B.n", "A.m~2", "A.B", "A.B.m", ".m", "D."]
+    for i in range(70):
+        path, folder = rng.choice(paths), rng.choice("ab")
+        kind = rng.choice(["method", "variable"] if path[-1] in "mn2" else ["interface", "class", "class", "method"])
+        symbols.append((f"s{min(i, 67):02}", f"{folder}/{rng.choice('xyz')}", folder, rng.choice(["go", "go", "py"]), path, kind))
+    name = lambda: f"s{rng.randrange(72):02}"
+    refs = [(name(), name(), rng.choice(["implements", "implements", "extends", "call"]), rng.choice(["precise", "heuristic"])) for _ in range(90)]
+    idle = [(f"t{i}.m", "c/x", "c", "go", f"T{i}.m", "method") for i in range(300)] + [(f"t{i}", "c/x", "c", "go", f"T{i}", "class") for i in range(300)]
+    world = spark.createDataFrame(symbols + idle, "id string, file string, folder string, language string, path string, kind string")
+    got = rs.implementations(world, spark.createDataFrame(refs, "src string, dst string, kind string, resolution string"))
+    assert rows(got) == sorted(plain_implementations(symbols, refs), key=str)
+    # members of types that nothing implements are not looked for, and many rows are not left to a few tasks
+    assert sum(asked) <= 70
+    assert got.rdd.getNumPartitions() >= got.count() / 2
