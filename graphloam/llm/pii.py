@@ -18,10 +18,13 @@ names of a list. A name with none of these around it is not told from other capi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.llm.common import BROADCAST_ROWS, LOWER, UPPER, join_salted, settle, shield
+from graphloam.session import dealt
 
 # Given names by gender and script, in natural order.
 FEMALE = "Alice Amelia Anna Clara Elena Emma Greta Hannah Ines Julia Laura Lea Lucia Maria Marie Nina Nora Olivia Paula Rosa Sara Sofia Sophie Teresa".split()
@@ -39,14 +42,27 @@ ALPHABETS = (("Greek", "αβγδεζηθικλμνξοπρστυφχψω"), ("Ar
 CYRILLIC_LETTERS = "абвгдежзиклмнопрстуфхцчшэюя"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
-_TITLED = rf"(?:(?:{'|'.join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.? ){{1,3}}"
+
+
+def _one_of(words: list[str]) -> str:
+    """A pattern for one of the words: those of one first letter are tried only where that letter stands. What follows must end the word."""
+    rests: dict[str, list[str]] = {}
+    for word in words:
+        rests.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{first}(?:{'|'.join(more)})" for first, more in rests.items())
+
+
+_TITLED = rf"(?:(?:{_one_of(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.? ){{1,3}}"
 #: A capitalised word of any length, with what stands before a second capital in family names, and a second part after a hyphen.
 _WORD = r"(?:\p{Lu}['’]|Mc|Mac)?\p{Lu}[\p{Ll}\p{M}'’]++(?:-\p{Lu}\p{Ll}++)?"
 _PLAIN_WORD = r"[\p{Lo}\p{M}]{2,20}"
+_BEHIND_CUE = "|".join(f"(?<={cue})" for cue in CUES)  # each of one length: no other is tried
+_CAPITAL_NAME = rf"(?=[\p{{Lu}}гдп])(?<![\p{{L}}\p{{N}}])(?:{_TITLED}{_WORD}(?: {_WORD})?|(?:{_one_of(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) {_WORD}|(?:{_BEHIND_CUE}){_WORD}(?: {_WORD}){{0,2}})(?![\p{{L}}\p{{N}}])"
+#: Looking up a script is slow and no letter of Han or Hangul comes before U+1100.
 _NAME = (
-    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}}|[гдп])(?:{_TITLED}{_WORD}(?: {_WORD})?|(?:{'|'.join(FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC)}) {_WORD}|(?<=(?:{'|'.join(CUES)})){_WORD}(?: {_WORD}){{0,2}})(?![\p{{L}}\p{{N}}])"
+    rf"{_CAPITAL_NAME}"
     rf"|(?=\p{{Lo}})(?<=(?:{'|'.join(CUES_WITHOUT_CASE)})){_PLAIN_WORD}(?: {_PLAIN_WORD}){{0,2}}"
-    r"|(?<![\p{IsHan}\p{IsHangul}])[\p{IsHan}\p{IsHangul}]{1,6}?(?=様|さん|氏|씨)"
+    r"|(?![\x00-\u10FF])(?<![\p{IsHan}\p{IsHangul}])[\p{IsHan}\p{IsHangul}]{1,6}?(?=様|さん|氏|씨)"
 )
 
 #: Type, pattern; the first that matches at a place decides.
@@ -59,7 +75,25 @@ PATTERNS = (
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(?\d{2,4}\)?[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{8,15}(?!\w)"),
     ("name", _NAME),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
+_OF = dict(PATTERNS)
+#: The same without mail addresses: at each place only the types that can begin with its character are tried, in that order.
+PATTERN_WITHOUT_MAIL = (
+    r"(?=[A-Z0-9+(\x80-\x{10FFFF}])(?:"
+    rf"(?=[A-Z])(?:{_OF['iban']}|{_CAPITAL_NAME})"
+    rf"|(?=[0-9+(])(?:{'|'.join(_OF[k] for k in ('ssn', 'card', 'ip', 'phone'))})"
+    rf"|(?![\x00-\x7F])(?:{_NAME}))"
+)
+PATTERN = f"(?=[A-Za-z0-9])(?:{_OF['email']})|{PATTERN_WITHOUT_MAIL}"
+
+
+def by_pattern(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(text, pattern)`` with all types; texts without an @ are not searched for mail addresses, which begin at any word."""
+    return F.when(text.contains("@"), use(text, F.lit(PATTERN))).otherwise(use(text, F.lit(PATTERN_WITHOUT_MAIL)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row: inside a lambda, Spark computes a column each time it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def kind_of(entity: Column) -> Column:
@@ -89,14 +123,16 @@ def _title(name: Column) -> Column:
 
 def parts_of(entity: Column, kind: Column) -> Column:
     """What of an entity gets surrogates: array of kind, canon and gender (1 female, 2 male, 0 not known); of a name, given names and the family name."""
-    title = _title(entity)
-    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
-    titled = F.when(title.rlike(f"(?:^| )(?:{'|'.join(FEMALE_TITLES)})\\.? "), 1).when(title.rlike(f"(?:^| )(?:{'|'.join(MALE_TITLES)})\\.? "), 2).otherwise(0)
     listed = lambda w: F.when(w.isin(*FEMALE, *FEMALE_CYRILLIC), 1).when(w.isin(*MALE, *MALE_CYRILLIC), 2).otherwise(0)
-    last = lambda w, i: (i == F.size(words) - 1) & ~((F.size(words) == 1) & (title == "") & (listed(w) > 0))
     part = lambda k, c, g: F.struct(k.alias("kind"), c.alias("canon"), g.cast("int").alias("gender"))
-    named = F.transform(words, lambda w, i: part(F.when(last(w, i), "family").otherwise("given"), w, F.when(last(w, i), 0).when(listed(w) > 0, listed(w)).otherwise(titled)))
-    return F.when(kind == "name", named).otherwise(F.array(part(kind, canonical(entity, kind), F.lit(0))))
+
+    def named(title: Column) -> Column:
+        titled = F.when(title.rlike(f"(?:^| )(?:{'|'.join(FEMALE_TITLES)})\\.? "), 1).when(title.rlike(f"(?:^| )(?:{'|'.join(MALE_TITLES)})\\.? "), 2).otherwise(0)
+        last = lambda w, i, n: (i == n - 1) & ~((n == 1) & (title == "") & (listed(w) > 0))
+        each = lambda w, i, n: part(F.when(last(w, i, n), "family").otherwise("given"), w, F.when(last(w, i, n), 0).when(listed(w) > 0, listed(w)).otherwise(titled))
+        return _let(F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " "), lambda words: F.transform(words, lambda w, i: each(w, i, F.size(words))))
+
+    return F.when(kind == "name", _let(_title(entity), named)).otherwise(F.array(part(kind, canonical(entity, kind), F.lit(0))))
 
 
 def _draw(canon: Column, key: str, attempt: Column) -> Column:
@@ -112,9 +148,9 @@ def _stretch(digest: Column) -> Column:
 def _shape(text: Column, digest: Column) -> Column:
     """``text`` with every ASCII digit, small and capital letter drawn anew; all else stays."""
     chars = F.split(text, "")
-    value = lambda i: F.conv(F.substring(digest, i % 190 * 2 + 1, 4), 16, 10).cast("int")
-    drawn = lambda c, i: F.when(c.rlike("[0-9]"), F.substring(F.lit("0123456789"), value(i) % 10 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substring(F.lit(LOWER), value(i) % 26 + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.substring(F.lit(UPPER), value(i) % 26 + 1, F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(chars, drawn), "")
+    value = lambda d, i: F.conv(F.substring(d, i % 190 * 2 + 1, 4), 16, 10).cast("int")
+    drawn = lambda d, c, i: F.when(c.rlike("[0-9]"), F.substring(F.lit("0123456789"), value(d, i) % 10 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substring(F.lit(LOWER), value(d, i) % 26 + 1, F.lit(1))).when(c.rlike("[A-Z]"), F.substring(F.lit(UPPER), value(d, i) % 26 + 1, F.lit(1))).otherwise(c)
+    return _let(digest, lambda d: F.array_join(F.transform(chars, lambda c, i: drawn(d, c, i)), ""))
 
 
 def _pick(names: list[str], digest: Column, at: int) -> Column:
@@ -184,19 +220,21 @@ def _email(canon: Column, key: str, digest: Column, attempt: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Digits with the last one set so that the checksum of card numbers is right."""
-    body = F.substring(digits, 1, F.length(digits) - 1)
-    places = F.reverse(F.split(body, ""))
     value = lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))
-    total = F.aggregate(F.transform(places, value), F.lit(0), lambda s, v: s + v)
-    return F.concat(body, (F.pmod(10 - total % 10, F.lit(10))).cast("string"))
+    total = lambda body: F.aggregate(F.transform(F.reverse(F.split(body, "")), value), F.lit(0), lambda s, v: s + v)
+    return _let(digits, lambda d: _let(F.substring(d, F.lit(1), F.length(d) - 1), lambda body: F.concat(body, (F.pmod(10 - total(body) % 10, F.lit(10))).cast("string"))))
 
 
 def _checked(iban: Column) -> Column:
     """An account number with the two check digits that leave a remainder of 1 by 97."""
-    country, body = F.substring(iban, 1, 2), F.substring(iban, 5, 400)
     digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97))
-    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+    def checked(given: Column) -> Column:
+        country, body = F.substring(given, 1, 2), F.substring(given, 5, 400)
+        rest = F.aggregate(F.split(F.concat(body, country, F.lit("00")), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97))
+        return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
+
+    return _let(iban, checked)
 
 
 #: Draws in the usual range of a kind, and draws of the usual length; later ones are wider.
@@ -205,20 +243,32 @@ NEAR, PLAIN = 20, 60
 
 def surrogate(kind: Column, canon: Column, gender: Column, key: str, attempt: Column) -> Column:
     """The surrogate of a part of an entity in canonical form."""
-    digest = _draw(F.concat_ws(":", kind, canon), key, attempt)
-    shaped = _shape(canon, _stretch(digest))
-    behind = lambda n, head: F.concat(head, F.substring(shaped, n + 1, 400))
     # country codes and the first digit of cards say what an entity is; they stay
-    number = (
-        F.when(kind == "ip", _octets(canon, digest, attempt))
-        .when(kind == "card", _luhn(behind(1, F.substring(canon, 1, 1))))
-        .when(kind == "iban", _checked(behind(2, F.substring(canon, 1, 2))))
-        .when((kind == "phone") & (F.length(canon) >= 10) & (attempt < NEAR), behind(1, F.substring(canon, 1, 1)))
-        .when((kind == "ssn") & (attempt < NEAR), behind(1, F.lit("9")))
-        .otherwise(shaped)
-    )
-    number = F.when(attempt < PLAIN, number).otherwise(F.concat(number, _letters(LOWER, digest, F.greatest(attempt - PLAIN + 1, F.lit(1)))))
-    return F.when(kind == "email", _email(canon, key, digest, attempt)).when(kind == "given", _given(canon, gender, digest, attempt)).when(kind == "family", _family(canon, digest, attempt)).otherwise(number)
+    behind = lambda shaped, n, head: F.concat(head, F.substring(shaped, n + 1, 400))
+
+    def number(digest: Column) -> Column:
+        shaped = _shape(canon, _stretch(digest))
+        out = (
+            F.when(kind == "ip", _octets(canon, digest, attempt))
+            .when(kind == "card", _luhn(behind(shaped, 1, F.substring(canon, 1, 1))))
+            .when(kind == "iban", _checked(behind(shaped, 2, F.substring(canon, 1, 2))))
+            .when((kind == "phone") & (F.length(canon) >= 10) & (attempt < NEAR), behind(shaped, 1, F.substring(canon, 1, 1)))
+            .when((kind == "ssn") & (attempt < NEAR), behind(shaped, 1, F.lit("9")))
+            .otherwise(shaped)
+        )
+        return F.when(attempt < PLAIN, out).otherwise(F.concat(out, _letters(LOWER, digest, F.greatest(attempt - PLAIN + 1, F.lit(1)))))
+
+    made = lambda digest: F.when(kind == "email", _email(canon, key, digest, attempt)).when(kind == "given", _given(canon, gender, digest, attempt)).when(kind == "family", _family(canon, digest, attempt)).otherwise(number(digest))
+    return _let(_draw(F.concat_ws(":", kind, canon), key, attempt), made)
+
+
+#: Entities that make a task worth its files: each takes many times the work of its few bytes.
+TASK_ENTITIES = 1000
+
+
+def _spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of ``rows`` entities dealt by ``keys`` over all cores: by their bytes, a few tasks would get them all."""
+    return dealt(df, rows, *keys) if rows > TASK_ENTITIES else df
 
 
 def surrogate_table(entities: DataFrame, key: str, most_draws: int = 500) -> DataFrame:
@@ -230,9 +280,9 @@ def surrogate_table(entities: DataFrame, key: str, most_draws: int = 500) -> Dat
     anywhere holds everywhere.
     """
     real = settle(entities.groupBy("kind", "canon").agg(F.max("gender").alias("gender")))
-    taken, left, accepted = None, real, None
+    taken, left, accepted, rows = None, real, None, real.count()
     for attempt in range(most_draws):
-        drawn = settle(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.lit(attempt))))
+        drawn = settle(_spread(left, rows, "kind", "canon").withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), key, F.lit(attempt))))
         free = drawn.join(real.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if taken is not None:
             free = free.join(taken, ["kind", "surrogate"], "left_anti")
@@ -240,7 +290,8 @@ def surrogate_table(entities: DataFrame, key: str, most_draws: int = 500) -> Dat
         accepted = won if accepted is None else accepted.unionByName(won)
         taken = accepted.select("kind", "surrogate")
         left = settle(left.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
-        if left.isEmpty():
+        rows = left.count()
+        if rows == 0:
             return settle(accepted)
         if attempt % 16 == 15:  # many unions make long plans
             accepted = settle(accepted)
@@ -252,22 +303,21 @@ def _respell(kind: Column, entity: Column, made: Column) -> Column:
     """A surrogate in the spelling of the entity: punctuation stays where it was, and the country and trunk of a telephone too."""
     bare = F.regexp_replace(entity, r"[^0-9A-Za-z]", "")
     kept = F.when(kind == "phone", F.length(bare) - F.length(canonical(entity, kind))).otherwise(F.lit(0))
-    full = F.concat(F.substring(bare, F.lit(1), kept), made)
     chars = F.split(entity, "")
     before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"[^0-9A-Za-z]", ""))
-    spelled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(full, before(i) + 1, F.lit(1))).otherwise(c)), "")
-    return F.when(kind.isin("card", "iban", "ssn", "phone"), F.concat(spelled, F.substring(full, F.length(bare) + 1, F.lit(400)))).otherwise(made)
+    spelled = lambda full: F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(full, before(i) + 1, F.lit(1))).otherwise(c)), "")
+    return F.when(kind.isin("card", "iban", "ssn", "phone"), _let(F.concat(F.substring(bare, F.lit(1), kept), made), lambda full: F.concat(spelled(full), F.substring(full, F.length(bare) + 1, F.lit(400))))).otherwise(made)
 
 
-def replaced(each: DataFrame, key: str) -> DataFrame:
-    """_of, _xs: for each text of ``each`` (_h, at, entity) its entities in order, with their surrogates; settled."""
-    each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("_parts", parts_of(F.col("entity"), F.col("kind")))
+def replaced(each: DataFrame, rows: int, key: str) -> DataFrame:
+    """_of, _xs: for each text of ``each`` (_h, at, entity; so many ``rows``) its entities in order, with their surrogates; settled."""
+    each = _spread(each, rows, "_h", "at").withColumn("kind", kind_of(F.col("entity"))).withColumn("_parts", parts_of(F.col("entity"), F.col("kind")))
     parts = settle(each.select("_h", "at", "kind", "entity", F.posexplode("_parts").alias("_i", "_part")))
     made = surrogate_table(parts.select("_part.*"), key)
     name = lambda k, c: F.concat_ws("\x1f", k, c)
     made = settle(made.select(name("kind", "canon").alias("_entity"), "surrogate"))
     spelled = join_salted(parts.withColumn("_key", name("_part.kind", "_part.canon")), made, "_key", "_entity", F.xxhash64("_h", "at"), 8)
-    whole = spelled.groupBy("_h", "at").agg(F.first("kind").alias("kind"), F.first("entity").alias("entity"), F.sort_array(F.collect_list(F.struct("_i", "surrogate"))).alias("_made"))  # as many as a name has words
+    whole = _spread(spelled, rows, "_h", "at").groupBy("_h", "at").agg(F.first("kind").alias("kind"), F.first("entity").alias("entity"), F.sort_array(F.collect_list(F.struct("_i", "surrogate"))).alias("_made"))  # as many as a name has words
     words = F.array_join(F.transform("_made", lambda x: x["surrogate"]), " ")
     text = F.when(F.col("kind") == "name", F.concat(_title(F.col("entity")), words)).otherwise(_respell(F.col("kind"), F.col("entity"), words))
     return settle(whole.groupBy(F.col("_h").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "entity", text.alias("surrogate")))).alias("_xs")))
@@ -283,18 +333,19 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """
     inner, restore = shield(docs, ("text",))
     given = inner.withColumn("_h", F.unhex(F.md5("text")))
-    found = given.select("_h", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("_e")).filter(F.size("_e") > 0)
+    found = given.select("_h", by_pattern(F.col("text"), lambda t, p: F.regexp_extract_all(t, p, 0)).alias("_e")).filter(F.size("_e") > 0)
     found = settle(found.groupBy("_h").agg(F.first("_e").alias("_e")))
-    lists = replaced(found.select("_h", F.posexplode("_e").alias("at", "entity")), key)
+    many = found.agg(F.coalesce(F.sum(F.size("_e")), F.lit(0))).first()[0]
+    lists = replaced(found.select("_h", F.posexplode("_e").alias("at", "entity")), many, key)
     size = lists.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_xs")), F.lit(0)).alias("entities")).first()
     if size["rows"] <= BROADCAST_ROWS and size["entities"] <= 4 * BROADCAST_ROWS:  # some 100 bytes each
         joined = given.join(F.broadcast(lists), F.col("_h") == F.col("_of"), "left")
     else:  # texts without entities stay where they are; of the others, equal ones are dealt to several tasks
-        has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
+        has = F.coalesce(by_pattern(F.col("text"), lambda t, p: F.rlike(t, p)), F.lit(False))
         met = join_salted(given.filter(has), lists, "_h", "_of", F.spark_partition_id(), 8, "left")
         joined = met.unionByName(given.filter(~has), allowMissingColumns=True)
-    between = F.split("text", PATTERN, -1)
-    made_text = F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.transform("_xs", lambda x: x["surrogate"]), F.slice(between, 2, F.size("_xs")), lambda s, t: F.concat(s, t)), ""))
+    joined_up = lambda between: F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.transform("_xs", lambda x: x["surrogate"]), F.slice(between, 2, F.size("_xs")), lambda s, t: F.concat(s, t)), ""))
+    made_text = _let(by_pattern(F.col("text"), lambda t, p: F.split(t, p, -1)), joined_up)
     kinds = F.transform("_xs", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), x["surrogate"].alias("surrogate")))
     empty = F.array().cast("array<struct<kind:string,entity:string,surrogate:string>>")
     out = joined.withColumns({"clean_text": F.when(F.col("_xs").isNull(), F.col("text")).otherwise(made_text), "entities": F.coalesce(kinds, empty)})

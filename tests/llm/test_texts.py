@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -202,6 +203,55 @@ def test_surrogates_against_brute_force(spark, sf, monkeypatch):
         assert not real & {(k, v) for (k, _), v in there.items()}
 
 
+def test_types_are_tried_by_first_character_as_in_turn(spark):
+    rng = np.random.default_rng(7)
+    names, titles, cues = pii.FEMALE + pii.MALE_CYRILLIC, pii.MALE_TITLES + pii.OTHER_TITLES, [*pii.CUES, *pii.CUES_WITHOUT_CASE]
+    numbers = ["123-45-6789", "4111 1111 1111 1111", "10.0.0.1", "v1.2.3.4", "+1 (555) 010-7788", "(030) 1234 5678", "+4915112345678", "DE89 3704 0044 0532 0130 00", "3.14", "1.1.1.1.1"]
+    words = ["Smith", "O'Brien", "Über", "Жуков", "d'Or", "X", "ªªª", "田中様", "山田さん", "김철수씨", "々々様", "〇〇様", "ᄀᄀ様", "ישראל", "z田氏"]
+    mails = ["a.b@c.de", "A1+2@h-i.example.com", "@", "a@b", "é@x.com", "1@2.com"]
+    texts = []
+    for i in range(600):
+        kinds = [names, titles, cues, numbers, words, [" ", ", ", "-", "+", "(", "’", "："], mails][: 6 + i % 2]  # every second text may have an @
+        texts.append((i, "".join(str(rng.choice(kinds[rng.integers(len(kinds))])) + " " * int(rng.integers(2)) for _ in range(rng.integers(2, 12)))))
+    every = lambda t, p: F.regexp_extract_all(t, p, 0)
+    rows = spark.createDataFrame(texts, "i long, text string").select("text", pii.by_pattern(F.col("text"), every).alias("e"), every(F.col("text"), F.lit(pii.PATTERN)).alias("whole"), every(F.col("text"), F.lit("|".join(f"(?:{p})" for _, p in pii.PATTERNS))).alias("in_turn")).collect()
+    assert len(rows) == 600 and sum("@" in r.text for r in rows) > 100 and sum(len(r.e) for r in rows) > 600
+    assert all(r.e == r.whole == r.in_turn for r in rows)
+
+
+def test_search_costs_a_few_times_that_of_one_class(spark):
+    words = "the Quick brown fox über Straße naïve jumps over Lazy dogs and El niño, then A few more. "
+    docs = spark.range(64).repartition(8).select(F.concat(F.lit(words * 8000), F.col("id").cast("string")).alias("text")).cache()
+    docs.count()
+
+    def seconds(found):
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            docs.agg(F.sum(F.size(found))).collect()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    every = lambda t, p: F.regexp_extract_all(t, p, 0)
+    assert seconds(pii.by_pattern(F.col("text"), every)) < 7 * seconds(every(F.col("text"), F.lit("[A-Z0-9]!")))
+    docs.unpersist()
+
+
+def test_entities_are_drawn_on_all_cores(spark, monkeypatch):
+    tasks, settle = [], pii.settle
+
+    def noted(df):
+        out = settle(df)
+        if {"gender", "surrogate"} <= set(out.columns):
+            tasks.append(out.select(F.spark_partition_id()).distinct().count())
+        return out
+
+    monkeypatch.setattr(pii, "settle", noted)
+    entities = spark.range(4000).selectExpr("'phone' as kind", "cast(2000000000 + id * 7919 as string) as canon", "0 as gender")
+    made = pii.surrogate_table(entities, "k").collect()
+    assert len({r.surrogate for r in made}) == 4000 and tasks[0] == spark.sparkContext.defaultParallelism
+
+
 def test_given_names_keep_their_gender_when_all_listed_ones_occur(spark):
     rows = [(i, f"{n} Okonkwo") for i, n in enumerate([*pii.FEMALE, *pii.MALE, *pii.FEMALE_CYRILLIC, *pii.MALE_CYRILLIC])]
     made = [r.clean_text.split()[0] for r in sorted(pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
