@@ -323,6 +323,23 @@ def replaced(each: DataFrame, rows: int, key: str) -> DataFrame:
     return settle(whole.groupBy(F.col("_h").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("at", "kind", "entity", text.alias("surrogate")))).alias("_xs")))
 
 
+#: Texts with entities whose hashes are broadcast, at some 60 bytes each.
+KEYS = 500_000
+
+
+def parted(given: DataFrame, lists: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``given`` whose texts have one of the ``rows`` ``lists``, and the others; one without any that shares a hash may be among the first.
+
+    Hashes are looked up, as searching every text twice again costs several times that; of more than KEYS texts they
+    would be too large for each task, and the texts are searched.
+    """
+    if rows <= KEYS:
+        keys, match = F.broadcast(lists.select(F.xxhash64("_of").alias("_key"))), F.xxhash64("_h") == F.col("_key")
+        return given.join(keys, match, "left_semi"), given.join(keys, match, "left_anti")
+    has = F.coalesce(by_pattern(F.col("text"), lambda t, p: F.rlike(t, p)), F.lit(False))
+    return given.filter(has), given.filter(~has)
+
+
 def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     """Add clean_text and entities (array of kind, entity, surrogate in text order) to the rows of ``docs``.
 
@@ -341,9 +358,9 @@ def replace_entities(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     if size["rows"] <= BROADCAST_ROWS and size["entities"] <= 4 * BROADCAST_ROWS:  # some 100 bytes each
         joined = given.join(F.broadcast(lists), F.col("_h") == F.col("_of"), "left")
     else:  # texts without entities stay where they are; of the others, equal ones are dealt to several tasks
-        has = F.coalesce(by_pattern(F.col("text"), lambda t, p: F.rlike(t, p)), F.lit(False))
-        met = join_salted(given.filter(has), lists, "_h", "_of", F.spark_partition_id(), 8, "left")
-        joined = met.unionByName(given.filter(~has), allowMissingColumns=True)
+        some, none = parted(given, lists, size["rows"])
+        met = join_salted(some, lists, "_h", "_of", F.spark_partition_id(), 8, "left")
+        joined = met.unionByName(none, allowMissingColumns=True)
     joined_up = lambda between: F.concat(F.element_at(between, 1), F.array_join(F.zip_with(F.transform("_xs", lambda x: x["surrogate"]), F.slice(between, 2, F.size("_xs")), lambda s, t: F.concat(s, t)), ""))
     made_text = _let(by_pattern(F.col("text"), lambda t, p: F.split(t, p, -1)), joined_up)
     kinds = F.transform("_xs", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"), x["surrogate"].alias("surrogate")))

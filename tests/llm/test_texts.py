@@ -252,6 +252,18 @@ def test_entities_are_drawn_on_all_cores(spark, monkeypatch):
     assert len({r.surrogate for r in made}) == 4000 and tasks[0] == spark.sparkContext.defaultParallelism
 
 
+def test_many_texts_with_entities_are_told_by_hash_or_search(spark, monkeypatch):
+    docs = spark.createDataFrame(PII[:6] + [(8, PII[0][1]), (9, None), (10, "clean")], "doc_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.n_entities, r.kinds, str(r.text)) for r in pii.digest(docs).collect())
+    searched = lambda: "RLIKE" in pii.digest(docs)._jdf.queryExecution().optimizedPlan().toString()
+    want = rows()
+    assert sum(n for _, n, _, _ in want) == 15
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert rows() == want and not searched()
+    monkeypatch.setattr(pii, "KEYS", 0, raising=False)
+    assert rows() == want and searched()
+
+
 def test_given_names_keep_their_gender_when_all_listed_ones_occur(spark):
     rows = [(i, f"{n} Okonkwo") for i, n in enumerate([*pii.FEMALE, *pii.MALE, *pii.FEMALE_CYRILLIC, *pii.MALE_CYRILLIC])]
     made = [r.clean_text.split()[0] for r in sorted(pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
